@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 from .common import table
 
 
+def op2_pack_sequences(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
