@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import lines, mixing, packing
 from .common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_pack_sequences(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -19,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_mix_sources": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op8_mix_sources": mixing.SQL}
