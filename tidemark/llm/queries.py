@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing
+from . import lines, mixing, packing, quality, toxicity
 from .common import table
 
 
@@ -18,6 +18,15 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
