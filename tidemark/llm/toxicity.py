@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 from .quality import held_out, sample_of_labels
-from .words import CLASS, in_groups, words
+from .words import CLASS, in_groups, mixed, words
 
 #: The index has EXAMPLES labelled rows at most, and TERMS terms at most.
 EXAMPLES, TERMS, LEAST_ASSOCIATION = 4000, 2048, 33.0
@@ -30,6 +30,18 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row[first], h[first].view(np.int64), np.diff(np.append(first, len(h)))
 
 
+def families(texts: list[bytes]) -> np.ndarray:
+    """A number that near copies mostly share: the least hash of three words in a row, A-Z lower-cased."""
+    h, n = words([t.lower() for t in texts], CLASS)
+    out, end = np.zeros(len(texts), np.int64), 0
+    for i, k in enumerate(n.tolist()):
+        own = h[end : end + k]
+        end += k
+        triple = mixed(own[:-2] * np.uint64(9) + own[1:-1] * np.uint64(3) + own[2:]) if k > 2 else own
+        out[i] = triple.min().view(np.int64) if len(triple) else 0
+    return out
+
+
 @dataclass
 class Index:
     """Postings by term in blocks of BLOCK examples, each with its largest weight, as flat arrays.
@@ -128,7 +140,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, floa
 
 
 def counted(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, and terms and counts as arrays, of each text."""
+    """keep, terms and counts as arrays, and family (see families) of each text."""
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +149,9 @@ def counted(docs: DataFrame, *keep: str) -> DataFrame:
             for a, b in in_groups(texts):
                 row, h, n = term_counts(texts[a:b])
                 offsets = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(n))], [*keep, "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.array(families(texts[a:b]))], [*keep, "terms", "counts", "family"])
 
-    return docs.select(*keep, F.encode(text_of(), "UTF-8").alias("_text")).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", terms array<long>, counts array<long>")
+    return docs.select(*keep, F.encode(text_of(), "UTF-8").alias("_text")).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", terms array<long>, counts array<long>, family long")
 
 
 def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
@@ -171,13 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
     """The index of a bounded sample of labelled rows.
 
     Terms are those whose presence in the sample goes with label 1 or 0 beyond chance (likelihood ratio of the 2 x 2 table of at least
-    LEAST_ASSOCIATION), the TERMS strongest at most: with all words, the chance overlap of long texts outweighs the few words that matter.
+    LEAST_ASSOCIATION, near copies counted as one), the TERMS strongest at most: with all words, the chance overlap of long texts outweighs the few words that matter.
     Inverse document frequencies count all documents.
     """
     sample = sample_of_labels(labels, label, ~held_out(parts, held), EXAMPLES)
     rows = counted(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("y").cast("long").alias("y"), F.max("text").alias("text")), "doc_id", "y").persist()
-    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    have = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+    by_label = [F.countDistinct(F.when(F.col("y") == y, F.col("family"))).cast("double") for y in (1, 0)]
+    n1, n0 = rows.agg(*by_label).first()
+    n = n1 + n0
+    have = rows.select("y", "family", F.explode("terms").alias("term")).groupBy("term").agg(by_label[0].alias("a"), by_label[1].alias("b"))
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
