@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, quality, toxicity
+from . import lines, mixing, packing, quality, toxicity, urls
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_pack_sequences(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark, sf_dir):
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
