@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Two Bloom filters find suspects: the lines whose hash may have been seen twice. Only those are shuffled, by key, where the
     key's text tells for certain which documents have it and which of them is the first. Beyond 2 ** 28 / 16 distinct lines
     the filters fill up and let more lines through, all of them in the end; the result is the same.
-    The documents found are joined back by hashed doc_id slices of each key, so that one very common line is dealt to several tasks.
+    The documents found are joined back by the key's SHA-256 and hashed doc_id slices, so that one very common line is dealt to several tasks.
 
     Null or empty text: one empty line, kept; text becomes "". Rows with one doc_id are one document. A null doc_id comes after
     all others. Columns other than doc_id and text pass through.
@@ -143,9 +143,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     n = docs.select(F.sum(1 + F.octet_length(text_of()) - F.octet_length(F.replace(text_of(), F.lit("\n"), F.lit(""))))).first()[0] or 1
     bits = min(MAX_BITS, 1 << max(16, math.ceil(math.log2(BITS_PER_LINE * n))))
     found = cut(suspects(keyed, bits))
-    firsts = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
+    digest_of_key = F.unhex(F.sha2(F.encode("key", "UTF-8"), 256)).alias("_key")
+    firsts = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select(digest_of_key, "first")
     slices = firsts.withColumn("_slice", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    dropped = found.withColumn("_slice", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(slices, ["key", "_slice"]).where("doc > first")
+    dropped = found.select(digest_of_key, "doc", "_row", "at", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("_slice")).join(slices, ["_key", "_slice"]).where("doc > first")
     dropped = dropped.groupBy("doc", "_row").agg(F.collect_set("at").alias("_drop"))
     return apply_drops(docs, dropped)
 
