@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, quality, toxicity, urls
+from . import lines, mixing, near, packing, quality, toxicity, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_url_filter(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_near_duplicates(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
