@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, near, packing, quality, toxicity, urls
+from . import lines, mixing, near, packing, quality, search, toxicity, urls
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op2_pack_sequences(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    return search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_nearest_neighbours(spark, sf_dir):
+    return search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -40,4 +48,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": lines.SQL, "op8_mix_sources": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op3_exact_top_k": search.EXACT_SQL, "op8_mix_sources": mixing.SQL}
