@@ -191,15 +191,34 @@ def linked(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def reach(neighbours: np.ndarray, entry: int) -> np.ndarray:
-    seen = np.zeros(len(neighbours), bool)
+def reach(neighbours: np.ndarray, entry: int, seen: np.ndarray) -> None:
+    """Mark in seen all nodes that links lead to from the entry."""
     front = np.array([entry])
     seen[entry] = True
     while len(front):
         to = np.unique(neighbours[front])
         front = to[(to >= 0) & ~seen[to]]
         seen[front] = True
-    return seen
+
+
+def connect(v: np.ndarray, neighbours: np.ndarray, entry: int) -> None:
+    """Give nodes that no walk from the entry reaches a link from the nearest node that one does and that has a place left, nearest pairs first."""
+    seen = np.zeros(len(v), bool)
+    reach(neighbours, entry, seen)
+    lost, met = np.flatnonzero(~seen), np.flatnonzero(seen)
+    near, sim = np.zeros(len(lost), np.int64), np.zeros(len(lost))
+    for s in range(0, len(lost), 512):
+        sims = v[lost[s : s + 512]] @ v[met].T
+        near[s : s + 512], sim[s : s + 512] = met[sims.argmax(axis=1)], sims.max(axis=1)
+    for i in np.argsort(-sim, kind="stable").tolist():
+        if seen[lost[i]]:
+            continue
+        at = int(near[i])
+        if neighbours[at, -1] >= 0:
+            open_places = np.flatnonzero(seen & (neighbours[:, -1] < 0))
+            at = int(open_places[np.argmax(v[open_places] @ v[lost[i]])])
+        neighbours[at, int(np.argmax(neighbours[at] < 0))] = lost[i]
+        reach(neighbours, int(lost[i]), seen)
 
 
 def graph(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -222,16 +241,7 @@ def graph(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
         members = np.flatnonzero(level >= k)
         to = linked(v[members])
         if k == 0:
-            entry = int(np.argmax(level))
-            while not (seen := reach(to, entry)).all():
-                lost, met = np.flatnonzero(~seen)[:512], np.flatnonzero(seen)
-                sims = v[lost] @ v[met].T
-                a, b = np.unravel_index(np.argmax(sims), sims.shape)
-                row = to[met[b]]
-                free = np.flatnonzero(row < 0)
-                row[free[0] if len(free) else int(np.argmin(np.where(seen[row], v[row] @ v[met[b]], np.inf)))] = lost[a]
-                if not len(free) and not reach(to, entry)[lost[a]]:
-                    break
+            connect(v, to, int(np.argmax(level)))
         out[f"members{k}"], out[f"to{k}"] = members.astype(np.int32), np.where(to >= 0, members[to], -1).astype(np.int32)
     return out
 
