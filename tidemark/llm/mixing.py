@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", bucket_rows: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document a mix with these weights takes.
+    """doc_id, source, size, source_size, target, taken, text_hash: how many words of each document a mix with these weights takes.
 
     Documents get a hash-random key. Within a source they are ordered by it: a prefix of the key's hex digits is the range
     (some bucket_rows rows in each of the large sources' ranges), sums by range give each range's start, and a window inside
@@ -47,7 +47,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     Nothing is dropped: a document that isn't taken has taken 0.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    sized = cut(docs.select("doc_id", "source", word_count(text_of()).alias("size"), key.alias("_key")))
+    sized = cut(docs.select("doc_id", "source", word_count(text_of()).alias("size"), key.alias("_key"), F.xxhash64(text_of()).alias("text_hash")))
     digits = min(4, max(1, math.ceil(math.log(max(sized.count(), 2) / bucket_rows, 16))))
     # a source's key is never null, so that joins need no null-safe comparison
     sized = sized.withColumn("_source", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))).withColumn("_range", F.substring("_key", 1, digits))
@@ -61,7 +61,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     placed = sized.join(starts, ["_source", "_range"]).withColumn("_before", F.col("_start") + F.sum("size").over(inside) - F.col("size"))
     rest = budget - rounds * F.col("source_size") - F.col("_before")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time a document is taken whole, and one for the document at the cut of each source, with its
+    first words alone and n_chars of these. Documents that the mix doesn't take have no row; so have texts without words.
+    """
+    keys = ["_doc", "_source", "_hash"]
+    named = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_doc"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source")]
+    taken = mix(docs, weights, cap, seed).where("taken > 0").select(*named, F.col("text_hash").alias("_hash"), "size", "taken").groupBy(*keys).agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"))
+    own = docs.select("*", *named, F.xxhash64(text_of()).alias("_hash")).dropDuplicates(keys).join(taken, keys)
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int"))
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    rows = own.withColumn("_copy", F.explode(F.sequence(F.lit(0), whole)))
+    rows = rows.withColumn("_words", F.when(F.col("_copy") < whole, F.col("_size")).otherwise(F.col("_taken") - whole * F.col("_size"))).where("_words > 0")
+    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), F.array_join(words, "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return rows.select(*docs.columns)
 
 
 SQL = r"""

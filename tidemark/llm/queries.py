@@ -31,7 +31,7 @@ def op7_near_duplicates(spark, sf_dir):
 
 
 def op8_mix_sources(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_quality_classifier(spark, sf_dir):
