@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, near, packing, quality, search, toxicity, urls
+from . import lines, mixing, near, packing, quality, search, substrings, toxicity, urls
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_url_filter(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_repeated_strings(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
