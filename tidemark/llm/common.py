@@ -33,3 +33,15 @@ def parallelism(spark: SparkSession) -> int:
 def text_of(name: str = "text"):
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def packed(docs: DataFrame, but: tuple[str, ...] = ("text",)):
+    """All columns but some as one struct, _rest, so that no name among them can clash with an operator's own."""
+    names = [c for c in docs.columns if c not in but]
+    return (F.struct(*(F.col(f"`{c}`").alias(c) for c in names)) if names else F.struct(F.lit(0).alias("_"))).alias("_rest")
+
+
+def unpacked(docs: DataFrame, own: dict | None = None) -> list:
+    """The columns of docs again, from _rest, with those in own replaced."""
+    own = own or {}
+    return [own[c].alias(c) if c in own else F.col("_rest").getField(c).alias(c) for c in docs.columns]

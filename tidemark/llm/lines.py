@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, parallelism, text_of
+from .common import WHITE, cut, packed, parallelism, text_of, unpacked
 
 MIN_CHARS = 10
 SALTS = 16
@@ -152,9 +152,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def apply_drops(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    columns = list(docs.columns)
-    own = docs.select(order_of(F.col("doc_id")).alias("_doc"), F.xxhash64(text_of()).alias("_hash"), *columns)
-    marked = own.join(dropped, (F.col("_doc") == F.col("doc")) & (F.col("_hash") == F.col("_row")), "left").select(*(F.col(c) for c in columns if c != "text"), text_of().alias("text"), F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"))
+    own = docs.select(order_of(F.col("doc_id")).alias("doc"), F.xxhash64(text_of()).alias("_row"), text_of().alias("_text"), packed(docs))
+    marked = own.join(dropped, ["doc", "_row"], "left").select("_rest", "_text", F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"))
 
     @F.pandas_udf("text string, n_lines long")
     def keep(texts, drops):
@@ -171,8 +170,8 @@ def apply_drops(docs: DataFrame, dropped: DataFrame) -> DataFrame:
             kept.append(text)
         return pd.DataFrame({"text": kept, "n_lines": n})
 
-    out = marked.withColumn("_kept", keep("text", "_drop"))
-    return out.select(*(F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in columns), F.col("_kept.n_lines").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"))
+    out = marked.withColumn("_kept", keep("_text", "_drop"))
+    return out.select(*unpacked(docs, {"text": F.col("_kept.text")}), F.col("_kept.n_lines").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, packed, text_of, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,15 +71,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     keys = ["_doc", "_source", "_hash"]
     named = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_doc"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source")]
     taken = mix(docs, weights, cap, seed).where("taken > 0").select(*named, F.col("text_hash").alias("_hash"), "size", "taken").groupBy(*keys).agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"))
-    own = docs.select("*", *named, F.xxhash64(text_of()).alias("_hash")).dropDuplicates(keys).join(taken, keys)
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int"))
+    own = docs.select(*named, F.xxhash64(text_of()).alias("_hash"), text_of().alias("_text"), packed(docs)).dropDuplicates(keys).join(taken, keys)
+    words = F.slice(F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int"))
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rows = own.withColumn("_copy", F.explode(F.sequence(F.lit(0), whole)))
     rows = rows.withColumn("_words", F.when(F.col("_copy") < whole, F.col("_size")).otherwise(F.col("_taken") - whole * F.col("_size"))).where("_words > 0")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), F.array_join(words, "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("_text", F.when(F.col("_words") < F.col("_size"), F.array_join(words, "")).otherwise(F.col("_text")))
+    new = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return rows.select(*unpacked(docs, new))
 
 
 SQL = r"""

@@ -113,11 +113,16 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
     return docs.withColumn(column, probability(F.encode(text_of(), "UTF-8")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1) -> DataFrame:
-    """docs with held_out, score and predicted (1 from a score of 0.5) added.
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """docs with held_out, score and predicted (1 from a score of 0.5) added, under these or other names.
 
     Labels are learnt only from rows whose crc32(doc_id as text) modulo parts is not held; a null doc_id is not held out and has no label.
     Texts are the only input of a score. Without any labelled row all scores are 0.5. Repeated rows get equal scores.
     """
-    scored = score(docs, fit(docs, labels, label, parts, held))
-    return scored.withColumn("held_out", F.coalesce(held_out(parts, held), F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = score(docs, fit(docs, labels, label, parts, held), names[1])
+    return scored.withColumn(names[0], F.coalesce(held_out(parts, held), F.lit(False))).withColumn(names[2], (F.col(names[1]) >= 0.5).cast("int"))
+
+
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that classify predicts label 1 for, with their own columns."""
+    return classify(docs, labels, names=("_held_out", "_score", "_predicted")).where("_predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -102,7 +102,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: floa
     itself of whose pages rules block one half. So hosts that little is known about, and pages without a host, are allowed. A host with a large share of all pages is dealt to SALTS tasks.
     Null urls have no host; null html has no links; repeated rows are judged alike. No rows: no rows.
     """
-    own = judged(pages, rules)
+    own = judged(pages.select("page_id", "url", "html"), rules)
     scores = host_scores(own.select("host", "_verdict", "html"), damping).withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
     bare = own.select("page_id", "host", "path", "rule", "_verdict", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("_salt"))
     known = bare.join(scores, ["host", "_salt"], "left")
