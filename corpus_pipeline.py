@@ -14,7 +14,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
