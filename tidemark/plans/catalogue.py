@@ -527,9 +527,9 @@ def _(spark, sf):
 _LAGS = [f"{m}_lag_{k}" for m in METRICS for k in features.LAGS]
 
 
-@query("w3_lags", f"WITH {FEATURES} SELECT campaign_id, date, {', '.join(_LAGS)} FROM feat")
+@query("w3_lags", f"WITH {FEATURES} SELECT campaign_id, date, {', '.join(f'{c}::DOUBLE AS {c}' for c in _LAGS)} FROM feat")
 def _(spark, sf):
-    return features.lag_features(unified(spark, sf)).select("campaign_id", "date", *_LAGS)
+    return features.lag_features(unified(spark, sf)).select("campaign_id", "date", *(F.col(c).cast("double").alias(c) for c in _LAGS))
 
 
 @query("w4_last_rows", f"WITH {FACT}, x AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY date DESC) AS rn FROM fact) SELECT campaign_id, date, revenue FROM x WHERE rn <= 14")
