@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,28 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, set if it isn't yet."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, by a Parquet table in the same folder: for small tables that each round of a loop makes from the last one's.
+
+    A checkpoint keeps its plan's size estimate, a product over its joins, whose digits double with each round; a table has the size of its files.
+    """
+    path = f"{shared(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -125,8 +125,8 @@ def suspects(keyed: DataFrame, bits: int) -> DataFrame:
     return found.select("doc", "_row", "x.key", "x.at")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with text replaced by the kept lines, and _n_lines, _n_dropped added.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """docs with text replaced by the kept lines, and, with counts, _n_lines and _n_dropped added.
 
     A line's key is the line without the six ASCII white-space characters at its ends, A-Z lower-cased. A key of min_chars
     code points or more that two documents or more have loses all its lines, but for those in the smallest doc_id that has it.
@@ -148,10 +148,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     slices = firsts.withColumn("_slice", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
     dropped = found.select(digest_of_key, "doc", "_row", "at", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("_slice")).join(slices, ["_key", "_slice"]).where("doc > first")
     dropped = dropped.groupBy("doc", "_row").agg(F.collect_set("at").alias("_drop"))
-    return apply_drops(docs, dropped)
+    return apply_drops(docs, dropped, counts)
 
 
-def apply_drops(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def apply_drops(docs: DataFrame, dropped: DataFrame, counts: bool) -> DataFrame:
     own = docs.select(order_of(F.col("doc_id")).alias("doc"), F.xxhash64(text_of()).alias("_row"), text_of().alias("_text"), packed(docs))
     marked = own.join(dropped, ["doc", "_row"], "left").select("_rest", "_text", F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"))
 
@@ -171,7 +171,8 @@ def apply_drops(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         return pd.DataFrame({"text": kept, "n_lines": n})
 
     out = marked.withColumn("_kept", keep("_text", "_drop"))
-    return out.select(*unpacked(docs, {"text": F.col("_kept.text")}), F.col("_kept.n_lines").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"))
+    numbers = [F.col("_kept.n_lines").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped")] if counts else []
+    return out.select(*unpacked(docs, {"text": F.col("_kept.text")}), *numbers)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -69,25 +69,22 @@ def max_score(postings: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int
     order = np.argsort(-bound, kind="stable")
     terms, bound = terms[order], bound[order]
     rest = np.append(np.cumsum(bound[::-1])[::-1], 0)  # rest[i]: bounds of the terms from i on
-    step = max(8, len(terms) // 4)
-    score = query[terms[:step]] @ postings[terms[:step]] if len(terms) else np.zeros(postings.shape[1])
+    step = min(max(8, len(terms) // 4), len(terms))
+    score = query[terms[:step]] @ postings[terms[:step]] if step else np.zeros(postings.shape[1])
     score[ids == own] = -np.inf
-    live, at = np.arange(len(ids)), min(step, len(terms))
     threshold = -np.inf
     lead = np.argpartition(-score, min(4 * k, len(score)) - 1)[: 4 * k]
     lead = lead[ids[lead] != own]
     if len(lead) >= k:
         threshold = np.partition(query[terms] @ postings[np.ix_(terms, lead)], len(lead) - k)[len(lead) - k]
-    live = live[score > -np.inf]
+    essential = max(step, int(np.count_nonzero(rest[:-1] >= threshold)))
+    score += query[terms[step:essential]] @ postings[terms[step:essential]]
+    live = np.flatnonzero((score > -np.inf) & (score + rest[essential] >= threshold))
     score = score[live]
-    while at < len(terms):
-        if rest[at] >= threshold:  # still essential: a row could reach the threshold by these terms alone
-            pass
-        keep = score + rest[at] >= threshold
+    for at in range(essential, len(terms), 8):
+        score = score + query[terms[at : at + 8]] @ postings[np.ix_(terms[at : at + 8], live)]
+        keep = score + rest[min(at + 8, len(terms))] >= threshold
         live, score = live[keep], score[keep]
-        chunk = terms[at : at + 8]
-        score = score + query[chunk] @ (postings[chunk] if len(live) == postings.shape[1] else postings[np.ix_(chunk, live)])
-        at += len(chunk)
     top = np.lexsort((ids[live], -score))[:k]
     return live[top], score[top]
 

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 SALTS = 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,7 +62,7 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, leas
     """Personalised PageRank: host, rank, where rank = (1 - damping) * seed + damping * what the hosts that point here pass on, in equal shares.
 
     seeds: host, seed (0 to 1, not null). edges: src, dst, distinct. Rounds end when no host changes by more than least. Each is written to the
-    checkpoint folder, so plans stay short. A host with very many links is dealt to SALTS tasks by its targets.
+    checkpoint folder, so plans stay short; what hosts pass on, their seeds and their last ranks meet in one aggregation. A host with very many links is dealt to SALTS tasks by its targets.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     dealt = cut(edges.join(degree, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")))
@@ -72,9 +72,10 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, leas
         return rank
     for _ in range(rounds):
         sent = rank.where("rank > 0").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))).withColumnRenamed("host", "src")
-        got = dealt.join(sent, ["src", "salt"]).groupBy("dst").agg((damping * F.sum(F.col("rank") / F.col("degree"))).alias("got"))
-        new = cut(base.join(got, base["host"] == got["dst"], "full").join(rank.select(F.col("host").alias("_host"), F.col("rank").alias("_old")), F.col("_host") == F.coalesce("host", "dst"), "left").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("rank"), "_old"))
-        change = new.agg(F.max(F.abs(F.col("rank") - F.coalesce("_old", F.lit(0.0))))).first()[0] or 0.0
+        got = dealt.join(sent, ["src", "salt"]).select(F.col("dst").alias("host"), (damping * F.col("rank") / F.col("degree")).alias("rank"), F.lit(0.0).alias("_old"))
+        parts = got.union(base.select("host", "seed", F.lit(0.0))).union(rank.select("host", F.lit(0.0), "rank"))
+        new = written(parts.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("_old").alias("_old")))
+        change = new.agg(F.max(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0.0
         rank = new.select("host", "rank")
         if change <= least:
             break
