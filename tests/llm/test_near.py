@@ -105,3 +105,28 @@ def test_long_chain(spark):
 def test_no_rows(none):
     assert near.near_duplicates(none).count() == 0
     assert near.without_near_duplicates(none).count() == 0
+
+
+def family(n, shared, rng):
+    """Shingle-disjoint texts of one template (similarity some 0.76 to each other), each second one with a copy of similarity just over 0.8 to it."""
+    template = [f"t{i}" for i in range(shared)]
+    texts = []
+    for i in range(n):
+        tail = [f"u{i}_{j}" for j in range(int(shared * 0.155))]
+        texts.append((i, " ".join(template + tail)))
+        if i % 2:
+            keep = int(len(tail) * 0.35)
+            texts.append((10_000 + i, " ".join(template + tail[:keep] + [f"v{i}_{j}" for j in range(len(tail) - keep)])))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_close_pairs_within_a_template(spark, monkeypatch):
+    """Every pair over the limit is found among many just below it, whichever parts its two documents fall into."""
+    monkeypatch.setattr(near, "PART", 16)
+    docs = family(80, 400, np.random.default_rng(5))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
+    want = brute_force(docs)[0]
+    assert len(set(want.values())) == 80
+    assert got == want

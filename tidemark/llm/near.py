@@ -16,7 +16,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: BANDS bands of ROWS coordinates each: two documents of similarity 0.8 share none of them once in 14,000 times.
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-#: Buckets of more members are compared in parts of some PART members, and with one member in common.
+#: Buckets of more members are compared in parts of some PART members: each with one in common first, then each two parts.
 PART = 256
 #: Pairs whose signatures agree less are not looked at: four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.65
@@ -113,10 +113,10 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
 
 def spanning(doc: np.ndarray, sign: np.ndarray) -> tuple[list[tuple[int, int]], int]:
-    """Pairs to confirm in one part of a bucket, and its most central member.
+    """Pairs to confirm first in one part of a bucket, and its most central member.
 
     Pairs are taken by falling agreement, those that connect two so far unconnected groups; and, as a pair near the limit may prove less
-    alike, the three best of each member under 0.9 besides.
+    alike, the three best of each member under 0.9 besides. All pairs that these leave unconnected are up to unconnected.
     """
     m = len(doc)
     agree = (sign[:, None, :] == sign[None, :, :]).mean(axis=2)
@@ -146,22 +146,38 @@ def spanning(doc: np.ndarray, sign: np.ndarray) -> tuple[list[tuple[int, int]],
     return out, int(doc[np.argmax(agree.sum(axis=1))])
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """a, b (a < b): pairs of documents to confirm, from buckets of documents that share a band. sets: doc_id, bands, signature, one row for each distinct set.
-
-    Buckets go in parts of some PART members through spanning. The most central member of a larger bucket's parts is paired with
-    all the bucket's members besides, so parts join up. No bucket is capped, and none is ever whole in a task.
-    """
-    spark = sets.sparkSession
+def bucket_members(sets: DataFrame) -> DataFrame:
+    """bucket, part, doc_id, signature, count (the bucket's members) of documents that share a band. sets: doc_id, bands, signature, one row for each distinct set."""
     # a band's hash heeds the band's number, so it names a bucket
     each = sets.select("doc_id", "signature", F.explode("bands").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     counts = each.groupBy("bucket").count().where("count > 1").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    members = each.join(counts, ["bucket", "salt"]).select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / PART)).alias("part"), "doc_id", "signature", "count")
-    members = cut(members)
+    return cut(each.join(counts, ["bucket", "salt"]).select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / PART)).alias("part"), "doc_id", "signature", "count"))
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
 
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that share the keys, of batches sorted by them."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        columns = [t.column(k).to_numpy() for k in keys]
+        last = np.flatnonzero(np.any([c != c[-1] for c in columns], axis=0)) if t.num_rows else np.zeros(0, np.int64)
+        end = int(last[-1]) + 1 if len(last) else 0
+        if end:
+            yield t.slice(0, end)
+        rest = t.slice(end)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs of documents to confirm first, from the buckets of bucket_members: few, but enough to connect most of what is alike.
+
+    Buckets go in parts of some PART members through spanning. The most central member of a larger bucket's parts is paired with
+    all the bucket's members besides, so parts join up. No bucket is ever whole in a task. What stays apart is up to unconnected.
+    """
+    spark = members.sparkSession
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def handled(t: pa.Table) -> pa.RecordBatch:
             bucket, part, doc, count = (t.column(c).to_numpy() for c in ("bucket", "part", "doc_id", "count"))
             sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
@@ -182,16 +198,8 @@ def candidates(sets: DataFrame) -> DataFrame:
             b = np.concatenate([p.max(axis=1), np.full(len(central), -1)])
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(p))], ["bucket", "a", "b", "central"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            bucket, part = t.column("bucket").to_numpy(), t.column("part").to_numpy()
-            last = np.flatnonzero((bucket != bucket[-1]) | (part != part[-1])) if len(bucket) else np.zeros(0, np.int64)
-            end = int(last[-1]) + 1 if len(last) else 0
-            if end:
-                yield handled(t.slice(0, end))
-            rest = t.slice(end)
-        if rest is not None and rest.num_rows:
-            yield handled(rest)
+        for t in grouped(batches, "bucket", "part"):
+            yield handled(t)
 
     n = parallelism(spark)
     found = cut(members.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(link, "bucket long, a long, b long, central boolean"))
@@ -201,6 +209,37 @@ def candidates(sets: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def unconnected(members: DataFrame, label: DataFrame) -> DataFrame:
+    """a, b (a < b): all pairs that share a bucket, have different labels and signatures that agree in at least LEAST_AGREEMENT.
+
+    label: node, label of confirmed classes; other documents are a class each. Buckets of one class are left out. In the others each two parts,
+    and each part with itself, make a group of some 2 * PART members, so every pair meets, and no group is larger.
+    """
+    spark = members.sparkSession
+    own = cut(members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    mixed_ones = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt"))
+    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / PART) - 1)
+    dealt = own.join(mixed_ones, ["bucket", "salt"]).select("bucket", "part", "doc_id", "signature", "label", F.explode(parts).alias("other"))
+    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "signature", "label")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "bucket", "low", "high"):
+            bucket, low, high, part, doc, label = (t.column(c).to_numpy() for c in ("bucket", "low", "high", "part", "doc_id", "label"))
+            sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            for f, e in zip(first.tolist(), np.append(first[1:], len(doc)).tolist(), strict=True):
+                left = np.arange(f, e)[part[f:e] == low[f]]
+                right = left if low[f] == high[f] else np.arange(f, e)[part[f:e] == high[f]]
+                for i in left.tolist():
+                    j = right[(label[right] != label[i]) & ((right > i) if right is left else True)]
+                    j = j[(sign[j] == sign[i]).mean(axis=1) >= LEAST_AGREEMENT]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
+
+    groups = dealt.repartition(parallelism(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return groups.mapInArrow(compare, "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """doc_id, shingles: 32 bits of each distinct shingle's hash (repeated as often as it weighs), sorted, as bytes."""
 
@@ -262,23 +301,28 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), copies (documents with the very same shingles) and n_links (links to different sets) of each document.
+    """doc_id, class_id (the smallest doc_id of its class) and copies (documents with the very same shingles) of each document.
 
     Documents are linked if their sets of word shingles have a Jaccard similarity of least or more; classes are what links connect. Candidates share a
-    band of their DartMinHash signatures; each is then confirmed on the sets themselves. Documents with one shingle set are one candidate.
+    band of their DartMinHash signatures; each is then confirmed on the sets themselves: first a few that connect most, then all pairs whose documents
+    aren't connected by confirmed links yet. Links within a class aren't all looked at, so they aren't counted. Documents with one shingle set are one candidate.
     Texts without words (null, empty, blank) are copies of each other. A null doc_id has a null class. Rows with one doc_id are judged by their own texts.
     """
     own = cut(signatures(docs, weighted))
     some = own.where("doc_id IS NOT NULL")
     firsts = cut(some.groupBy("set").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("x"), F.count("*").alias("copies")).select("set", "x.*", "copies"))
-    confirmed = cut(links(docs.where("doc_id IS NOT NULL"), candidates(firsts.select("doc_id", "bands", "signature")), least, weighted))
+    members, texts = bucket_members(firsts.select("doc_id", "bands", "signature")), docs.where("doc_id IS NOT NULL")
+    first = cut(candidates(members))
+    confirmed = cut(links(texts, first, least, weighted))
     label = components(confirmed)
-    degree = confirmed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = firsts.join(label, firsts["doc_id"] == label["node"], "left").drop("node").join(degree, firsts["doc_id"] == degree["node"], "left")
-    classes = classes.select("set", F.coalesce("label", "doc_id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    later = cut(unconnected(members, label).join(first, ["a", "b"], "left_anti"))
+    if not later.isEmpty():
+        label = components(confirmed.union(links(texts, later, least, weighted)))
+    classes = firsts.join(label, firsts["doc_id"] == label["node"], "left").drop("node")
+    classes = classes.select("set", F.coalesce("label", "doc_id").alias("class_id"), "copies").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
     dealt = own.select("doc_id", "set").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     out = dealt.join(classes, ["set", "salt"], "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
