@@ -102,6 +102,14 @@ def test_long_chain(spark):
     assert {r.label for r in got} == {0}
 
 
+def test_long_chain_in_any_order(spark):
+    ids = np.random.default_rng(4).permutation(1000).tolist()
+    edges = spark.createDataFrame([(min(p), max(p)) for p in zip(ids[:-1], ids[1:], strict=True)], "a long, b long")
+    got = near.components(edges).collect()
+    assert len(got) == 1000
+    assert {r.label for r in got} == {0}
+
+
 def test_no_rows(none):
     assert near.near_duplicates(none).count() == 0
     assert near.without_near_duplicates(none).count() == 0

@@ -285,19 +285,24 @@ def links(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY, weighted
     return both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long, similarity double")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, label: the smallest node that is connected. Each round takes the least label of all neighbours and then that label's own label, so long chains shrink fast."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node that is connected.
+
+    Each round takes the least label of all neighbours, lowers the label of the node that was the own label so far to it as well, and goes on to that
+    label's own label; so whole trees of labels join and rounds stay few on long chains, in whatever order their ids are. Ends when no label changes.
+    """
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")))
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).cast("long").alias("old"))
-        lower = near.union(labels.select("node", "label", "label")).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        lower = written(near.union(labels.select("node", "label", "label")).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        hooks = lower.where("label < old").select(F.col("old").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        lower = written(lower.union(hooks).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        hop = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         lower = written(lower.join(hop, "label", "left").select("node", "old", F.least("label", "next").alias("label")))
         labels = lower.select("node", "label")
         if lower.where("label <> old").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
