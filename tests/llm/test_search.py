@@ -111,3 +111,17 @@ def test_no_rows(spark):
     alone = vectors(spark, [(0, [1.0])])
     assert search.exact_top_k(alone).count() == 0
     assert search.nearest(alone).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Rows whose products leave 2 ** 53 or 64 bits, among others."""
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    vectors += [(100 + i, [float(x) for x in rng.integers(-(2**30), 2**30, 8)]) for i in range(10)] + [(200, [1e17] * 8), (201, [-1e17] * 8), (202, [1e30] + [0.0] * 7)]
+    got = search.exact_top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), every=10, k=5).collect()
+    ends = -(2**63), 2**63 - 1
+    clip = lambda s: min(max(s, ends[0]), ends[1])
+    whole = {i: [clip(math.floor(x * 256)) for x in v] for i, v in vectors}
+    for q in [i for i in whole if i % 10 == 0]:
+        want = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want

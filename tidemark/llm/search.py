@@ -89,12 +89,26 @@ def max_score(postings: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int
     return live[top], score[top]
 
 
+def peaks(x: np.ndarray) -> np.ndarray:
+    """The largest component of each row, by size."""
+    return np.abs(x.astype(float)).max(axis=1)
+
+
+def whole_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows with the query, cut to 64 bits."""
+    if not len(x) or x.shape[1] * peaks(x).max() * peaks(query[None])[0] < 2.0**62:
+        return x @ query
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(s, ends.min), ends.max) for s in x.astype(object) @ query.astype(object)], np.int64)
+
+
 def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k other rows with the largest inner product of floor(scale * component).
 
     Rows are dealt to shards and queries to blocks of fixed sizes, and each shard answers each block with max_score; a window merges the shards' answers. A
-    shorter vector lacks the further components, as if they were 0. See usable for the rows that take part. No rows: no rows. Scores are exact: in
-    doubles where sums stay below 2 ** 53, else in integers.
+    shorter vector lacks the further components, as if they were 0. See usable for the rows that take part. No rows: no rows. Scores are exact: by
+    max_score in doubles for rows and queries whose sums stay within 2 ** 53, else by whole_scores in integers; floors and scores beyond 64 bits count
+    as the largest or smallest 64-bit number.
     """
     own = usable(vectors, zero=True).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale)).alias("embedding"))
     dealt, asked, shards, blocks = deal(cut(own), every)
@@ -105,13 +119,22 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
         x, q = matrix(rows.column("embedding"), width, np.int64), matrix(queries.column("embedding"), width, np.int64)
         found: list[tuple[np.ndarray, ...]] = []
         if len(x) and len(q):
-            if width * float(np.abs(x).max()) * float(np.abs(q).max()) < 2.0**53:
-                x, q = x.astype(float), q.astype(float)
-            postings, ids = np.ascontiguousarray(x.T), rows.column("vec_id").to_numpy()
-            high, low = x.max(axis=0), x.min(axis=0)
-            for own_id, query in zip(queries.column("vec_id").to_pylist(), q, strict=True):
-                at, score = max_score(postings, ids, query, own_id, k, high, low)
-                found.append((np.full(len(at), own_id), ids[at], score.astype(np.int64)))
+            ids, limit = rows.column("vec_id").to_numpy(), math.isqrt(2**53 // width)
+            small, large = (np.flatnonzero(k) for k in (peaks(x) <= limit, peaks(x) > limit))
+            plain = x[small].astype(float)
+            postings, names = np.ascontiguousarray(plain.T), ids[small]
+            high, low = (plain.max(axis=0), plain.min(axis=0)) if len(small) else (None, None)
+            for own_id, query, peak in zip(queries.column("vec_id").to_pylist(), q, peaks(q).tolist(), strict=True):
+                fits = peak <= limit and len(small) > 0
+                at, score = max_score(postings, names, query.astype(float), own_id, k, high, low) if fits else (np.zeros(0, np.int64), np.zeros(0))
+                at = names[at]
+                if not fits or len(large):
+                    others = large if fits else np.arange(len(ids))
+                    others = others[ids[others] != own_id]
+                    at, score = np.concatenate([at, ids[others]]), np.concatenate([score.astype(np.int64), whole_scores(x[others], query)])
+                    top = np.lexsort((at, ~score))[:k]  # ~ turns the order around without overflow
+                    at, score = at[top], score[top]
+                found.append((np.full(len(at), own_id), at, score.astype(np.int64)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
 
