@@ -52,6 +52,18 @@ def test_spread_is_personalised_page_rank(spark):
     assert np.allclose([got[f"h{i}"] for i in range(n)], want, atol=1e-7)
 
 
+def test_scores_converge_on_a_cycle(spark):
+    """With the query's damping and bounds: trust goes around a cycle of hosts until it no longer changes."""
+    n = 3
+    lists = [(f"http://h{i}.{'org' if i == 0 else 'net'}/1", f'<a href="http://h{(i + 1) % n}.{"org" if (i + 1) % n == 0 else "net"}/">') for i in range(n)]
+    got = {r.host: r.trust for r in urls.host_scores(urls.judged(pages(spark, lists), urls.RULES)).collect()}
+    want = [0.15 * 0.85**i / (1 - 0.85**n) for i in range(n)]
+    assert np.allclose([got["h0.org"], got["h1.net"], got["h2.net"]], want, atol=1e-5)
+    seeds, edges = spark.createDataFrame([("a", 1.0)], "host string, seed double"), spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        urls.spread(seeds, edges, 0.85, 5, 1e-6).collect()
+
+
 def test_verdicts_flow(spark):
     """The one host that links to a blocked host is distrusted; one of two that link to another isn't yet; unknown hosts are allowed."""
     link = lambda *hosts: "".join(f'<a HREF = "//{h}/x">' for h in hosts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -58,11 +59,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.select("src", F.translate("dst", UPPER, UPPER.lower()).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, least: float) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int | None, least: float) -> DataFrame:
     """Personalised PageRank: host, rank, where rank = (1 - damping) * seed + damping * what the hosts that point here pass on, in equal shares.
 
-    seeds: host, seed (0 to 1, not null). edges: src, dst, distinct. Rounds end when no host changes by more than least. Each is written to the
-    checkpoint folder, so plans stay short; what hosts pass on, their seeds and their last ranks meet in one aggregation. A host with very many links is dealt to SALTS tasks by its targets.
+    seeds: host, seed (0 to 1, not null). edges: src, dst, distinct. Rounds end when no host changes by more than least. As all changes
+    together shrink by damping each round, that comes after a number of rounds which the sum of seeds gives; rounds sets another bound, and
+    ranks that still change then are an error. Each round is written to the checkpoint folder, so plans stay short; what hosts pass on, their seeds and their last ranks meet in one aggregation. A host with very many links is dealt to SALTS tasks by its targets.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     dealt = cut(edges.join(degree, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")))
@@ -70,6 +72,9 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, leas
     rank = base.select("host", F.col("seed").alias("rank"))
     if dealt.isEmpty():
         return rank
+    if rounds is None:
+        total = base.agg(F.sum("seed")).first()[0] or 0.0
+        rounds = 2 + max(0, math.ceil(math.log(least / max(total, least)) / math.log(damping)))
     for _ in range(rounds):
         sent = rank.where("rank > 0").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))).withColumnRenamed("host", "src")
         got = dealt.join(sent, ["src", "salt"]).select(F.col("dst").alias("host"), (damping * F.col("rank") / F.col("degree")).alias("rank"), F.lit(0.0).alias("_old"))
@@ -78,11 +83,11 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, leas
         change = new.agg(F.max(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0.0
         rank = new.select("host", "rank")
         if change <= least:
-            break
-    return rank
+            return rank
+    raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
 
 
-def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 20, least: float = 1e-6) -> DataFrame:
+def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int | None = None, least: float = 1e-6) -> DataFrame:
     """host, trust and distrust of each host of judged pages, and of hosts they link to.
 
     A host's seed of trust is the share of its pages that a rule allows, of distrust the share that a rule blocks. Trust follows
