@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, parallelism, text_of, written
-from .words import in_groups, mixed, words
+from .words import grouped, in_groups, mixed, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: BANDS bands of ROWS coordinates each: two documents of similarity 0.8 share none of them once in 14,000 times.
@@ -154,21 +154,6 @@ def bucket_members(sets: DataFrame) -> DataFrame:
     return cut(each.join(counts, ["bucket", "salt"]).select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / PART)).alias("part"), "doc_id", "signature", "count"))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """Tables of whole groups of rows that share the keys, of batches sorted by them."""
-    rest = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        columns = [t.column(k).to_numpy() for k in keys]
-        last = np.flatnonzero(np.any([c != c[-1] for c in columns], axis=0)) if t.num_rows else np.zeros(0, np.int64)
-        end = int(last[-1]) + 1 if len(last) else 0
-        if end:
-            yield t.slice(0, end)
-        rest = t.slice(end)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def candidates(members: DataFrame) -> DataFrame:
     """a, b (a < b): pairs of documents to confirm first, from the buckets of bucket_members: few, but enough to connect most of what is alike.
 
@@ -198,7 +183,7 @@ def candidates(members: DataFrame) -> DataFrame:
             b = np.concatenate([p.max(axis=1), np.full(len(central), -1)])
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(p))], ["bucket", "a", "b", "central"])
 
-        for t in grouped(batches, "bucket", "part"):
+        for t in grouped(batches, ["bucket", "part"]):
             yield handled(t)
 
     n = parallelism(spark)
@@ -223,7 +208,7 @@ def unconnected(members: DataFrame, label: DataFrame) -> DataFrame:
     dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "signature", "label")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "bucket", "low", "high"):
+        for t in grouped(batches, ["bucket", "low", "high"]):
             bucket, low, high, part, doc, label = (t.column(c).to_numpy() for c in ("bucket", "low", "high", "part", "doc_id", "label"))
             sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -67,3 +68,30 @@ def in_groups(items: list, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
             end += 1
         yield at, end
         at = end
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: str | list[str], rows: int = 1) -> Iterator[pa.Table]:
+    """Tables of some rows (at least, but for the last) of whole groups that share the keys, of batches sorted by them."""
+    names = [keys] if isinstance(keys, str) else keys
+    held: list[pa.RecordBatch] = []
+
+    def ends(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(k)[at].as_py() for k in names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = ends(batch, batch.num_rows - 1)
+        if held and ends(held[-1], held[-1].num_rows - 1) == last:
+            held.append(batch)
+            continue
+        own = np.any([batch.column(k).to_numpy() != x for k, x in zip(names, last, strict=True)], axis=0)
+        end = int(np.flatnonzero(own)[-1]) + 1 if own.any() else 0
+        if sum(b.num_rows for b in held) + end >= rows:
+            whole = [*held, batch.slice(0, end)] if end else held
+            yield pa.Table.from_batches(whole)
+            held = [batch.slice(end)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
