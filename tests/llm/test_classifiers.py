@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,25 +80,74 @@ def test_nearest_examples_match_all_cosines():
     """Block-max search finds what all cosines give."""
     rng = np.random.default_rng(8)
     terms = np.sort(rng.integers(-(1 << 62), 1 << 62, 50))
-    rows = []
-    for _ in range(700):
-        t = np.sort(rng.choice(50, rng.integers(0, 9), replace=False))
-        rows.append((terms[t], rng.integers(1, 6, len(t))))
-    idf = rng.random(50) + 0.2
-    index = toxicity.build(terms, idf, np.arange(700) * 2, rng.integers(0, 2, 700), rows)
+    have = [np.sort(rng.choice(50, rng.integers(0, 9), replace=False)) for _ in range(700)]
+    row, term = np.repeat(np.arange(700), [len(t) for t in have]), np.concatenate(have)
+    count, label, idf = rng.integers(1, 6, len(term)), rng.integers(0, 2, 700), rng.random(50) + 0.2
+    index = toxicity.build(terms, idf, np.arange(700) * 2, label, row, term, count)
+    n, ones = np.bincount(term, minlength=50), np.bincount(term, label[row], 50)
     full = np.zeros((700, 50))
-    for i, (h, c) in enumerate(rows):
-        full[i, np.searchsorted(terms, h)] = (1 + np.log(c)) * idf[np.searchsorted(terms, h)]
+    full[row, term] = (1 + np.log(count)) * idf[term] * toxicity.association(ones, n, index.share)[term]
     full /= np.maximum(np.sqrt((full**2).sum(axis=1, keepdims=True)), 1e-300)
     for i in range(0, 700, 5):
-        if not len(rows[i][0]):
-            continue
-        found, cosine = index.nearest(*index.vector(*rows[i]), but=i)
+        t = np.flatnonzero(full[i])
+        but = int(np.flatnonzero(index.doc_id == i * 2)[0])
+        found, cosine = index.nearest(t, full[i][t], but=but)
         sims = full @ full[i]
         sims[i] = -1
         want = np.sort(sims)[::-1][: toxicity.NEIGHBOURS]
         assert np.allclose(cosine, want[want > 1e-12])
-        assert np.allclose(sims[found], cosine)
+        assert np.allclose(sims[index.doc_id[found] // 2], cosine)
+
+
+def test_toxicity_query_matches_all_cosines(spark):
+    """Scores, neighbours and cosines of the query are those of all cosines with all labelled examples, over all their terms."""
+    from tidemark.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.queries()["op10_toxicity"](spark, folder).collect()}
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.toxic is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5}
+    pattern = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t\n\x0b\x0c\r ]+")
+    terms = {d: Counter(pattern.findall(t.lower())) for d, t in docs.items()}
+    df = Counter(w for c in terms.values() for w in c)
+    share = (sum(labels.values()) + 0.5) / (len(labels) + 1)
+    have, ones = Counter(w for d in labels for w in terms[d]), Counter(w for d, y in labels.items() if y for w in terms[d])
+
+    def vector(counts, own=None):
+        w = {}
+        for t, n in counts.items():
+            p = (ones[t] - (own or 0) + 4 * share) / (have[t] - (own is not None) + 4)
+            w[t] = (1 + math.log(n)) * math.log((len(docs) + 1) / df[t]) * (math.log(p / (1 - p)) - math.log(share / (1 - share))) ** 2 if have[t] else 0.0
+        length = math.sqrt(sum(x * x for x in w.values())) or 1
+        return {t: x / length for t, x in w.items() if x}
+
+    examples = {d: vector(terms[d]) for d in labels}
+
+    def nearest(v, but=None):
+        cosines = [(sum(x * e.get(t, 0.0) for t, x in v.items()), d) for d, e in examples.items() if d != but]
+        return sorted(((c, d) for c, d in cosines if c > 0), key=lambda p: (-p[0], p[1]))[:15]
+
+    def vote(near):
+        return (sum(c * labels[d] for c, d in near) + share) / (sum(c for c, _ in near) + 1)
+
+    a, b = toxicity.logistic(np.array([vote(nearest(vector(terms[d], y), d)) for d, y in labels.items()]), np.array(list(labels.values()), float))
+    assert len(got) == len(docs)
+    for d, counts in terms.items():
+        near, r = nearest(vector(counts)), got[d]
+        assert np.allclose(r.cosines, [c for c, _ in near], atol=1e-9)
+        assert len(r.neighbours) == len(near)
+        assert abs(r.score - 1 / (1 + math.exp(-(a * vote(near) + b)))) < 1e-6
+        assert bool(near) == any(have[t] and vector(counts).get(t) for t in counts)
+
+
+def test_every_language_is_learnt(spark):
+    """Held-out toxic documents of each language are found, the rarest too."""
+    from tidemark.llm import queries
+
+    got = queries.queries()["op10_toxicity"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1"), "doc_id").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    found = {r.lang: r.found for r in got.groupBy("lang").agg({"predicted": "avg"}).toDF("lang", "found").collect()}
+    assert set(found) == {"de", "en", "es", "fr"}
+    assert min(found.values()) >= 0.5
 
 
 def test_leader_learns():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import parallelism, text_of, written
 from .quality import held_out, sample_of_labels
-from .words import CLASS, in_groups, mixed, words
+from .words import CLASS, in_groups, words
 
-#: The index has EXAMPLES labelled rows at most, and TERMS terms at most.
-EXAMPLES, TERMS, LEAST_ASSOCIATION = 4000, 2048, 33.0
-#: That association comes by chance for one term in 1e8, as some 1e5 terms are looked at.
-BLOCK, NEIGHBOURS = 64, 15
+#: The index has EXAMPLES labelled rows at most, with all terms of their whole texts.
+EXAMPLES = 4000
+BLOCK, NEIGHBOURS, LEADING = 64, 15, 4
+#: How many examples of the usual mixture of labels each term counts as having besides its own.
+SMOOTHING = 4.0
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,101 +33,114 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row[first], h[first].view(np.int64), np.diff(np.append(first, len(h)))
 
 
-def families(texts: list[bytes]) -> np.ndarray:
-    """A number that near copies mostly share: the least hash of three words in a row, A-Z lower-cased."""
-    h, n = words([t.lower() for t in texts], CLASS)
-    out, end = np.zeros(len(texts), np.int64), 0
-    for i, k in enumerate(n.tolist()):
-        own = h[end : end + k]
-        end += k
-        triple = mixed(own[:-2] * np.uint64(9) + own[1:-1] * np.uint64(3) + own[2:]) if k > 2 else own
-        out[i] = triple.min().view(np.int64) if len(triple) else 0
-    return out
+def association(ones: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """How much terms tell about the label: the squared difference between the log-odds of label 1 among the n examples that have the term, ones of
+    them with label 1, and among all, smoothed. A term that no example has tells nothing: 0."""
+    has = (ones + SMOOTHING * share) / (n + SMOOTHING)
+    return (np.log(has / (1 - has)) - np.log(share / (1 - share))) ** 2
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at starts, one after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 @dataclass
 class Index:
     """Postings by term in blocks of BLOCK examples, each with its largest weight, as flat arrays.
 
-    Posting ranges of term t and block b are [start[t, b], start[t, b + 1]); most[t, b] is the largest weight there.
+    Term t has the blocks [first[t], first[t + 1]); each has its number block, its largest weight most, and the postings [start, next start).
     """
 
     terms: np.ndarray  # hashes, rising
-    idf: np.ndarray
+    factor: np.ndarray  # inverse document frequency times association
     doc_id: np.ndarray
     label: np.ndarray
-    start: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
     most: np.ndarray
+    start: np.ndarray
     example: np.ndarray
     weight: np.ndarray
-    prior: float  # share of label 1 among examples without any of the terms
-    scale: tuple[float, float] = (4.0, -2.0)
-
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms known here (numbers) and their weights, of length 1 together."""
-        at = np.minimum(np.searchsorted(self.terms, hashes), max(0, len(self.terms) - 1))
-        known = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-        t = at[known]
-        w = (1 + np.log(counts[known])) * self.idf[t]
-        return t, w / (np.sqrt(w @ w) or 1.0)
+    share: float  # of label 1 among the examples
+    scale: tuple[float, float] = (0.0, 0.0)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS examples of the largest cosines over 0, ties to the smaller number, and their cosines.
+        """The NEIGHBOURS examples of the largest cosines over 0 with the terms t of weights w (of length 1 together), ties to the smaller doc_id, and their cosines.
 
-        Blocks are taken by falling bound, the sum of query weight times the block's largest weight over the terms. Once the bound is
-        below the last neighbour's cosine, no later block has a nearer example.
+        A block's bound is the sum of query weight times the block's largest weight over the terms. The LEADING blocks of the largest bounds
+        are scored first; then all others whose bound reaches the last neighbour's cosine so far. The rest have no nearer example.
         """
-        bound = w @ self.most[t]
+        n = self.first[t + 1] - self.first[t]
+        entry, by = ranges(self.first[t], n), np.repeat(w, n)
+        bound = np.bincount(self.block[entry], by * self.most[entry], -(-len(self.label) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if len(found) == NEIGHBOURS and bound[b] < score[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for term, x in zip(t.tolist(), w.tolist(), strict=True):
-                a, e = self.start[term, b], self.start[term, b + 1]
-                if e > a:
-                    sums[self.example[a:e] - b * BLOCK] += x * self.weight[a:e]
+        order = order[bound[order] > 0]
+        found, cosine = np.zeros(0, np.int64), np.zeros(0)
+        for blocks in (order[:LEADING], order[LEADING:]):
+            if len(found) == NEIGHBOURS:
+                blocks = blocks[bound[blocks] >= cosine[-1] - 1e-9]
+            wanted = np.zeros(len(bound), bool)
+            wanted[blocks] = True
+            some = wanted[self.block[entry]]
+            e, x = entry[some], by[some]
+            n = self.start[e + 1] - self.start[e]
+            at = ranges(self.start[e], n)
+            sums = np.bincount(self.example[at], np.repeat(x, n) * self.weight[at], len(self.label))
             hit = np.flatnonzero(sums > 0)
-            hit = hit[hit + b * BLOCK != but]
-            found, score = np.concatenate([found, hit + b * BLOCK]), np.concatenate([score, sums[hit]])
-            best = np.lexsort((found, -score))[:NEIGHBOURS]
-            found, score = found[best], score[best]
-        return found, score
+            hit = hit[hit != but]
+            found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, sums[hit]])
+            best = np.lexsort((self.doc_id[found], -cosine))[:NEIGHBOURS]
+            found, cosine = found[best], cosine[best]
+        return found, cosine
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """The share of label 1 among the neighbours, each by its cosine, with one neighbour's worth of the prior."""
-        return float((cosine @ self.label[found] + self.prior) / (cosine.sum() + 1))
+        """The share of label 1 among the neighbours, each by its cosine, with one neighbour's worth of the share among all."""
+        return float((cosine @ self.label[found] + self.share) / (cosine.sum() + 1))
 
     def calibrated(self, vote: float) -> float:
         a, b = self.scale
         return float(1 / (1 + np.exp(-(a * vote + b))))
 
 
-def build(terms: np.ndarray, idf: np.ndarray, doc_id: np.ndarray, label: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-    """An index of examples given as (term hashes, counts), and its calibration: a logistic curve fitted to the votes that the
-    examples get from the others."""
-    blocks = max(1, -(-len(rows) // BLOCK))
-    index = Index(terms, idf, doc_id, label.astype(float), np.zeros((len(terms), blocks + 1), np.int64), np.zeros((len(terms), blocks)), np.zeros(0, np.int64), np.zeros(0), 0.0)
-    vectors = [index.vector(h, c) for h, c in rows]
-    empty = np.array([len(t) == 0 for t, _ in vectors], bool)
-    index.prior = float((label[empty].sum() + 0.5) / (empty.sum() + 1)) if len(rows) else 0.5
-    t = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-    w = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-    e = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    order = np.lexsort((e, t))
-    t, w, e = t[order], w[order], e[order]
-    index.example, index.weight = e, w
-    np.maximum.at(index.most, (t, e // BLOCK), w)
-    index.start = np.searchsorted(t * blocks + e // BLOCK, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1)[None, :])
-    votes, y = [], []
-    for i, (tt, ww) in enumerate(vectors):
-        if len(tt):
-            votes.append(index.vote(*index.nearest(tt, ww, but=i)))
-            y.append(label[i])
-    if len(set(y)) == 2:
-        index.scale = logistic(np.array(votes), np.array(y, float))
+def unit(w: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Weights of rows, each row's of length 1 together."""
+    length = np.sqrt(np.bincount(row, w * w, rows))
+    return w / np.where(length > 0, length, 1)[row]
+
+
+def build(terms: np.ndarray, idf: np.ndarray, doc_id: np.ndarray, label: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> Index:
+    """An index of examples. row, term (its number) and count: what terms each example has.
+
+    Weights are (1 + log count) * idf * association. Examples are numbered by their heaviest term, so that those alike share blocks. A logistic curve calibrates
+    the votes that the examples get from the others; there each example's own label is taken out of its terms' association, as
+    a new text's label isn't in it either.
+    """
+    share = (label.sum() + 0.5) / (len(label) + 1)
+    have, ones = np.bincount(term, minlength=len(terms)), np.bincount(term, label[row], len(terms))
+    factor = idf * association(ones, have, share)
+    tf = 1 + np.log(count)
+    weight = unit(tf * factor[term], row, len(label))
+    heaviest = np.full(len(label), -1)
+    order = np.lexsort((term, weight, row))
+    heaviest[row[order]] = term[order]  # the last of a row's assignments holds
+    order = np.lexsort((doc_id, heaviest))
+    place = np.argsort(order)
+    doc_id, label, row = doc_id[order], label[order].astype(float), place[row]
+    order = np.lexsort((row, term))
+    t, e, w = term[order], row[order], weight[order]
+    start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)])) if len(t) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(w, start) if len(t) else np.zeros(0)
+    index = Index(terms, factor, doc_id, label, np.searchsorted(t[start], np.arange(len(terms) + 1)), (e[start] // BLOCK).astype(np.int32), most, np.append(start, len(t)), e.astype(np.int32), w, float(share))
+    own = label[row]
+    w = unit(tf * idf[term] * association(ones[term] - own, have[term] - 1, share), row, len(label))
+    order = np.argsort(row, kind="stable")
+    limits = np.searchsorted(row[order], np.arange(len(label) + 1)).tolist()
+    votes = [index.vote(*index.nearest(term[at], w[at], but=i)) for i, at in enumerate(order[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True))]
+    if len(set(label.tolist())) == 2:
+        index.scale = logistic(np.array(votes), label)
+    elif len(label):
+        index.scale = (4.0, -2.0)
     return index
 
 
@@ -140,7 +156,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, floa
 
 
 def counted(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, terms and counts as arrays, and family (see families) of each text."""
+    """keep, and terms and counts as arrays, of each text."""
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,75 +165,81 @@ def counted(docs: DataFrame, *keep: str) -> DataFrame:
             for a, b in in_groups(texts):
                 row, h, n = term_counts(texts[a:b])
                 offsets = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.array(families(texts[a:b]))], [*keep, "terms", "counts", "family"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(n))], [*keep, "terms", "counts"])
+
+    return docs.select(*keep, F.encode(text_of(), "UTF-8").alias("_text")).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", terms array<long>, counts array<long>")
+
 
-    return docs.select(*keep, F.encode(text_of(), "UTF-8").alias("_text")).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", terms array<long>, counts array<long>, family long")
+def known_terms(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash's place among the terms, and whether it is one."""
+    at = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
+    return at, (terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool))
 
 
-def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many have each of the terms; over all documents, counted in each task and summed."""
+def document_counts(docs: DataFrame, terms: np.ndarray, parts: int = 16) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many have each of the terms: over all documents, counted in each task and summed part by part of the terms."""
     known = docs.sparkSession.sparkContext.broadcast(terms)
+    limits = [len(terms) * i // parts for i in range(parts + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(known.value), np.int64), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             n += len(texts)
             for a, b in in_groups(texts):
-                _, h, _ = term_counts(texts[a:b])
-                at = np.minimum(np.searchsorted(known.value, h), max(0, len(total) - 1))
-                total += np.bincount(at[known.value[at] == h], minlength=len(total)) if len(total) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["term", "n"])
+                at, is_one = known_terms(known.value, term_counts(texts[a:b])[1])
+                total += np.bincount(at[is_one], minlength=len(total))
+        for i in range(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n]), pa.array([zlib.compress(total[limits[i] : limits[i + 1]].tobytes(), 1)], pa.binary())], ["part", "n", "counts"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, counts = found.get(r["part"], (0, 0))
+                found[r["part"]] = n + r["n"], counts + np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        for i, (n, counts) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n]), pa.array([counts.tobytes()], pa.binary())], ["part", "n", "counts"])
+
+    schema = "part int, n long, counts binary"
+    sent = docs.select(F.encode(text_of(), "UTF-8")).mapInArrow(count, schema)
     out, n = np.zeros(len(terms), np.int64), 0
-    for term, total in docs.select(F.encode(text_of(), "UTF-8")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # a row per term, TERMS + 1 at most
-        if term < 0:
-            n = total
-        else:
-            out[term] = total
+    for i, n, counts in sent.repartition(min(parts, parallelism(docs.sparkSession)), "part").mapInArrow(add, schema).collect():  # parts rows
+        out[limits[i] : limits[i + 1]] = np.frombuffer(counts, np.int64)
     return n, out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0) -> Index:
-    """The index of a bounded sample of labelled rows.
+    """The index of a bounded sample of labelled rows, with all terms of their whole texts.
 
-    Terms are those whose presence in the sample goes with label 1 or 0 beyond chance (likelihood ratio of the 2 x 2 table of at least
-    LEAST_ASSOCIATION, near copies counted as one), the TERMS strongest at most: with all words, the chance overlap of long texts outweighs the few words that matter.
-    Inverse document frequencies count all documents.
+    Inverse document frequencies count all documents. With those alone the chance overlap of long texts outweighs the few words that matter, so a term's weight heeds
+    how much it tells about the label too (see association). The driver gets the terms and, from the one task that builds it, the index.
     """
     sample = sample_of_labels(labels, label, ~held_out(parts, held), EXAMPLES)
-    rows = counted(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("y").cast("long").alias("y"), F.max("text").alias("text")), "doc_id", "y").persist()
-    by_label = [F.countDistinct(F.when(F.col("y") == y, F.col("family"))).cast("double") for y in (1, 0)]
-    n1, n0 = rows.agg(*by_label).first()
-    n = n1 + n0
-    have = rows.select("y", "family", F.explode("terms").alias("term")).groupBy("term").agg(by_label[0].alias("a"), by_label[1].alias("b"))
-
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    seen = F.col("a") + F.col("b")
-    table = [(F.col("a"), seen * n1 / max(n, 1)), (F.col("b"), seen * (n - n1) / max(n, 1)), (n1 - F.col("a"), (n - seen) * n1 / max(n, 1)), (n - n1 - F.col("b"), (n - seen) * (n - n1) / max(n, 1))]
-    strong = have.withColumn("g", 2 * sum((part(o, e) for o, e in table), F.lit(0.0))).where(F.col("g") >= LEAST_ASSOCIATION).orderBy(F.desc("g"), "term").limit(TERMS)
-    terms = np.sort(np.array([r.term for r in strong.select("term").collect()], np.int64))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("y").cast("long").alias("y"), F.max("text").alias("text"))
+    rows = written(counted(chosen, "doc_id", "y"))
+    terms = np.sort(rows.select(F.explode("terms").alias("term")).distinct().toArrow().column("term").to_numpy())
     total, counts = document_counts(docs, terms)
-    chosen = docs.sparkSession.sparkContext.broadcast(terms)
-
-    @F.pandas_udf("array<struct<term: long, n: long>>")
-    def only(hashes, numbers):
-        import pandas as pd
+    known = docs.sparkSession.sparkContext.broadcast((terms, np.log((total + 1) / np.maximum(counts, 1))))
 
-        return pd.Series([[{"term": t, "n": c} for t, c in zip(h[k].tolist(), m[k].tolist(), strict=True)] for h, m in zip(hashes, numbers, strict=True) for k in [np.isin(h, chosen.value)]])
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("doc_id").combine_chunks()
+        lists = t.column("terms").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        values = [t.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts")]
+        own = build(*known.value, t.column("doc_id").to_numpy(), t.column("y").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(known.value[0], values[0]), values[1])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["index"])
 
-    got = rows.select("doc_id", "y", only("terms", "counts").alias("t")).orderBy("doc_id").collect()  # EXAMPLES rows at most, of the chosen terms
-    rows.unpersist()
-    vectors = [(np.array([x.term for x in r.t], np.int64), np.array([x.n for x in r.t], np.int64)) for r in got]
-    return build(terms, np.log1p(total / np.maximum(counts, 1)), np.array([r.doc_id for r in got], np.int64), np.array([r.y for r in got], np.int64), vectors)
+    made = rows.repartition(1).mapInArrow(index, "index binary").first() if len(rows.take(1)) else None  # EXAMPLES rows at most
+    if made is None:
+        none = np.zeros(0, np.int64)
+        return build(none, np.zeros(0), none, none, none, none, none)
+    return pickle.loads(made["index"])
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """docs with score (0 to 1), neighbours (doc_ids of the examples, nearest first) and cosines added. A text with none of the terms, empty and null
-    ones too, gets the share of label 1 among such examples, and no neighbours."""
+    """docs with score (0 to 1), neighbours (doc_ids of the examples, nearest first) and cosines added. A text that shares no term that tells anything
+    with an example, empty and null ones too, has no neighbours and the score of a vote without any."""
     known = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
@@ -228,17 +250,15 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         seen: dict[bytes, tuple] = {}
         for a, b in in_groups(items):
             row, h, n = term_counts(items[a:b])
-            at = np.minimum(np.searchsorted(own.terms, h), max(0, len(own.terms) - 1))
-            keep = own.terms[at] == h if len(own.terms) else np.zeros(len(h), bool)
-            row, h, n = row[keep], h[keep], n[keep]
+            at, is_one = known_terms(own.terms, h)
+            row, t = row[is_one], at[is_one]
+            w = unit((1 + np.log(n[is_one])) * own.factor[t], row, b - a)
+            row, t, w = row[w > 0], t[w > 0], w[w > 0]
             limits = np.searchsorted(row, np.arange(b - a + 1)).tolist()
             for s, e in zip(limits[:-1], limits[1:], strict=True):
-                if s == e:
-                    out.append((own.prior, [], []))
-                    continue
-                key = h[s:e].tobytes() + n[s:e].tobytes()
+                key = t[s:e].tobytes() + w[s:e].tobytes()
                 if key not in seen:
-                    found, cosine = own.nearest(*own.vector(h[s:e], n[s:e]))
+                    found, cosine = own.nearest(t[s:e], w[s:e])
                     seen[key] = own.calibrated(own.vote(found, cosine)), own.doc_id[found].tolist(), cosine.tolist()
                 out.append(seen[key])
         return pd.DataFrame(out, columns=["score", "neighbours", "cosines"])
