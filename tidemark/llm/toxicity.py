@@ -18,7 +18,7 @@ from .words import CLASS, in_groups, words
 
 #: The index has EXAMPLES labelled rows at most, with all terms of their whole texts.
 EXAMPLES = 4000
-BLOCK, NEIGHBOURS, LEADING = 64, 15, 4
+BLOCK, NEIGHBOURS, LEADING = 32, 15, 64
 #: How many examples of the usual mixture of labels each term counts as having besides its own.
 SMOOTHING = 4.0
 
@@ -49,7 +49,8 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Index:
     """Postings by term in blocks of BLOCK examples, each with its largest weight, as flat arrays.
 
-    Term t has the blocks [first[t], first[t + 1]); each has its number block, its largest weight most, and the postings [start, next start).
+    Term t has the blocks [first[t], first[t + 1]); each has its number block, its largest weight most, and the postings [start, next start). Example i has the
+    terms own_term and their weights at [limit[i], limit[i + 1]).
     """
 
     terms: np.ndarray  # hashes, rising
@@ -62,37 +63,48 @@ class Index:
     start: np.ndarray
     example: np.ndarray
     weight: np.ndarray
+    limit: np.ndarray
+    own_term: np.ndarray
+    own_weight: np.ndarray
     share: float  # of label 1 among the examples
     scale: tuple[float, float] = (0.0, 0.0)
+    query: np.ndarray | None = None  # one query's weights, by term
 
     def nearest(self, t: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The NEIGHBOURS examples of the largest cosines over 0 with the terms t of weights w (of length 1 together), ties to the smaller doc_id, and their cosines.
 
-        A block's bound is the sum of query weight times the block's largest weight over the terms. The LEADING blocks of the largest bounds
-        are scored first; then all others whose bound reaches the last neighbour's cosine so far. The rest have no nearer example.
+        The postings of the LEADING heaviest terms are summed for all examples. What the other terms add to an example is at most its block's bound, the sum of
+        query weight times the block's largest weight. The examples that lead so far are scored in full, by their own terms; then all that can still reach the least of these.
         """
-        n = self.first[t + 1] - self.first[t]
-        entry, by = ranges(self.first[t], n), np.repeat(w, n)
-        bound = np.bincount(self.block[entry], by * self.most[entry], -(-len(self.label) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for blocks in (order[:LEADING], order[LEADING:]):
-            if len(found) == NEIGHBOURS:
-                blocks = blocks[bound[blocks] >= cosine[-1] - 1e-9]
-            wanted = np.zeros(len(bound), bool)
-            wanted[blocks] = True
-            some = wanted[self.block[entry]]
-            e, x = entry[some], by[some]
-            n = self.start[e + 1] - self.start[e]
-            at = ranges(self.start[e], n)
-            sums = np.bincount(self.example[at], np.repeat(x, n) * self.weight[at], len(self.label))
-            hit = np.flatnonzero(sums > 0)
-            hit = hit[hit != but]
-            found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, sums[hit]])
-            best = np.lexsort((self.doc_id[found], -cosine))[:NEIGHBOURS]
-            found, cosine = found[best], cosine[best]
-        return found, cosine
+        order = np.argsort(-w, kind="stable")
+        heavy, light = order[:LEADING], order[LEADING:]
+        entry, n = self.first[t[heavy]], self.start[self.first[t[heavy] + 1]] - self.start[self.first[t[heavy]]]
+        at = ranges(self.start[entry], n)
+        sums = np.bincount(self.example[at], np.repeat(w[heavy], n) * self.weight[at], len(self.label))
+        n = self.first[t[light] + 1] - self.first[t[light]]
+        entry = ranges(self.first[t[light]], n)
+        bound = np.bincount(self.block[entry], np.repeat(w[light], n) * self.most[entry], -(-len(self.label) // BLOCK))
+        most = sums + np.repeat(bound, BLOCK)[: len(sums)]
+        if but >= 0:
+            sums[but] = most[but] = -1
+        lead = np.argpartition(sums, -NEIGHBOURS)[-NEIGHBOURS:] if len(sums) > NEIGHBOURS else np.arange(0)
+        least = self.cosines(t, w, lead[sums[lead] >= 0]).min() if len(lead) else 0.0
+        found = np.flatnonzero((most >= least - 1e-9) & (most > 0))
+        cosine = self.cosines(t, w, found)
+        best = np.lexsort((self.doc_id[found], -cosine))[:NEIGHBOURS]
+        best = best[cosine[best] > 0]
+        return found[best], cosine[best]
+
+    def cosines(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """The cosines of some examples with the terms t of weights w."""
+        if self.query is None:
+            self.query = np.zeros(len(self.terms))
+        self.query[t] = w
+        n = self.limit[examples + 1] - self.limit[examples]
+        at = ranges(self.limit[examples], n)
+        out = np.bincount(np.repeat(np.arange(len(examples)), n), self.query[self.own_term[at]] * self.own_weight[at], len(examples))
+        self.query[t] = 0
+        return out
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """The share of label 1 among the neighbours, each by its cosine, with one neighbour's worth of the share among all."""
@@ -131,12 +143,13 @@ def build(terms: np.ndarray, idf: np.ndarray, doc_id: np.ndarray, label: np.ndar
     t, e, w = term[order], row[order], weight[order]
     start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)])) if len(t) else np.zeros(0, np.int64)
     most = np.maximum.reduceat(w, start) if len(t) else np.zeros(0)
-    index = Index(terms, factor, doc_id, label, np.searchsorted(t[start], np.arange(len(terms) + 1)), (e[start] // BLOCK).astype(np.int32), most, np.append(start, len(t)), e.astype(np.int32), w, float(share))
+    by_row = np.argsort(row, kind="stable")
+    limit = np.searchsorted(row[by_row], np.arange(len(label) + 1))
+    index = Index(terms, factor, doc_id, label, np.searchsorted(t[start], np.arange(len(terms) + 1)), (e[start] // BLOCK).astype(np.int32), most, np.append(start, len(t)), e.astype(np.int32), w, limit, term[by_row].astype(np.int32), weight[by_row], float(share))
     own = label[row]
     w = unit(tf * idf[term] * association(ones[term] - own, have[term] - 1, share), row, len(label))
-    order = np.argsort(row, kind="stable")
-    limits = np.searchsorted(row[order], np.arange(len(label) + 1)).tolist()
-    votes = [index.vote(*index.nearest(term[at], w[at], but=i)) for i, at in enumerate(order[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True))]
+    parts = np.split(by_row, limit[1:-1]) if len(label) else []
+    votes = [index.vote(*index.nearest(term[at], w[at], but=i)) for i, at in enumerate(parts)]
     if len(set(label.tolist())) == 2:
         index.scale = logistic(np.array(votes), label)
     elif len(label):
