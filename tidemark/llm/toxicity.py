@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ EXAMPLES = 4000
 BLOCK, NEIGHBOURS, LEADING = 32, 15, 64
 #: How many examples of the usual mixture of labels each term counts as having besides its own.
 SMOOTHING = 4.0
+#: More than sums of weights can be off that are rounded to 32 bits.
+ROUNDING = 1e-5
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ class Index:
     """Postings by term in blocks of BLOCK examples, each with its largest weight, as flat arrays.
 
     Term t has the blocks [first[t], first[t + 1]); each has its number block, its largest weight most, and the postings [start, next start). Example i has the
-    terms own_term and their weights at [limit[i], limit[i + 1]).
+    terms own_term and their weights at [limit[i], limit[i + 1]). Weights in postings and blocks are rounded to 32 bits: they only tell which examples can be near.
     """
 
     terms: np.ndarray  # hashes, rising
@@ -89,7 +92,7 @@ class Index:
             sums[but] = most[but] = -1
         lead = np.argpartition(sums, -NEIGHBOURS)[-NEIGHBOURS:] if len(sums) > NEIGHBOURS else np.arange(0)
         least = self.cosines(t, w, lead[sums[lead] >= 0]).min() if len(lead) else 0.0
-        found = np.flatnonzero((most >= least - 1e-9) & (most > 0))
+        found = np.flatnonzero((most >= least - ROUNDING) & (most > 0))
         cosine = self.cosines(t, w, found)
         best = np.lexsort((self.doc_id[found], -cosine))[:NEIGHBOURS]
         best = best[cosine[best] > 0]
@@ -145,7 +148,8 @@ def build(terms: np.ndarray, idf: np.ndarray, doc_id: np.ndarray, label: np.ndar
     most = np.maximum.reduceat(w, start) if len(t) else np.zeros(0)
     by_row = np.argsort(row, kind="stable")
     limit = np.searchsorted(row[by_row], np.arange(len(label) + 1))
-    index = Index(terms, factor, doc_id, label, np.searchsorted(t[start], np.arange(len(terms) + 1)), (e[start] // BLOCK).astype(np.int32), most, np.append(start, len(t)), e.astype(np.int32), w, limit, term[by_row].astype(np.int32), weight[by_row], float(share))
+    small = [x.astype(np.int32) for x in (np.searchsorted(t[start], np.arange(len(terms) + 1)), np.append(start, len(t)), term[by_row])]
+    index = Index(terms, factor, doc_id, label, small[0], (e[start] // BLOCK).astype(np.int16), most.astype(np.float32), small[1], e.astype(np.int16), w.astype(np.float32), limit, small[2], weight[by_row], float(share))
     own = label[row]
     w = unit(tf * idf[term] * association(ones[term] - own, have[term] - 1, share), row, len(label))
     parts = np.split(by_row, limit[1:-1]) if len(label) else []
@@ -219,11 +223,20 @@ def document_counts(docs: DataFrame, terms: np.ndarray, parts: int = 16) -> tupl
     out, n = np.zeros(len(terms), np.int64), 0
     for i, n, counts in sent.repartition(min(parts, parallelism(docs.sparkSession)), "part").mapInArrow(add, schema).collect():  # parts rows
         out[limits[i] : limits[i + 1]] = np.frombuffer(counts, np.int64)
+    known.destroy()
     return n, out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0) -> Index:
-    """The index of a bounded sample of labelled rows, with all terms of their whole texts.
+def packed_index(index: Index) -> bytes:
+    return zlib.compress(pickle.dumps(index), 1)
+
+
+def index_of(packed: bytes) -> Index:
+    return pickle.loads(zlib.decompress(packed))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0) -> bytes:
+    """The index of a bounded sample of labelled rows, with all terms of their whole texts, as bytes (see index_of).
 
     Inverse document frequencies count all documents. With those alone the chance overlap of long texts outweighs the few words that matter, so a term's weight heeds
     how much it tells about the label too (see association). The driver gets the terms and, from the one task that builds it, the index.
@@ -241,25 +254,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
         sizes = np.diff(lists.offsets.to_numpy())
         values = [t.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts")]
         own = build(*known.value, t.column("doc_id").to_numpy(), t.column("y").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(known.value[0], values[0]), values[1])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["index"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed_index(own)], pa.binary())], ["index"])
 
     made = rows.repartition(1).mapInArrow(index, "index binary").first() if len(rows.take(1)) else None  # EXAMPLES rows at most
-    if made is None:
-        none = np.zeros(0, np.int64)
-        return build(none, np.zeros(0), none, none, none, none, none)
-    return pickle.loads(made["index"])
+    known.destroy()
+    none = np.zeros(0, np.int64)
+    return bytes(made["index"]) if made else packed_index(build(none, np.zeros(0), none, none, none, none, none))
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, index: bytes) -> DataFrame:
     """docs with score (0 to 1), neighbours (doc_ids of the examples, nearest first) and cosines added. A text that shares no term that tells anything
     with an example, empty and null ones too, has no neighbours and the score of a vote without any."""
     known = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
-    def judge(texts):
-        import pandas as pd
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = index_of(known.value)
+        for texts in batches:
+            yield pd.DataFrame(judged(texts.tolist(), own), columns=["score", "neighbours", "cosines"])
 
-        own, items, out = known.value, texts.tolist(), []
+    def judged(items: list[bytes], own: Index) -> list[tuple]:
+        out: list[tuple] = []
         seen: dict[bytes, tuple] = {}
         for a, b in in_groups(items):
             row, h, n = term_counts(items[a:b])
@@ -274,7 +289,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                     found, cosine = own.nearest(t[s:e], w[s:e])
                     seen[key] = own.calibrated(own.vote(found, cosine)), own.doc_id[found].tolist(), cosine.tolist()
                 out.append(seen[key])
-        return pd.DataFrame(out, columns=["score", "neighbours", "cosines"])
+        return out
 
     return docs.withColumn("_judged", judge(F.encode(text_of(), "UTF-8"))).select(*docs.columns, "_judged.score", "_judged.neighbours", "_judged.cosines")
 
