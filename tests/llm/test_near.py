@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from conftest_rows import rows
 
@@ -7,8 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def shingles(text):
+    """Each shingle as often as the text has it, told apart by numbers."""
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    counts = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {(s, k) for s, n in counts.items() for k in range(n)}
 
 
 def brute_force(docs, least=0.8):
@@ -79,8 +83,8 @@ def test_signatures_agree_by_weighted_similarity():
 def test_weighted_sets(spark):
     text = " ".join(["a b c d e f"] * 30)
     df = spark.createDataFrame([(1, text), (2, text + " a b c d e f"), (3, "a b c d e f a b c d e f")], "doc_id long, text string")
-    plain = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
-    weighted = {r.doc_id: r.class_id for r in near.near_duplicates(df, weighted=True).collect()}
+    plain = {r.doc_id: r.class_id for r in near.near_duplicates(df, weighted=False).collect()}
+    weighted = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
     assert plain == {1: 1, 2: 1, 3: 1}
     assert weighted == {1: 1, 2: 1, 3: 3}
 
@@ -138,3 +142,29 @@ def test_close_pairs_within_a_template(spark, monkeypatch):
     want = brute_force(docs)[0]
     assert len(set(want.values())) == 80
     assert got == want
+
+
+def test_all_pairs_of_a_large_bucket_are_compared(spark):
+    """400 planted pairs of 90 % agreement in one bucket, some 36 % across pairs: each is a candidate, at the shipped part size."""
+    rng = np.random.default_rng(6)
+    common = rng.random(near.COORDINATES) < 0.6
+    base = rng.integers(0, 256, near.COORDINATES)
+    rows = []
+    for i in range(400):
+        one = np.where(common, base, rng.integers(0, 256, near.COORDINATES))
+        other = np.where(rng.random(near.COORDINATES) < 0.9, one, rng.integers(0, 256, near.COORDINATES))
+        rows += [(7, int(rng.integers(0, 4)), 2 * i + k, bytes(x.astype(np.uint8)), 800) for k, x in enumerate((one, other))]
+    members = spark.createDataFrame(rows, "bucket long, part long, set long, signature binary, count long").repartition(4)
+    planted = {(2 * i, 2 * i + 1) for i in range(400)}
+    first = {(r.a, r.b) for r in near.candidates(members).collect()} & planted
+    label = near.components(spark.createDataFrame(sorted(first), "a long, b long"))
+    later = {(r.a, r.b) for r in near.unconnected(members, label).collect()}
+    assert first | (later & planted) == planted
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_own_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    df = spark.createDataFrame([(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, "alone")], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.class_id, r.copies) for r in near.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 1)]
+    assert sorted(r.text for r in near.without_near_duplicates(df).collect()) == sorted([one, two, "alone"])

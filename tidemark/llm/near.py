@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, text_of, written
+from .common import cut, packed, parallelism, text_of, unpacked, written
 from .words import grouped, in_groups, mixed, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -18,8 +18,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Buckets of more members are compared in parts of some PART members: each with one in common first, then each two parts.
 PART = 256
-#: Pairs whose signatures agree less are not looked at: four standard deviations below 0.8.
-LEAST_AGREEMENT = 0.65
+#: Pairs whose signatures agree less are not looked at: more than five standard deviations below 0.8, which comes once in some 50 million.
+LEAST_AGREEMENT = 0.6
 SALTS = 8
 
 
@@ -89,15 +89,15 @@ def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, ro
     return sign.reshape(rows, k)
 
 
-def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, set (a hash of the shingle set; 0 for texts without words), bands (hashes of each band's coordinates) and signature (a byte of each coordinate).
+def signatures(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id, hash (of the text), set (a hash of the shingles and their weights; 0 for texts without words), bands (hashes of each band's coordinates) and signature (a byte of each coordinate).
 
     weighted: a shingle weighs as often as it occurs; else each weighs 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in in_groups(texts):
                 row, h, n = shingles(texts[a:b])
                 weight = n.astype(float) if weighted else np.ones(len(n))
@@ -107,9 +107,9 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(ROWS)], np.uint64)
                 bands = mixed((sign.reshape(b - a, BANDS, ROWS) * power).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), pa.array([x.tobytes() for x in (sign >> np.uint64(17)).astype(np.uint8)], pa.binary())], ["doc_id", "set", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), pa.array([x.tobytes() for x in (sign >> np.uint64(17)).astype(np.uint8)], pa.binary())], ["doc_id", "hash", "set", "bands", "signature"])
 
-    return docs.select("doc_id", F.encode(text_of(), "UTF-8")).mapInArrow(run, "doc_id long, set long, bands array<long>, signature binary")
+    return docs.select("doc_id", F.xxhash64(text_of()), F.encode(text_of(), "UTF-8")).mapInArrow(run, "doc_id long, hash long, set long, bands array<long>, signature binary")
 
 
 def spanning(doc: np.ndarray, sign: np.ndarray) -> tuple[list[tuple[int, int]], int]:
@@ -147,24 +147,34 @@ def spanning(doc: np.ndarray, sign: np.ndarray) -> tuple[list[tuple[int, int]],
 
 
 def bucket_members(sets: DataFrame) -> DataFrame:
-    """bucket, part, doc_id, signature, count (the bucket's members) of documents that share a band. sets: doc_id, bands, signature, one row for each distinct set."""
+    """bucket, part, set, signature, count (the bucket's members) of sets that share a band. sets: set, bands, signature, one row for each."""
     # a band's hash heeds the band's number, so it names a bucket
-    each = sets.select("doc_id", "signature", F.explode("bands").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    counts = each.groupBy("bucket").count().where("count > 1").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    return cut(each.join(counts, ["bucket", "salt"]).select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / PART)).alias("part"), "doc_id", "signature", "count"))
+    each = sets.select("set", "signature", F.explode("bands").alias("bucket")).withColumn("salt", salt_of("set"))
+    counts = salted(each.groupBy("bucket").count().where("count > 1"))
+    part = F.pmod(F.xxhash64("set", F.lit(3)), F.ceil(F.col("count") / PART))
+    return cut(each.join(counts, ["bucket", "salt"]).select("bucket", part.alias("part"), "set", "signature", "count"))
+
+
+def salt_of(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """Each row once for each salt."""
+    return df.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """a, b (a < b): pairs of documents to confirm first, from the buckets of bucket_members: few, but enough to connect most of what is alike.
+    """a, b (a < b): pairs of sets to confirm first, from the buckets of bucket_members: few, but enough to connect most of what is alike.
 
-    Buckets go in parts of some PART members through spanning. The most central member of a larger bucket's parts is paired with
-    all the bucket's members besides, so parts join up. No bucket is ever whole in a task. What stays apart is up to unconnected.
+    Buckets go in parts of some PART members through spanning. Each part's most central member is paired with all members of the next part besides, so parts join up
+    in a ring. No bucket is ever whole in a task, and no set has more pairs than some PART for each of its bands. What stays apart is up to unconnected.
     """
     spark = members.sparkSession
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def handled(t: pa.Table) -> pa.RecordBatch:
-            bucket, part, doc, count = (t.column(c).to_numpy() for c in ("bucket", "part", "doc_id", "count"))
+            bucket, part, doc, count = (t.column(c).to_numpy() for c in ("bucket", "part", "set", "count"))
             sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
             sizes = np.diff(np.append(first, len(doc)))
@@ -176,40 +186,40 @@ def candidates(members: DataFrame) -> DataFrame:
                 found, middle = spanning(doc[f : f + n], sign[f : f + n]) if n > 1 else ([], int(doc[f]))
                 pairs.append(np.array(found, np.int64).reshape(-1, 2))
                 if count[f] > PART:
-                    central.append((int(bucket[f]), middle))
-            p = np.concatenate(pairs)
-            kind = np.concatenate([np.full(len(p), -1), np.array([c[0] for c in central], np.int64)])
-            a = np.concatenate([p.min(axis=1), np.array([c[1] for c in central], np.int64)])
-            b = np.concatenate([p.max(axis=1), np.full(len(central), -1)])
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(p))], ["bucket", "a", "b", "central"])
+                    central.append((int(bucket[f]), int(part[f]), middle))
+            p, c = np.concatenate(pairs), np.array(central, np.int64).reshape(-1, 3)
+            none = np.zeros(len(p), np.int64)
+            columns = [np.append(none, c[:, 0]), np.append(none, c[:, 1]), np.append(p.min(axis=1), c[:, 2]), np.append(p.max(axis=1), c[:, 2])]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(p) + len(c)) >= len(p))], ["bucket", "part", "a", "b", "central"])
 
         for t in grouped(batches, ["bucket", "part"]):
             yield handled(t)
 
     n = parallelism(spark)
-    found = cut(members.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(link, "bucket long, a long, b long, central boolean"))
-    middle = found.where("central").groupBy("bucket").agg(F.min("a").alias("middle")).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    stars = members.where(F.col("count") > PART).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(middle, ["bucket", "salt"]).where("doc_id <> middle")
-    pairs = found.where("NOT central").select("a", "b").union(stars.select(F.least("doc_id", "middle"), F.greatest("doc_id", "middle")))
+    found = cut(members.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(link, "bucket long, part long, a long, b long, central boolean"))
+    middle = found.where("central").select("bucket", "part", F.col("a").alias("middle"))
+    before = F.pmod(F.col("part") - 1, F.ceil(F.col("count") / PART))
+    ring = members.where(F.col("count") > PART).select("bucket", before.alias("part"), "set").join(middle, ["bucket", "part"]).where("set <> middle")
+    pairs = found.where("NOT central").select("a", "b").union(ring.select(F.least("set", "middle"), F.greatest("set", "middle")))
     return pairs.distinct()
 
 
 def unconnected(members: DataFrame, label: DataFrame) -> DataFrame:
     """a, b (a < b): all pairs that share a bucket, have different labels and signatures that agree in at least LEAST_AGREEMENT.
 
-    label: node, label of confirmed classes; other documents are a class each. Buckets of one class are left out. In the others each two parts,
+    label: node, label of confirmed classes; other sets are a class each. Buckets of one class are left out. In the others each two parts,
     and each part with itself, make a group of some 2 * PART members, so every pair meets, and no group is larger.
     """
     spark = members.sparkSession
-    own = cut(members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    mixed_ones = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt"))
+    own = cut(members.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).withColumn("salt", salt_of("set")))
+    mixed_ones = salted(own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket"))
     parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / PART) - 1)
-    dealt = own.join(mixed_ones, ["bucket", "salt"]).select("bucket", "part", "doc_id", "signature", "label", F.explode(parts).alias("other"))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "signature", "label")
+    dealt = own.join(mixed_ones, ["bucket", "salt"]).select("bucket", "part", "set", "signature", "label", F.explode(parts).alias("other"))
+    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "signature", "label")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["bucket", "low", "high"]):
-            bucket, low, high, part, doc, label = (t.column(c).to_numpy() for c in ("bucket", "low", "high", "part", "doc_id", "label"))
+            bucket, low, high, part, doc, label = (t.column(c).to_numpy() for c in ("bucket", "low", "high", "part", "set", "label"))
             sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             for f, e in zip(first.tolist(), np.append(first[1:], len(doc)).tolist(), strict=True):
@@ -225,8 +235,8 @@ def unconnected(members: DataFrame, label: DataFrame) -> DataFrame:
     return groups.mapInArrow(compare, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, shingles: 32 bits of each distinct shingle's hash (repeated as often as it weighs), sorted, as bytes."""
+def shingle_sets(texts: DataFrame, weighted: bool = True) -> DataFrame:
+    """set, shingles: 32 bits of each distinct shingle's hash (repeated as often as it weighs), sorted, as bytes. texts: set, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +248,9 @@ def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 ends = np.searchsorted(row, np.arange(b - a + 1))
                 small = (h >> np.uint64(32)).astype(np.uint32)
                 out += [small[s:e].tobytes() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["set", "shingles"])
 
-    return docs.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("set", F.encode("text", "UTF-8")).mapInArrow(run, "set long, shingles binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -253,13 +263,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float((len(both) - apart) / (len(both) + apart)) if len(both) else 0.0
 
 
-def links(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """a, b, similarity of the pairs whose shingle sets are really at least this similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """a, b, similarity of the pairs of sets that are really at least this similar. firsts: set, and doc_id and hash of a text that has it."""
+    wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi").select("set", "doc_id", "hash")
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("text")).join(wanted, ["doc_id", "hash"]).dropDuplicates(["set"])
     sets = cut(shingle_sets(texts, weighted))
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,40 +293,50 @@ def components(edges: DataFrame) -> DataFrame:
         lower = written(near.union(labels.select("node", "label", "label")).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
         hooks = lower.where("label < old").select(F.col("old").alias("node"), "label", F.lit(None).cast("long").alias("old"))
         lower = written(lower.union(hooks).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        hop = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        lower = written(lower.join(hop, "label", "left").select("node", "old", F.least("label", "next").alias("label")))
+        # many nodes have one label, few nodes are one
+        hop = lower.select(F.col("node").alias("label"), F.col("label").alias("next")).join(lower.select("label").distinct(), "label", "left_semi").where("next < label")
+        lower = written(lower.withColumn("salt", salt_of("node")).join(salted(hop), ["label", "salt"], "left").select("node", "old", F.least("label", "next").alias("label")))
         labels = lower.select("node", "label")
         if lower.where("label <> old").isEmpty():
             return labels
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and copies (documents with the very same shingles) of each document.
 
-    Documents are linked if their sets of word shingles have a Jaccard similarity of least or more; classes are what links connect. Candidates share a
-    band of their DartMinHash signatures; each is then confirmed on the sets themselves: first a few that connect most, then all pairs whose documents
-    aren't connected by confirmed links yet. Links within a class aren't all looked at, so they aren't counted. Documents with one shingle set are one candidate.
-    Texts without words (null, empty, blank) are copies of each other. A null doc_id has a null class. Rows with one doc_id are judged by their own texts.
+    Documents are linked if their word shingles have a Jaccard similarity of least or more, where each shingle weighs as often as the text has it (without weighted: 1);
+    classes are what links connect. Candidates share a band of their DartMinHash signatures; each is then confirmed on the shingles themselves: first a few that
+    connect most, then all pairs whose documents aren't connected by confirmed links yet. Links within a class aren't all looked at, so they aren't counted.
+    Documents with the same shingles are one candidate. Texts without words (null, empty, blank) are copies of each other. A null doc_id has a null class.
+    Rows with one doc_id are judged by their own texts each, so they may be in several classes.
     """
+    return classified(docs, least, weighted).select("doc_id", "class_id", "copies")
+
+
+def classified(docs: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """As near_duplicates, with hash (of the text) and label (of the class) besides."""
     own = cut(signatures(docs, weighted))
-    some = own.where("doc_id IS NOT NULL")
-    firsts = cut(some.groupBy("set").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("x"), F.count("*").alias("copies")).select("set", "x.*", "copies"))
-    members, texts = bucket_members(firsts.select("doc_id", "bands", "signature")), docs.where("doc_id IS NOT NULL")
-    first = cut(candidates(members))
-    confirmed = cut(links(texts, first, least, weighted))
+    first = F.min(F.struct("doc_id", "hash", "bands", "signature")).alias("x")
+    firsts = cut(own.where("doc_id IS NOT NULL").groupBy("set").agg(first, F.count("*").alias("copies")).select("set", "x.*", "copies"))
+    members, texts, named = bucket_members(firsts.select("set", "bands", "signature")), docs.where("doc_id IS NOT NULL"), firsts.select("set", "doc_id", "hash")
+    pairs = cut(candidates(members))
+    confirmed = cut(links(texts, named, pairs, least, weighted))
     label = components(confirmed)
-    later = cut(unconnected(members, label).join(first, ["a", "b"], "left_anti"))
+    later = cut(unconnected(members, label).join(pairs, ["a", "b"], "left_anti"))
     if not later.isEmpty():
-        label = components(confirmed.union(links(texts, later, least, weighted)))
-    classes = firsts.join(label, firsts["doc_id"] == label["node"], "left").drop("node")
-    classes = classes.select("set", F.coalesce("label", "doc_id").alias("class_id"), "copies").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    dealt = own.select("doc_id", "set").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = dealt.join(classes, ["set", "salt"], "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        label = components(confirmed.union(links(texts, named, later, least, weighted)))
+    classes = firsts.select("set", "doc_id", "copies").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    least_doc = salted(classes.groupBy("label").agg(F.min("doc_id").alias("class_id")))
+    classes = classes.withColumn("salt", salt_of("set")).join(least_doc, ["label", "salt"]).select("set", "label", "class_id", "copies")
+    out = own.select("doc_id", "hash", "set", salt_of("doc_id").alias("salt")).join(salted(classes), ["set", "salt"], "left")
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "hash", F.when(known, F.col("label")).alias("label"), F.when(known, F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with the smallest doc_id of each class alone, in one row. Rows without doc_id all stay."""
-    classes = near_duplicates(docs, least)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each class, of its smallest doc_id. Rows without doc_id all stay. Of rows with one doc_id and different texts each is judged by its own;
+    where two of one class have its smallest doc_id, the text with the smallest hash stays."""
+    own = docs.select(packed(docs, ()), "doc_id", F.xxhash64(text_of()).alias("_hash"))
+    kept = classified(docs, least).where("doc_id IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "hash")).alias("x")).select("x.doc_id", F.col("x.hash").alias("_hash"))
+    stay = own.where("doc_id IS NOT NULL").join(kept, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return stay.unionByName(own.where("doc_id IS NULL")).select(*unpacked(docs))
