@@ -205,34 +205,102 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def unconnected(members: DataFrame, label: DataFrame) -> DataFrame:
-    """a, b (a < b): all pairs that share a bucket, have different labels and signatures that agree in at least LEAST_AGREEMENT.
+    """bucket, low, high, part, set, label, signature: groups of at most some 2 * PART sets, in which are all pairs that share a bucket, have different labels and
+    signatures that agree in at least LEAST_AGREEMENT; sets without such a partner in their group are left out.
 
     label: node, label of confirmed classes; other sets are a class each. Buckets of one class are left out. In the others each two parts,
-    and each part with itself, make a group of some 2 * PART members, so every pair meets, and no group is larger.
+    and each part with itself, make a group, so every pair meets, and no group is larger.
     """
-    spark = members.sparkSession
     own = cut(members.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).withColumn("salt", salt_of("set")))
     mixed_ones = salted(own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket"))
     parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / PART) - 1)
     dealt = own.join(mixed_ones, ["bucket", "salt"]).select("bucket", "part", "set", "signature", "label", F.explode(parts).alias("other"))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "signature", "label")
+    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "label", "signature")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["bucket", "low", "high"]):
-            bucket, low, high, part, doc, label = (t.column(c).to_numpy() for c in ("bucket", "low", "high", "part", "set", "label"))
-            sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-            for f, e in zip(first.tolist(), np.append(first[1:], len(doc)).tolist(), strict=True):
-                left = np.arange(f, e)[part[f:e] == low[f]]
-                right = left if low[f] == high[f] else np.arange(f, e)[part[f:e] == high[f]]
-                for i in left.tolist():
-                    j = right[(label[right] != label[i]) & ((right > i) if right is left else True)]
-                    j = j[(sign[j] == sign[i]).mean(axis=1) >= LEAST_AGREEMENT]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
+        for t in grouped(batches, GROUP_OF_PARTS):
+            label, sign = t.column("label").to_numpy(), signs(t)
+            meets = np.zeros(t.num_rows, bool)
+            for i, right in partners(t):
+                j = right[label[right] != label[i]]
+                j = j[(sign[j] == sign[i]).mean(axis=1) >= LEAST_AGREEMENT]
+                meets[j] = True
+                meets[i] |= len(j) > 0
+            yield from t.filter(pa.array(meets)).combine_chunks().to_batches()
+
+    return by_parts(dealt).mapInArrow(compare, dealt.schema)
+
+
+GROUP_OF_PARTS = ["bucket", "low", "high"]
+
+
+def by_parts(df: DataFrame) -> DataFrame:
+    return df.repartition(parallelism(df.sparkSession), *GROUP_OF_PARTS).sortWithinPartitions(*GROUP_OF_PARTS)
+
+
+def signs(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
-    groups = dealt.repartition(parallelism(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return groups.mapInArrow(compare, "a long, b long").distinct()
+
+def partners(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of the lower part of its group, with the rows of the higher part, or those after it in the same part."""
+    bucket, low, high, part = (t.column(c).to_numpy() for c in (*GROUP_OF_PARTS, "part"))
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    for f, e in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True):
+        rows = np.arange(f, e)
+        left, right = rows[part[f:e] == low[f]], rows[part[f:e] == high[f]]
+        for i in left.tolist():
+            yield i, right[right > i] if low[f] == high[f] else right
+
+
+def late_links(docs: DataFrame, firsts: DataFrame, groups: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """a, b, similarity of links between sets of different labels, from the groups of unconnected: enough of them to connect what is connected there.
+
+    A group's pairs are compared in its task, on the shingles themselves; a pair that shares several buckets only in the first of them. So pairs
+    that aren't alike enough, of which a large group of looser copies has very many, never leave a task.
+    firsts: set, bands, and doc_id and hash of a text that has it.
+    """
+    sets = shingles_of(docs, firsts, groups.select("set").distinct(), weighted).join(firsts.select("set", "bands"), "set")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, GROUP_OF_PARTS):
+            bucket, name, label, sign = t.column("bucket").to_numpy(), t.column("set").to_numpy(), t.column("label").to_numpy(), signs(t)
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            own = [numbered(np.frombuffer(x, np.uint32)) for x in t.column("shingles").to_pylist()]
+            size, group, out = np.array([len(x) for x in own]), {}, []
+
+            def root(x: int, group: dict[int, int] = group) -> int:
+                while group.get(x, x) != x:
+                    x = group[x]
+                return x
+
+            for i, right in partners(t):
+                j = right[(label[right] != label[i]) & (np.minimum(size[right], size[i]) >= least * np.maximum(size[right], size[i]) - 1e-9)]
+                j = j[(sign[j] == sign[i]).mean(axis=1) >= LEAST_AGREEMENT]
+                same = bands[j] == bands[i]
+                j = j[bands[j, same.argmax(axis=1)] == bucket[i]]
+                if not len(j):
+                    continue
+                both = np.concatenate([own[k] for k in j.tolist()])
+                at = np.minimum(np.searchsorted(own[i], both), size[i] - 1)
+                common = np.bincount(np.repeat(np.arange(len(j)), size[j]), own[i][at] == both, len(j))
+                alike = common / (size[j] + size[i] - common)
+                for k, x in zip(j[alike >= least].tolist(), alike[alike >= least].tolist(), strict=True):
+                    a, b = root(int(label[i])), root(int(label[k]))
+                    if a != b:
+                        group[a] = b
+                        out.append((min(name[i], name[k]), max(name[i], name[k]), x))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x)) for x in zip(*out, strict=True)], ["a", "b", "similarity"])
+
+    dealt = by_parts(groups.join(sets, "set").select(*GROUP_OF_PARTS, "part", "set", "label", "signature", "bands", "shingles"))
+    return dealt.mapInArrow(confirm, "a long, b long, similarity double")
+
+
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Sorted values as numbers that tell a value's first, second, ... occurrence apart, sorted too."""
+    first = np.searchsorted(values, values)
+    return values.astype(np.uint64) << np.uint64(32) | (np.arange(len(values)) - first).astype(np.uint64)
 
 
 def shingle_sets(texts: DataFrame, weighted: bool = True) -> DataFrame:
@@ -263,11 +331,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float((len(both) - apart) / (len(both) + apart)) if len(both) else 0.0
 
 
+def shingles_of(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
+    """set, shingles of the wanted sets. firsts: set, and doc_id and hash of a text that has it."""
+    named = firsts.join(wanted, "set", "left_semi").select("set", "doc_id", "hash")
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("text")).join(named, ["doc_id", "hash"]).dropDuplicates(["set"])
+    return cut(shingle_sets(texts, weighted))
+
+
 def links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
-    """a, b, similarity of the pairs of sets that are really at least this similar. firsts: set, and doc_id and hash of a text that has it."""
-    wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi").select("set", "doc_id", "hash")
-    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("text")).join(wanted, ["doc_id", "hash"]).dropDuplicates(["set"])
-    sets = cut(shingle_sets(texts, weighted))
+    """a, b, similarity of the pairs of sets that are really at least this similar. firsts: see shingles_of."""
+    sets = shingles_of(docs, firsts, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), weighted)
     left = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -318,13 +391,14 @@ def classified(docs: DataFrame, least: float = SIMILARITY, weighted: bool = True
     own = cut(signatures(docs, weighted))
     first = F.min(F.struct("doc_id", "hash", "bands", "signature")).alias("x")
     firsts = cut(own.where("doc_id IS NOT NULL").groupBy("set").agg(first, F.count("*").alias("copies")).select("set", "x.*", "copies"))
-    members, texts, named = bucket_members(firsts.select("set", "bands", "signature")), docs.where("doc_id IS NOT NULL"), firsts.select("set", "doc_id", "hash")
-    pairs = cut(candidates(members))
-    confirmed = cut(links(texts, named, pairs, least, weighted))
+    members, texts = bucket_members(firsts.select("set", "bands", "signature")), docs.where("doc_id IS NOT NULL")
+    confirmed = cut(links(texts, firsts, candidates(members), least, weighted))
     label = components(confirmed)
-    later = cut(unconnected(members, label).join(pairs, ["a", "b"], "left_anti"))
+    later = cut(unconnected(members, label))
     if not later.isEmpty():
-        label = components(confirmed.union(links(texts, named, later, least, weighted)))
+        more = cut(late_links(texts, firsts, later, least, weighted))
+        if not more.isEmpty():
+            label = components(confirmed.union(more))
     classes = firsts.select("set", "doc_id", "copies").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least_doc = salted(classes.groupBy("label").agg(F.min("doc_id").alias("class_id")))
     classes = classes.withColumn("salt", salt_of("set")).join(least_doc, ["label", "salt"]).select("set", "label", "class_id", "copies")
