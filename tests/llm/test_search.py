@@ -44,7 +44,6 @@ def test_exact_odd_rows(spark):
 
 def test_exact_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", 40)
-    monkeypatch.setattr(search, "BLOCK_ROWS", 3)
     df, lists = odd(spark)
     assert sorted(map(tuple, search.exact_top_k(df, every=10, k=7).collect())) == brute_force(lists, 10, 7, whole)
 
@@ -69,13 +68,14 @@ def test_exact_sql(spark, duck):
     assert got == duck(queries.oracle_sql()["op3_exact_top_k"], SF)
 
 
-@pytest.mark.parametrize("shard", [8192, 500])
+@pytest.mark.parametrize("shard", [8192, 300])
 def test_nearest_recall(spark, monkeypatch, shard):
+    """2,000 vectors in one shard, and in seven."""
     monkeypatch.setattr(search, "SHARD_ROWS", shard)
-    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("embedding IS NOT NULL").collect()}
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").collect()}
     x, ids = np.stack(list(rows.values())), np.array(list(rows))
     got = {}
-    for r in search.nearest(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect():
+    for r in search.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect():
         assert math.isclose(r.score, float(rows[r.query_id] @ rows[r.vec_id]), rel_tol=1e-12, abs_tol=1e-12)
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     hits = total = 0
@@ -86,9 +86,21 @@ def test_nearest_recall(spark, monkeypatch, shard):
         assert [n for n, _ in mine] == list(range(1, len(order) + 1))
         hits += len({i for _, i in mine} & set(order))
         total += len(order)
+    assert len(x) > 6 * 300
     assert hits / total >= 0.9
 
 
+def test_graph_recall():
+    """Searches alone find the neighbours in a graph of 5,000 nodes without structure."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = search.graph(np.arange(5000), x)
+    found = search.walk(g | {"nodes": g["nodes"] / np.abs(g["nodes"]).max()}, x[:200] / np.abs(x[:200]).max(axis=1, keepdims=True), search.BEAM)
+    hits = sum(len(set(g["ids"][g["start"][at[at >= 0]]].tolist()) & set(np.argsort(-(x @ q))[:20].tolist())) for at, q in zip(found, x[:200], strict=True))
+    assert hits / 4000 >= 0.9
+
+
 def test_nearest_odd_rows(spark):
     """With so few rows all are found."""
     df, lists = odd(spark)

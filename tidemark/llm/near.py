@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, weighted: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, 1 << 19):
                 row, h, n = shingles(texts[a:b])
                 weight = n.astype(float) if weighted else np.ones(len(n))
                 sign = dart_signatures(row, h, weight, b - a)
@@ -309,7 +309,7 @@ def shingle_sets(texts: DataFrame, weighted: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, 1 << 19):
                 row, h, n = shingles(texts[a:b])
                 if weighted:
                     row, h = np.repeat(row, n), np.repeat(h, n)

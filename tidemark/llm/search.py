@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import math
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+SHARD_ROWS = 8192
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -26,21 +29,49 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
 
 
 def deal(own: DataFrame, every: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """own with a shard of some SHARD_ROWS rows each, the query rows with a block of some BLOCK_ROWS each, and how many there are of both."""
-    n, queries = own.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(queries / BLOCK_ROWS))
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = own.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    return dealt, asked, shards, blocks
+    """own with a shard of some SHARD_ROWS rows each, the query rows, how many shards there are, and how many components at most."""
+    n, width = own.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shards = max(1, math.ceil(n / SHARD_ROWS))
+    return own.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), own.where(F.col("vec_id") % every == 0), shards, width or 1
 
 
-def times(df: DataFrame, name: str, n: int) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def past_shards(held: DataFrame, queries: DataFrame, shards: int, prepare: Callable[[pa.Table], Any], answer: Callable[[Any, pa.RecordBatch], list[tuple]], score: str) -> DataFrame:
+    """query_id, vec_id, score: what answer gives for each batch of queries and what prepare makes of each shard's rows of held.
 
-
-def matrix(column: pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
+    A shard's rows go to one task once, and all queries follow them batch by batch, so a task has one shard and one batch in memory. Only queries are copied to each shard.
+    """
+    names = [c for c in held.columns if c not in ("shard", *queries.columns)]
+    types = dict(held.dtypes)
+    rows = held.select("shard", F.lit(False).alias("asks"), *(F.col(c) if c in held.columns else F.lit(None).cast(t).alias(c) for c, t in queries.dtypes), *names)
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", F.lit(True).alias("asks"), *queries.columns, *(F.lit(None).cast(types[c]).alias(c) for c in names))
+    kind = {"long": pa.int64(), "double": pa.float64()}[score]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.RecordBatch] = []
+        ready = None
+        for batch in batches:
+            shard, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks"))
+            ends = [*(np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(shard)]
+            for f, e in zip([0, *ends[:-1]], ends, strict=True):
+                part = batch.slice(f, e - f)
+                if e > f and not asks[f]:
+                    if own and own[-1].column("shard")[0] != part.column("shard")[0]:
+                        own = []
+                    own, ready = [*own, part], None
+                elif e > f and own and own[-1].column("shard")[0] == part.column("shard")[0]:
+                    ready = ready or (prepare(pa.Table.from_batches(own)),)
+                    found = answer(ready[0], part)
+                    if found:
+                        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, kind)], ["query_id", "vec_id", "score"])
+
+    dealt = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    return dealt.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+
+
+def matrix(column: pa.ChunkedArray | pa.ListArray, width: int, kind: type = np.float64) -> np.ndarray:
     """A list column as rows of width, missing components 0."""
-    lists = column.combine_chunks()
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
     if len(ends) and (ends == width).all():
         return flat.reshape(-1, width).astype(kind)
@@ -105,41 +136,38 @@ def whole_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k other rows with the largest inner product of floor(scale * component).
 
-    Rows are dealt to shards and queries to blocks of fixed sizes, and each shard answers each block with max_score; a window merges the shards' answers. A
+    Rows are dealt to shards of a fixed size, all queries pass each shard and are answered with max_score; a window merges the shards' answers. A
     shorter vector lacks the further components, as if they were 0. See usable for the rows that take part. No rows: no rows. Scores are exact: by
     max_score in doubles for rows and queries whose sums stay within 2 ** 53, else by whole_scores in integers; floors and scores beyond 64 bits count
     as the largest or smallest 64-bit number.
     """
     own = usable(vectors, zero=True).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale)).alias("embedding"))
-    dealt, asked, shards, blocks = deal(cut(own), every)
-
-    def answer(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        lists = [t.column("embedding").combine_chunks() for t in (rows, queries)]
-        width = int(max([1, *(np.diff(x.offsets.to_numpy()).max() for x in lists if len(x))]))
-        x, q = matrix(rows.column("embedding"), width, np.int64), matrix(queries.column("embedding"), width, np.int64)
-        found: list[tuple[np.ndarray, ...]] = []
-        if len(x) and len(q):
-            ids, limit = rows.column("vec_id").to_numpy(), math.isqrt(2**53 // width)
-            small, large = (np.flatnonzero(k) for k in (peaks(x) <= limit, peaks(x) > limit))
-            plain = x[small].astype(float)
-            postings, names = np.ascontiguousarray(plain.T), ids[small]
-            high, low = (plain.max(axis=0), plain.min(axis=0)) if len(small) else (None, None)
-            for own_id, query, peak in zip(queries.column("vec_id").to_pylist(), q, peaks(q).tolist(), strict=True):
-                fits = peak <= limit and len(small) > 0
-                at, score = max_score(postings, names, query.astype(float), own_id, k, high, low) if fits else (np.zeros(0, np.int64), np.zeros(0))
-                at = names[at]
-                if not fits or len(large):
-                    others = large if fits else np.arange(len(ids))
-                    others = others[ids[others] != own_id]
-                    at, score = np.concatenate([at, ids[others]]), np.concatenate([score.astype(np.int64), whole_scores(x[others], query)])
-                    top = np.lexsort((at, ~score))[:k]  # ~ turns the order around without overflow
-                    at, score = at[top], score[top]
-                found.append((np.full(len(at), own_id), at, score.astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
-
-    grid = times(dealt, "block", blocks).groupBy("shard", "block").cogroup(times(asked, "shard", shards).groupBy("shard", "block"))
-    return best(grid.applyInArrow(answer, "query_id long, vec_id long, score long"), k)
+    dealt, asked, shards, width = deal(cut(own), every)
+    limit = math.isqrt(2**53 // width)
+
+    def prepare(rows: pa.Table) -> tuple:
+        ids, x = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"), width, np.int64)
+        small, large = (np.flatnonzero(k) for k in (peaks(x) <= limit, peaks(x) > limit))
+        plain = x[small].astype(float)
+        return ids, x, small, large, np.ascontiguousarray(plain.T), *((plain.max(axis=0), plain.min(axis=0)) if len(small) else (None, None))
+
+    def answer(shard: tuple, queries: pa.RecordBatch) -> list[tuple]:
+        ids, x, small, large, postings, high, low = shard
+        names, q, found = ids[small], matrix(queries.column("embedding"), width, np.int64), []
+        for own_id, query, peak in zip(queries.column("vec_id").to_pylist(), q, peaks(q).tolist(), strict=True):
+            fits = peak <= limit and len(small) > 0
+            at, score = max_score(postings, names, query.astype(float), own_id, k, high, low) if fits else (np.zeros(0, np.int64), np.zeros(0))
+            at = names[at]
+            if not fits or len(large):
+                others = large if fits else np.arange(len(ids))
+                others = others[ids[others] != own_id]
+                at, score = np.concatenate([at, ids[others]]), np.concatenate([score.astype(np.int64), whole_scores(x[others], query)])
+                top = np.lexsort((at, ~score))[:k]  # ~ turns the order around without overflow
+                at, score = at[top], score[top]
+            found.append((np.full(len(at), own_id), at, score.astype(np.int64)))
+        return found
+
+    return best(past_shards(dealt, asked, shards, prepare, answer, "long"), k)
 
 
 EXACT_SQL = """
@@ -153,7 +181,7 @@ SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5
 
 # --- navigable small-world graphs ---
 
-LINKS, NEAR, WIDTH, BEAM, SPARE = 20, 48, 40, 96, 8
+LINKS, NEAR, WIDTH, BEAM, SPARE = 20, 48, 40, 128, 8
 
 
 def levels(ids: np.ndarray) -> np.ndarray:
@@ -164,50 +192,66 @@ def levels(ids: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(u) / math.log(16)).astype(np.int64)
 
 
-def linked(v: np.ndarray) -> np.ndarray:
-    """Neighbours (rows of node numbers, -1 for none) of the nodes of one layer.
+def chosen_links(v: np.ndarray, rows: np.ndarray, near: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """Links (from, to, choice) of the rows to some of their candidates near (nearest first, -1 for none; sims: their products).
 
-    Each node's NEAR nearest nodes, found by blocks of products within the shard, are its candidates. Nearest first, a candidate becomes a
-    neighbour if it is nearer to the node than to all neighbours so far, LINKS at most: so links lead in different directions.
-    Links then go both ways, up to WIDTH a node.
+    A candidate is chosen if it is nearer to the row than to all chosen so far, LINKS at most: so links lead in different directions. After those the
+    nearest of the rest fill up half of LINKS, as later choice.
+    """
+    real = near >= 0
+    c = np.where(real, near, 0)
+    between = v[c] @ v[c].transpose(0, 2, 1)
+    chosen = np.zeros(c.shape, bool)
+    for j in range(c.shape[1]):
+        blocked = (chosen[:, :j] & (between[:, j, :j] >= sims[:, j : j + 1])).any(axis=1)
+        chosen[:, j] = real[:, j] & ~blocked & (chosen.sum(axis=1) < LINKS)
+    few = real & ~chosen & (np.cumsum(real & ~chosen, axis=1) + chosen.sum(axis=1, keepdims=True) <= LINKS // 2)
+    parts = []
+    for choice, which in enumerate((chosen, few)):
+        r, j = np.nonzero(which)
+        parts.append(np.stack([rows[r], c[r, j], np.full_like(r, choice)], 1))
+    return np.concatenate(parts)
+
+
+def linked(v: np.ndarray, order: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Neighbours (rows of node numbers, -1 for none) of the nodes of one layer, of the vectors v.
+
+    Nodes are put in by order, in batches that at most double the graph. Each node's candidates are the NEAR nearest that a search of the graph so
+    far finds, from its entry if that is in the graph yet, and the nearest of its own batch. Links go both ways; a node keeps WIDTH, its first choices first, then the nearest.
     """
     n = len(v)
-    out = np.full((n, WIDTH + SPARE), -1, np.int32)
-    near = min(NEAR, n - 1)
-    if near < 1:
-        return out
-    pairs = []
-    for s in range(0, n, 512):
-        rows = np.arange(s, min(n, s + 512))
-        sims = v[rows] @ v.T
-        sims[np.arange(len(rows)), rows] = -np.inf
-        c = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-        cs = np.take_along_axis(sims, c, 1)
-        order = np.argsort(-cs, axis=1, kind="stable")
-        c, cs = np.take_along_axis(c, order, 1), np.take_along_axis(cs, order, 1)
-        between = np.einsum("bid,bjd->bij", v[c], v[c], optimize=True) if n < 64 else v[c] @ v[c].transpose(0, 2, 1)
-        chosen = np.zeros(c.shape, bool)
-        for j in range(near):
-            blocked = (chosen[:, :j] & (between[:, j, :j] >= cs[:, j : j + 1])).any(axis=1)
-            chosen[:, j] = ~blocked & (chosen.sum(axis=1) < LINKS)
-        r, j = np.nonzero(chosen)
-        pairs.append(np.stack([rows[r], c[r, j], np.zeros_like(r)], 1))
-        # after those, the nearest of the rest fill up half of LINKS, as later choice
-        few = ~chosen & (np.cumsum(~chosen, axis=1) + chosen.sum(axis=1, keepdims=True) <= LINKS // 2)
-        r, j = np.nonzero(few)
-        pairs.append(np.stack([rows[r], c[r, j], np.ones_like(r)], 1))
-    p = np.concatenate(pairs)
-    back = p[p[:, 2] == 0][:, [1, 0, 2]]
-    both = np.concatenate([p, back + [0, 0, 1]])
-    sim = np.concatenate([np.einsum("ij,ij->i", v[part[:, 0]], v[part[:, 1]]) for part in np.array_split(both, len(both) // 200_000 + 1)])
-    order = np.lexsort((-sim, both[:, 2], both[:, 0]))
-    both = both[order]
-    _, first = np.unique(both[:, 0] * n + both[:, 1], return_index=True)
-    both = both[np.sort(first)]
-    start = np.searchsorted(both[:, 0], np.arange(n))
-    place = np.arange(len(both)) - start[both[:, 0]]
-    fits = place < WIDTH
-    out[both[fits, 0], place[fits]] = both[fits, 1]
+    out, choices = np.full((n, WIDTH + SPARE), -1, np.int32), np.full((n, WIDTH), 2, np.int8)
+    done, placed = 0, np.zeros(n, bool)
+    while done < n:
+        batch = order[done : done + min(512, max(64, done))]
+        own = v[batch] @ v[batch].T
+        np.fill_diagonal(own, -np.inf)
+        take = min(NEAR, len(batch) - 1)
+        c = np.argpartition(-own, take - 1, axis=1)[:, :take] if take else np.zeros((len(batch), 0), np.int64)
+        near, sims = batch[c], np.take_along_axis(own, c, 1)
+        if done:
+            enter = np.where(placed[entries[batch]], entries[batch], order[0])
+            found, score = beam_search(v, out, enter, v[batch], NEAR)
+            near, sims = np.concatenate([near, found], 1), np.concatenate([sims, score], 1)
+        best_first = np.argsort(-sims, axis=1, kind="stable")[:, :NEAR]
+        near, sims = np.take_along_axis(near, best_first, 1), np.take_along_axis(sims, best_first, 1)
+        if near.shape[1]:
+            p = chosen_links(v, batch, np.where(sims > -np.inf, near, -1), sims)
+            back = p[p[:, 2] == 0][:, [1, 0, 2]] + [0, 0, 1]
+            touched = np.unique(np.concatenate([p[:, 0], back[:, 0]]))
+            r, j = np.nonzero(out[touched, :WIDTH] >= 0)
+            held = np.stack([touched[r], out[touched[r], j], choices[touched[r], j]], 1)
+            both = np.concatenate([held, p, back])
+            sim = np.concatenate([np.einsum("ij,ij->i", v[x[:, 0]], v[x[:, 1]]) for x in np.array_split(both, len(both) // 200_000 + 1)])
+            both = both[np.lexsort((-sim, both[:, 2], both[:, 0]))]
+            _, first = np.unique(both[:, 0] * n + both[:, 1], return_index=True)
+            both = both[np.sort(first)]
+            place = np.arange(len(both)) - np.searchsorted(both[:, 0], both[:, 0])
+            both, place = both[place < WIDTH], place[place < WIDTH]
+            out[touched] = -1
+            out[both[:, 0], place], choices[both[:, 0], place] = both[:, 1], both[:, 2]
+        done += len(batch)
+        placed[batch] = True
     return out
 
 
@@ -254,35 +298,36 @@ def graph(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
     length = np.sqrt((nodes**2).sum(axis=1))
     unit = nodes / length.max()
     v = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(axis=1, keepdims=True)))], 1).astype(np.float32)
+    first_ids = first
     level = levels(first)
     level[np.argmax(level)] = max(1, level.max())
     out = {"nodes": nodes, "ids": ids[order], "start": np.searchsorted(of[order], np.arange(len(nodes) + 1)), "tops": np.array([level.max()])}
     for k in range(int(level.max()), -1, -1):
         members = np.flatnonzero(level >= k)
-        to = linked(v[members])
+        where = np.full(len(v), -1)
+        where[members] = np.arange(len(members))
+        # nodes of the layers above come first: they are where the others' searches enter
+        above = descend(out | {"nodes": v}, v[members], k) if k < level.max() else np.full(len(members), members[0])
+        first = np.lexsort((first_ids[members], level[members] <= k))
+        entry = where[above] if k < level.max() else np.full(len(members), first[0])
+        to = linked(v[members], first, entry)
         if k == 0:
             connect(v, to, int(np.argmax(level)))
         out[f"members{k}"], out[f"to{k}"] = members.astype(np.int32), np.where(to >= 0, members[to], -1).astype(np.int32)
     return out
 
 
-def walk(g: dict[str, np.ndarray], queries: np.ndarray, beam: int, expand: int = 4) -> np.ndarray:
-    """The beam nodes (numbers, -1 for none) with the largest products that a search from the top layer finds for each query.
-
-    All queries of a block walk together. In the upper layers each goes on to its best neighbour while that is better. In the lowest each keeps its beam best
-    nodes and expands the best unexpanded ones, expand at a time, until all in its beam are expanded.
-    """
-    nodes = g["nodes"].astype(np.float32)
-    q = queries.astype(np.float32)
-    b, n = len(q), len(nodes)
+def descend(g: dict[str, np.ndarray], queries: np.ndarray, bottom: int) -> np.ndarray:
+    """The node of the layer over bottom at which each query's walk from the top ends: it goes on to its best neighbour while that is better."""
+    nodes, q = g["nodes"].astype(np.float32), queries.astype(np.float32)
     top = int(g["tops"][0])
-    at = np.full(b, g[f"members{top}"][0], np.int64)
-    for k in range(top, 0, -1):
-        where = np.full(n, -1)
+    at = np.full(len(q), g[f"members{top}"][0], np.int64)
+    for k in range(top, bottom, -1):
+        where = np.full(len(nodes), -1)
         where[g[f"members{k}"]] = np.arange(len(g[f"members{k}"]))
         to = g[f"to{k}"]
         score = np.einsum("ij,ij->i", nodes[at], q)
-        moving = np.arange(b)
+        moving = np.arange(len(q))
         while len(moving):
             near = to[where[at[moving]]]
             s = np.where(near >= 0, np.einsum("bwd,bd->bw", nodes[near], q[moving]), -np.inf)
@@ -291,12 +336,20 @@ def walk(g: dict[str, np.ndarray], queries: np.ndarray, beam: int, expand: int =
             better = best_s > score[moving]
             moving, j, best_s, near = moving[better], j[better], best_s[better], near[better]
             at[moving], score[moving] = near[np.arange(len(moving)), j], best_s
-    to = g["to0"]
+    return at
+
+
+def beam_search(nodes: np.ndarray, to: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The beam nodes (numbers, -1 for none) with the largest products that a search of one layer from the entries finds for each query, and these products.
+
+    All queries walk together. Each keeps its beam best nodes and expands the best unexpanded ones, expand at a time, until all in its beam are expanded.
+    """
+    b, n = len(q), len(nodes)
     seen = np.zeros((b, n + 1), bool)  # the last column stands for no neighbour
     seen[:, n] = True
     found, score, done = np.full((b, beam), n), np.full((b, beam), -np.inf, np.float32), np.ones((b, beam), bool)
-    found[:, 0], score[:, 0], done[:, 0] = at, np.einsum("ij,ij->i", nodes[at], q), False
-    seen[np.arange(b), at] = True
+    found[:, 0], score[:, 0], done[:, 0] = entry, np.einsum("ij,ij->i", nodes[entry], q), False
+    seen[np.arange(b), entry] = True
     live = np.arange(b)
     while len(live):
         open_score = np.where(done[live], -np.inf, score[live])
@@ -317,12 +370,15 @@ def walk(g: dict[str, np.ndarray], queries: np.ndarray, beam: int, expand: int =
         all_f, all_d = np.concatenate([found[live], np.where(new, near, n)], 1), np.concatenate([done[live], ~new], 1)
         found[live], score[live], done[live] = (np.take_along_axis(z, keep, 1) for z in (all_f, all_s, all_d))
         live = live[(~done[live] & (score[live] > -np.inf)).any(axis=1)]
-    return np.where(found == n, -1, found)
+    return np.where(score > -np.inf, found, -1), score
 
 
-def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
-    import io
+def walk(g: dict[str, np.ndarray], queries: np.ndarray, beam: int) -> np.ndarray:
+    """The beam nodes (numbers, -1 for none) with the largest products that a search from the top layer finds for each query."""
+    return beam_search(g["nodes"].astype(np.float32), g["to0"], descend(g, queries, 0), queries.astype(np.float32), beam)[0]
+
 
+def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
@@ -342,37 +398,32 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM)
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k nearest other rows found, by inner product.
 
     Rows are dealt to shards of some SHARD_ROWS rows, and a task builds each shard's graph: a hierarchy of layers whose links lead to diverse near nodes, kept
-    as flat neighbour arrays in a checkpointed table. Every shard answers every block of queries, and a window merges the answers. The beam's
+    as flat neighbour arrays in a checkpointed table. All queries pass every shard, and a window merges the answers. The beam's
     vectors are scored anew in double precision. All rows with equal vectors are found together, up to k + 1 of them. A shorter vector lacks
     the further components, as if they were 0. See usable for the rows that take part. No rows: no rows.
     """
-    own = cut(usable(vectors, zero=False))
-    width = own.agg(F.max(F.size("embedding"))).first()[0] or 1
-    dealt, asked, shards, blocks = deal(own, every)
+    dealt, asked, shards, width = deal(cut(usable(vectors, zero=False)), every)
     index = cut(build_index(dealt, width))
 
-    def answer(graphs: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
-        if graphs.num_rows and queries.num_rows:
-            import io
-
-            g = dict(np.load(io.BytesIO(graphs.column("graph")[0].as_py())))
-            names, q = queries.column("vec_id").to_numpy(), matrix(queries.column("embedding"), width)
-            scale = np.abs(q).max(axis=1, keepdims=True)
-            unit = g | {"nodes": g["nodes"] / np.abs(g["nodes"]).max()}
-            for s in range(0, len(q), 256):
-                for own_id, query, at in zip(names[s : s + 256], q[s : s + 256], walk(unit, q[s : s + 256] / scale[s : s + 256], max(beam, k + 1)), strict=True):
-                    at = at[at >= 0]
-                    score = (g["nodes"][at] * query).sum(axis=1)
-                    first = g["start"][at]
-                    n = np.minimum(g["start"][at + 1] - first, k + 1)
-                    rows = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    ids, score = g["ids"][rows], np.repeat(score, n)
-                    ids, score = ids[ids != own_id], score[ids != own_id]
-                    top = np.lexsort((ids, -score))[:k]
-                    found.append((np.full(len(top), own_id), ids[top], score[top]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
-
-    grid = times(index, "block", blocks).groupBy("shard", "block").cogroup(times(asked, "shard", shards).groupBy("shard", "block"))
-    return best(grid.applyInArrow(answer, "query_id long, vec_id long, score double"), k)
+    def prepare(rows: pa.Table) -> tuple[dict, dict]:
+        g = dict(np.load(io.BytesIO(rows.column("graph")[0].as_py())))
+        return g, g | {"nodes": g["nodes"] / np.abs(g["nodes"]).max()}
+
+    def answer(graphs: tuple[dict, dict], queries: pa.RecordBatch) -> list[tuple]:
+        g, unit = graphs
+        names, q, found = queries.column("vec_id").to_numpy(), matrix(queries.column("embedding"), width), []
+        scale = np.abs(q).max(axis=1, keepdims=True)
+        for s in range(0, len(q), 256):
+            for own_id, query, at in zip(names[s : s + 256], q[s : s + 256], walk(unit, q[s : s + 256] / scale[s : s + 256], max(beam, k + 1)), strict=True):
+                at = at[at >= 0]
+                score = (g["nodes"][at] * query).sum(axis=1)
+                first = g["start"][at]
+                n = np.minimum(g["start"][at + 1] - first, k + 1)
+                rows = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                ids, score = g["ids"][rows], np.repeat(score, n)
+                ids, score = ids[ids != own_id], score[ids != own_id]
+                top = np.lexsort((ids, -score))[:k]
+                found.append((np.full(len(top), own_id), ids[top], score[top]))
+        return found
+
+    return best(past_shards(index, asked, shards, prepare, answer, "double"), k)
