@@ -44,7 +44,7 @@ def test_held_out_accuracy(spark, name, label, parts, held):
 def test_awkward_rows(spark, awkward, clashing, operator):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, 0), (3, None, None), (None, 1, 1), (9, 1, 0), (10, 0, 1), (12, 0, 1), (99, 1, 1), (6, 1, 0)], LABELS)
     for df in (awkward, clashing):
-        got = operator.classify(df.select("doc_id", "text") if operator is quality else df, labels).collect()
+        got = operator.classify(df, labels).collect()
         assert len(got) == 15
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
         assert all(not r.held_out for r in got if r.doc_id is None)
@@ -73,7 +73,10 @@ def test_no_rows(spark, none, awkward, operator):
 
 def test_quality_filter_keeps_columns(spark, clashing):
     labels = spark.createDataFrame([(1, 1, 0), (9, 1, 0), (10, 1, 0), (12, 0, 0)], LABELS)
-    assert quality.good(clashing, labels).columns == clashing.columns
+    kept = quality.good(clashing, labels)
+    assert kept.columns == clashing.columns
+    own = {tuple(r) for r in clashing.collect()}
+    assert {tuple(r) for r in kept.collect()} <= own
 
 
 def test_nearest_examples_match_all_cosines():

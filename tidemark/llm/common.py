@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and go on from the files, so lost executors cost no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir; only where that is unset and Spark runs on this machine alone a temporary one is made.
     """
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -29,7 +29,10 @@ def shared(spark: SparkSession) -> str:
     """The folder of this session's checkpoints, set if it isn't yet."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 

@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     per_source = targets(ranges.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")), weights, cap)
     per_source = per_source.select("_source", "source_size", "target")
     starts = ranges.select("_source", "_range", (F.sum("_sum").over(W.partitionBy("_source").orderBy("_range")) - F.col("_sum")).alias("_start")).join(per_source, "_source")
-    inside = W.partitionBy("_source", "_range").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("_source", "_range").orderBy("_key", "size", "text_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
     placed = sized.join(starts, ["_source", "_range"]).withColumn("_before", F.col("_start") + F.sum("size").over(inside) - F.col("size"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import packed, text_of, unpacked
 from .words import CLASS, in_groups, mixed, words
 
 DIMENSIONS = 1 << 18
@@ -95,8 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
     return out / max(1, shards)
 
 
-def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
-    """docs with the column added: the model's probability for label 1 of the whole text. Null and empty texts get the model's constant."""
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """docs with score added: the model's probability for label 1 of the whole text. Null and empty texts get the model's constant."""
     known = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
@@ -110,19 +110,20 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
             out[a:b] = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
         return pd.Series(out)
 
-    return docs.withColumn(column, probability(F.encode(text_of(), "UTF-8")))
+    return docs.withColumn("score", probability(F.encode(text_of(), "UTF-8")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
-    """docs with held_out, score and predicted (1 from a score of 0.5) added, under these or other names.
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from a score of 0.5) of each document.
 
     Labels are learnt only from rows whose crc32(doc_id as text) modulo parts is not held; a null doc_id is not held out and has no label.
     Texts are the only input of a score. Without any labelled row all scores are 0.5. Repeated rows get equal scores.
     """
-    scored = score(docs, fit(docs, labels, label, parts, held), names[1])
-    return scored.withColumn(names[0], F.coalesce(held_out(parts, held), F.lit(False))).withColumn(names[2], (F.col(names[1]) >= 0.5).cast("int"))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, label, parts, held))
+    return scored.select("doc_id", F.coalesce(held_out(parts, held), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that classify predicts label 1 for, with their own columns."""
-    return classify(docs, labels, names=("_held_out", "_score", "_predicted")).where("_predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+def good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The documents that classify predicts label 1 for, with their own columns, whatever these are called."""
+    own = docs.select(packed(docs, ()), "text")
+    return score(own, fit(docs, labels, label)).where("score >= 0.5").select(*unpacked(docs))

@@ -39,8 +39,7 @@ def op8_mix_sources(spark, sf_dir):
 
 
 def op9_quality_classifier(spark, sf_dir):
-    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity(spark, sf_dir):
