@@ -33,6 +33,11 @@ def test_quality_report(spark):
     assert found["duplicate_rows", "error", ""] == 2
     assert found["invalid_campaign_types", "warning", "google"] == 2
     assert ("channel_coverage", "error", "meta") in found
+    said = {(r.check, r.subject): (r.message, r.samples) for r in out.issues.collect()}
+    assert said["negative_spend", ""] == ("Found 2 rows with negative spend. Values have been clamped to 0.0.", ["-5.0", "-5.0"])
+    assert said["duplicate_rows", ""] == ("Found and removed 2 duplicate rows (9.1% of data).", ["0", "1"])
+    assert said["invalid_campaign_types", "google"][1] == ["None"]
+    assert said["channel_coverage", "meta"] == ("Channel 'meta' is missing from the data. Forecasts for this channel will not be generated.", ["meta"])
     assert out.cleaned.where("spend < 0").count() == 0
     assert not out.passed.first()[0]
     assert out.statistics.first().rows_removed == 2
@@ -187,3 +192,20 @@ def test_stream_of_drops(spark, tmp_path):
 def test_baselines_feed_the_default_scenarios(spark):
     base = baselines.baselines(campaigns(spark, 40))
     assert scenario.default_adjustments(base).count() == 4
+
+
+def test_ranks_and_percentiles_are_exact(spark):
+    """Whatever the buckets: equal, negative, tiny and huge scores."""
+    import numpy as np
+
+    from tidemark.operators import uncertainty
+
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(size=300).tolist(), *[0.25] * 200, *(rng.random(50) * 1e-9).tolist(), 1e12, -1e12]
+    df = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(3)
+    for k in (1, 2, 150, 400, len(values)):
+        got = uncertainty.at_rank(df, spark.createDataFrame([(k,)], "k long")).first()
+        assert got.value == sorted(values)[k - 1]
+    assert uncertainty.at_rank(df, spark.createDataFrame([(len(values) + 1,)], "k long")).count() == 0
+    for share in (0.0, 0.37, 0.5, 1.0):
+        assert abs(uncertainty.percentile(df, share).first().value - np.percentile(values, share * 100)) < 1e-6

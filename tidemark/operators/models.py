@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import d
@@ -59,12 +59,19 @@ class ForestQuantiles:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("_row", F.monotonically_increasing_id())
-        at = self.model.transform(self._vector(keyed)).select(*keyed.columns, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-        # at most trees * 2 ** depth rows
-        found = at.join(F.broadcast(self.leaves), ["tree", "leaf"])
-        keep = [c for c in df.columns]
-        return found.groupBy("_row").agg(*(F.first(c).alias(c) for c in keep), *(F.avg(F.col("q")[i]).alias(n) for i, n in enumerate(NAMES))).drop("_row")
+        """No shuffle: a row's leaves, by tree, are looked up in one broadcast array of all leaves' quantiles."""
+        width = 2**self.depth
+        places = df.sparkSession.range(self.trees * width).select(F.col("id").alias("place"))
+        known = self.leaves.select((F.col("tree") * width + F.col("leaf").cast("long")).alias("place"), "q")
+        # trees * 2 ** depth entries
+        table = places.join(known, "place", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "q"))), lambda x: x["q"]).alias("_table"))
+        at = self.model.transform(self._vector(df)).select(*df.columns, vector_to_array("_leaf").alias("_leaf")).crossJoin(F.broadcast(table))
+        found = F.filter(F.transform("_leaf", lambda leaf, i: F.get("_table", (i * width + leaf).cast("int"))), lambda q: q.isNotNull())
+
+        def mean(j: int) -> Column:
+            return F.aggregate(found, d(0), lambda total, q: total + q[j]) / F.size(found)
+
+        return at.select(*df.columns, *(mean(i).alias(n) for i, n in enumerate(NAMES)))
 
     def save(self, path: str, stamp: str = "") -> None:
         """The forest, the leaves' quantiles, and a stamp of what it was fitted for."""

@@ -1,7 +1,7 @@
 """Data-quality checks of the unified fact. Each takes a frame and returns (issues, frame).
 
-issues: check, severity (error or warning), subject (what it is about), count, of one row per problem. Counts are made in Spark;
-no check collects rows.
+issues: check, severity (error or warning), subject (what it is about), count, message, samples (a few values), of one row per problem. Counts and
+samples are made in Spark; no check collects rows. As rows have no order of their own, samples are the first by date and campaign.
 """
 
 from __future__ import annotations
@@ -10,36 +10,73 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clamped
 
-ISSUE = "check string, severity string, subject string, count long"
+ISSUE = "check string, severity string, subject string, count long, message string, samples array<string>"
+SAMPLES = 5
+ORDER = ("date", "campaign_id")
 Check = Callable[..., tuple[DataFrame, DataFrame]]
 
+#: The messages that must match, by check.
+MISSING_ERROR = "Column '%s' has %d missing values (%s), exceeding %s threshold."
+MISSING_WARNING = "Column '%s' has %d missing values (%s)."
+NEGATIVE_SPEND = "Found %d rows with negative spend. Values have been clamped to 0.0."
+DUPLICATE_ROWS = "Found and removed %d duplicate rows (%s of data)."
+FUTURE_DATES = "Found %d rows with dates after %s. These rows have been excluded."
+INVALID_TYPES = "Channel '%s' has %d rows with unrecognized campaign types: [%s]. These may indicate new campaign structures."
+BUDGET = "Found %d rows (%s) where spend exceeds daily budget. This may indicate budget changes not captured in data."
+ZERO_ACTIVITY = "Found %d rows (%s) with zero spend and zero impressions. These provide no signal."
+NO_CHANNEL_COLUMN = "No 'channel' column found in data."
+CHANNEL_MISSING = "Channel '%s' is missing from the data. Forecasts for this channel will not be generated."
+CHANNELS_PRESENT = "All expected channels present: [%s]."
 
-def _issue(counts: DataFrame, check: str, severity, subject: str = "") -> DataFrame:
-    """One issue from a one-row frame with a column n, if n is over 0."""
-    return counts.where("n > 0").select(F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit(subject).alias("subject"), F.col("n").cast("long").alias("count"))
+
+def percent(ratio: Column, places: int = 1) -> Column:
+    return F.format_string(f"%.{places}f%%", ratio * 100)
+
+
+def first_values(df: DataFrame, value: Column, n: int = SAMPLES) -> DataFrame:
+    """One row, samples: a value of each of the first n rows by date and campaign. Only n rows leave each task."""
+    top = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ORDER), value.cast("string").alias("_value")).orderBy(*ORDER, "_value").limit(n)
+    return top.agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "_value"))), lambda x: x["_value"]).alias("samples"))
+
+
+def _issue(counts: DataFrame, check: str, severity: str | Column, message: Column, samples: DataFrame, subject: str = "") -> DataFrame:
+    """One issue from a one-row frame with a column n, if n is over 0, and a one-row frame of samples."""
+    own = counts.where("n > 0").crossJoin(F.broadcast(samples))  # one row each
+    return own.select(F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit(subject).alias("subject"), F.col("n").cast("long").alias("count"), message.alias("message"), "samples")
 
 
 def missing_values(df: DataFrame, max_ratio: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """Per column with nulls: an error over max_ratio of the rows, else a warning. One pass counts all columns."""
+    """Per column with nulls: an error over max_ratio of the rows, else a warning. One pass counts all columns. Samples are five days and campaigns of an error, three of a warning."""
     one = df.agg(F.count("*").alias("_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
-    long = one.select("_rows", F.explode(F.array(*(F.struct(F.lit(c).alias("subject"), F.col(c).alias("n")) for c in df.columns))).alias("x"))
-    found = long.where("x.n > 0").select(F.lit("missing_values").alias("check"), F.when(F.col("x.n") / F.col("_rows") > max_ratio, "error").otherwise("warning").alias("severity"), "x.subject", F.col("x.n").alias("count"))
+    long = one.select("_rows", F.explode(F.array(*(F.struct(F.lit(c).alias("subject"), F.col(c).alias("n")) for c in df.columns))).alias("x")).select("_rows", "x.*").where("n > 0")
+    place = F.concat_ws("/", *(F.col(c).cast("string") for c in ORDER if c in df.columns)).alias("place")
+    lost = df.select(place, F.explode(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in df.columns))).alias("subject")).where("subject IS NOT NULL")
+    few = lost.withColumn("_n", F.row_number().over(W.partitionBy("subject").orderBy("place"))).where(F.col("_n") <= SAMPLES)
+    few = few.groupBy("subject").agg(F.array_sort(F.collect_list("place")).alias("samples"))
+    ratio = F.col("n") / F.col("_rows")
+    over = ratio > max_ratio
+    message = F.when(over, F.format_string(MISSING_ERROR, "subject", "n", percent(ratio), F.lit(f"{max_ratio:.0%}"))).otherwise(F.format_string(MISSING_WARNING, "subject", "n", percent(ratio)))
+    found = long.join(few, "subject", "left").select(F.lit("missing_values").alias("check"), F.when(over, "error").otherwise("warning").alias("severity"), "subject", F.col("n").alias("count"), message.alias("message"), F.slice("samples", 1, F.when(over, SAMPLES).otherwise(3)).alias("samples"))
     return found, df
 
 
 def negative_spend(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _issue(df.agg(F.count_if(F.col("spend") < 0).alias("n")), "negative_spend", "warning"), df.withColumn("spend", clamped("spend"))
+    n = df.agg(F.count_if(F.col("spend") < 0).alias("n"))
+    return _issue(n, "negative_spend", "warning", F.format_string(NEGATIVE_SPEND, "n"), first_values(df.where("spend < 0"), F.col("spend"))), df.withColumn("spend", clamped("spend"))
 
 
 def duplicate_rows(df: DataFrame, max_ratio: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """Rows equal in all columns, but one of each: an error over max_ratio of the rows. They go."""
+    """Rows equal in all columns, but one of each: an error over max_ratio of the rows. They go. Samples are plain numbers from 0."""
     n = df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"), F.sum("count").alias("rows"))
-    return _issue(n, "duplicate_rows", F.when(F.col("n") / F.col("rows") > max_ratio, "error").otherwise("warning")), df.dropDuplicates()
+    ratio = F.col("n") / F.col("rows")
+    numbers = n.select(F.transform(F.sequence(F.lit(0), F.greatest(F.least(F.col("n"), F.lit(SAMPLES)) - 1, F.lit(0)).cast("int")), lambda x: x.cast("string")).alias("samples"))
+    return _issue(n, "duplicate_rows", F.when(ratio > max_ratio, "error").otherwise("warning"), F.format_string(DUPLICATE_ROWS, "n", percent(ratio)), numbers), df.dropDuplicates()
 
 
 def future_dates(df: DataFrame, reference=None, max_days: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -50,35 +87,47 @@ def future_dates(df: DataFrame, reference=None, max_days: int = 7) -> tuple[Data
     ref = df.agg(F.date_add(F.max("date"), 1).alias("_ref")) if reference is None else df.sparkSession.range(1).select(F.lit(reference).cast("date").alias("_ref"))
     marked = df.crossJoin(F.broadcast(ref))  # one row
     after = F.coalesce(F.col("date") > F.col("_ref"), F.lit(False))
-    n = marked.agg(F.count_if(after).alias("n"))
-    return _issue(n, "future_dates", F.when(F.col("n") > max_days, "error").otherwise("warning")), marked.where(~after).drop("_ref")
+    n = marked.agg(F.count_if(after).alias("n"), F.max("_ref").cast("string").alias("_ref"))
+    return _issue(n, "future_dates", F.when(F.col("n") > max_days, "error").otherwise("warning"), F.format_string(FUTURE_DATES, "n", "_ref"), first_values(marked.where(after), F.col("date"))), marked.where(~after).drop("_ref")
 
 
 def invalid_campaign_types(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
-    """Per configured channel: rows whose type is null or not allowed."""
+    """Per configured channel: rows whose type is null or not allowed. Samples are the first such types; null is None, and first."""
     wrong = reduce(lambda a, b: a | b, ((F.col("channel") == c) & F.coalesce(~F.col("campaign_type").isin(*types), F.lit(True)) for c, types in allowed.items()))
-    n = df.where(wrong).groupBy("channel").agg(F.count("*").alias("count"))
-    return n.select(F.lit("invalid_campaign_types").alias("check"), F.lit("warning").alias("severity"), F.col("channel").alias("subject"), "count"), df
+    kinds = df.where(wrong).groupBy("channel", "campaign_type").agg(F.count("*").alias("n")).groupBy("channel").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("campaign_type", F.lit("")).alias("key"), F.coalesce("campaign_type", F.lit("None")).alias("name"), F.col("campaign_type").isNotNull().alias("known")))).alias("kinds"))
+    listed = F.array_join(F.transform("kinds", lambda x: F.when(x["known"], F.concat(F.lit("'"), x["name"], F.lit("'"))).otherwise(x["name"])), ", ")
+    samples = F.slice(F.transform("kinds", lambda x: x["name"]), 1, SAMPLES)
+    return kinds.select(F.lit("invalid_campaign_types").alias("check"), F.lit("warning").alias("severity"), F.col("channel").alias("subject"), F.col("n").alias("count"), F.format_string(INVALID_TYPES, "channel", "n", listed).alias("message"), samples.alias("samples")), df
 
 
 def budget_consistency(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _issue(df.agg(F.count_if((F.col("daily_budget") > 0) & (F.col("spend") > F.col("daily_budget"))).alias("n")), "budget_consistency", "warning"), df
+    over = (F.col("daily_budget") > 0) & (F.col("spend") > F.col("daily_budget"))
+    n = df.agg(F.count_if(over).alias("n"), F.count("*").alias("rows"))
+    value = F.concat(F.lit("spend="), F.col("spend").cast("string"), F.lit(", budget="), F.col("daily_budget").cast("string"))
+    return _issue(n, "budget_consistency", "warning", F.format_string(BUDGET, "n", percent(F.col("n") / F.col("rows"))), first_values(df.where(over), value)), df
 
 
 def zero_activity(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _issue(df.agg(F.count_if((F.col("spend") == 0) & (F.col("impressions") == 0)).alias("n")), "zero_activity", "warning"), df
+    idle = (F.col("spend") == 0) & (F.col("impressions") == 0)
+    n = df.agg(F.count_if(idle).alias("n"), F.count("*").alias("rows"))
+    value = F.concat_ws("/", F.col("date").cast("string"), "campaign_id")
+    return _issue(n, "zero_activity", "warning", F.format_string(ZERO_ACTIVITY, "n", percent(F.col("n") / F.col("rows"))), first_values(df.where(idle), value)), df
 
 
 def channel_coverage(df: DataFrame, expected: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """An error per expected channel without rows; if all have rows, a warning of count 0; an error if there is no channel column."""
     spark = df.sparkSession
     if "channel" not in df.columns:
-        return spark.createDataFrame([("channel_coverage", "error", "channel", 0)], ISSUE), df
+        return spark.createDataFrame([("channel_coverage", "error", "channel", 0, NO_CHANNEL_COLUMN, [])], ISSUE), df
     want = spark.createDataFrame([(c,) for c in expected], "subject string")
     lost = want.join(df.select(F.col("channel").alias("subject")).distinct(), "subject", "left_anti")
-    errors = lost.select(F.lit("channel_coverage").alias("check"), F.lit("error").alias("severity"), "subject", F.lit(0).cast("long").alias("count"))
-    full = lost.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("channel_coverage").alias("check"), F.lit("warning").alias("severity"), F.lit("").alias("subject"), F.lit(0).cast("long").alias("count"))
-    return errors.unionByName(full), df
+
+    def issue(of: DataFrame, severity: str, message: Column, samples: Column) -> DataFrame:
+        return of.select(F.lit("channel_coverage").alias("check"), F.lit(severity).alias("severity"), "subject", F.lit(0).cast("long").alias("count"), message.alias("message"), samples.cast("array<string>").alias("samples"))
+
+    errors = issue(lost, "error", F.format_string(CHANNEL_MISSING, "subject"), F.array("subject"))
+    full = lost.agg(F.count("*").alias("n"), F.lit("").alias("subject")).where("n = 0")
+    return errors.unionByName(issue(full, "warning", F.lit(CHANNELS_PRESENT % ", ".join(f"'{c}'" for c in expected)), F.array())), df
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import confidence, covered, d, nonconformity, relative_width, width
+from ..sessions import cut
 from . import features
 
 
@@ -26,18 +29,41 @@ def scored(paired: DataFrame, kind: str = "normalized_residual") -> DataFrame:
     return paired.withColumn("score", F.greatest(nonconformity(kind), d(0)))
 
 
+#: Scores are counted in so many buckets, and ranked within one.
+BUCKETS = 1 << 14
+
+
+def at_rank(scores: DataFrame, rank: DataFrame) -> DataFrame:
+    """One row, value: the score at a rank from 1 on, by size. rank: one row, k. No row if there are fewer scores.
+
+    Scores are counted by bucket of a rising function of theirs; sums of the BUCKETS counts give the bucket that holds the rank, and only that one's distinct scores are sorted.
+    """
+    own = scores.select("score", F.floor((F.atan("score") / F.lit(math.pi) + 0.5) * BUCKETS).alias("bucket"))
+    counts = own.groupBy("bucket").count().withColumn("to", F.sum("count").over(W.orderBy("bucket")))  # BUCKETS rows at most
+    hit = counts.crossJoin(F.broadcast(rank)).where("to >= k AND to - count < k").select("bucket", (F.col("k") - F.col("to") + F.col("count")).alias("left"))
+    inside = own.join(F.broadcast(hit), "bucket").groupBy("score", "left").count().withColumn("to", F.sum("count").over(W.partitionBy("left").orderBy("score")))
+    return inside.where("to >= left").agg(F.min("score").alias("value")).where("value IS NOT NULL")
+
+
+def percentile(scores: DataFrame, share: float) -> DataFrame:
+    """One row, value: the interpolated percentile, from the two scores next to its place."""
+    place = scores.agg(((F.count("*") - 1) * d(share)).alias("p"))
+    low, high = (at_rank(scores, place.select((f("p") + 1).alias("k"))).withColumnRenamed("value", name) for name, f in (("low", F.floor), ("high", F.ceil)))
+    return place.crossJoin(low).crossJoin(high).select((F.col("low") + (F.col("high") - F.col("low")) * (F.col("p") - F.floor("p"))).alias("value"))  # one row each
+
+
 def order_statistic(scores: DataFrame, target: float = 0.8, cap_percentile: float = 100.0, least: int = 0) -> DataFrame:
     """One row, alpha: the k-th smallest score, k = min(ceil((n + 1) * target), n); 1 for fewer than max(1, least) scores.
 
-    The k-th is found from counts of distinct scores, so no task holds all scores; a cap (a percentile, interpolated) clips them first.
+    A cap (a percentile, interpolated) clips the scores first. No task holds all scores (see at_rank).
     """
-    own = scores.select("score")
+    own = cut(scores.select("score").where("score IS NOT NULL"))  # read several times
     if cap_percentile < 100:
-        own = own.crossJoin(F.broadcast(own.agg(F.percentile("score", F.lit(cap_percentile / 100)).alias("_cap")))).select(F.least(F.greatest("score", d(0)), "_cap").alias("score"))  # one row
-    ranked = own.groupBy("score").count().withColumn("_to", F.sum("count").over(W.orderBy("score")))
-    total = own.agg(F.count("*").alias("_n")).withColumn("_k", F.least(F.ceil((F.col("_n") + 1) * d(target)), F.col("_n")))
-    found = ranked.crossJoin(F.broadcast(total)).where("_to >= _k").agg(F.min("score").alias("_score"))
-    return total.crossJoin(found).select(F.when(F.col("_n") < max(1, least), d(1)).otherwise(F.coalesce("_score", d(1))).alias("alpha"))
+        cap = percentile(own, cap_percentile / 100).select(F.col("value").alias("_cap"))
+        own = own.crossJoin(F.broadcast(cap)).select(F.least(F.greatest("score", d(0)), "_cap").alias("score"))  # one row
+    total = own.agg(F.count("*").alias("_n")).withColumn("k", F.least(F.ceil((F.col("_n") + 1) * d(target)), F.col("_n")))
+    found = total.join(at_rank(own, total.select("k")), F.lit(True), "left")  # one row each
+    return found.select(F.when(F.col("_n") < max(1, least), d(1)).otherwise(F.coalesce("value", d(1))).alias("alpha"))
 
 
 def calibrate(forecast: DataFrame, actuals: DataFrame, target: float = 0.8, kind: str = "normalized_residual", once: bool = False) -> DataFrame:

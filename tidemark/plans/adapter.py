@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import d
 from ..schema import COLUMNS
 
 
@@ -41,8 +42,9 @@ fact AS (SELECT date, channel, channel || '_' || k AS campaign_id, 'Campaign_' |
 
 
 def flawed(fact: DataFrame) -> DataFrame:
-    """The fact with faults: no spend on 13ths, negative spend on 17ths, no campaign type on 5ths, no revenue in March 1995, and the first days of months twice."""
+    """The fact with faults: no spend on 13ths, negative spend on 17ths, no campaign type on 5ths, no activity on 23rds, no revenue in March 1995, and the first days of months twice."""
     day = F.dayofmonth("date")
+    fact = fact.withColumn("spend", F.when(day == 23, d(0)).otherwise(F.col("spend"))).withColumn("impressions", F.when(day == 23, F.lit(0).cast("long")).otherwise(F.col("impressions")))
     out = fact.withColumn("spend", F.when(day == 13, F.lit(None).cast("double")).when(day == 17, -F.col("spend")).otherwise(F.col("spend")))
     out = out.withColumn("campaign_type", F.when(day != 5, F.col("campaign_type"))).withColumn("revenue", F.when(F.date_trunc("month", "date") == F.lit("1995-03-01").cast("timestamp"), F.lit(0.0)).otherwise(F.col("revenue")))
     return out.unionByName(out.where(day == 1))
@@ -52,7 +54,7 @@ FLAWED = (
     FACT
     + """,
 flawed0 AS (SELECT date, channel, campaign_id, campaign_name, CASE WHEN day(date) <> 5 THEN campaign_type END AS campaign_type,
-  CASE day(date) WHEN 13 THEN NULL WHEN 17 THEN -spend ELSE spend END AS spend, CASE WHEN date_trunc('month', date) = DATE '1995-03-01' THEN 0.0::DOUBLE ELSE revenue END AS revenue,
-  clicks, impressions, conversions, daily_budget FROM fact),
+  CASE day(date) WHEN 13 THEN NULL WHEN 17 THEN -spend WHEN 23 THEN 0.0::DOUBLE ELSE spend END AS spend, CASE WHEN date_trunc('month', date) = DATE '1995-03-01' THEN 0.0::DOUBLE ELSE revenue END AS revenue,
+  clicks, CASE day(date) WHEN 23 THEN 0::BIGINT ELSE impressions END AS impressions, conversions, daily_budget FROM fact),
 flawed AS (SELECT * FROM flawed0 UNION ALL SELECT * FROM flawed0 WHERE day(date) = 1)"""
 )

@@ -5,6 +5,7 @@ Keys start with the operator's inventory number. Sums of whole units are exact;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..functions import expressions as X
 from ..operators import baselines as B
 from ..operators import decision, features, forecast, models, quality, report, scenario, uncertainty
 from ..schema import COLUMNS, DYNAMIC, METRICS
+from ..sessions import checkpoint_folder, cut
 from ..sources import csv
 from .adapter import FACT, FLAWED, flawed, unified
 
@@ -68,6 +70,11 @@ def r(c, places: int = 6):
     return out.alias(name) if name else out
 
 
+def evens(*names: str) -> str:
+    """As the report rounds: to 2 places, half to even."""
+    return ", ".join(f"round_even({n}, 2) AS {n}" for n in names)
+
+
 def rs(names, places: int = 6) -> str:
     return ", ".join(f"round({n}, {places}) AS {n}" for n in names)
 
@@ -174,6 +181,11 @@ NAMED = ",\nnamed AS (SELECT * FROM (VALUES ('baseline', NULL::DOUBLE), ('budget
 # --- frames of shared steps ---
 
 
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact, written once for the several uses that a query has for it."""
+    return cut(unified(spark, sf_dir))
+
+
 def points_of(fact: DataFrame) -> DataFrame:
     return forecast.forecast(fact, models.WeekdayQuantiles().fit(fact))
 
@@ -203,7 +215,7 @@ def _(spark, sf):
 
 @query("flagship_below_target", f"WITH {FACT}{base_sql('fact')}{HALVES.format(source='fact')} SELECT entity_id, channel, historical_roas, cost_inflation FROM base JOIN inflation USING (entity_id) WHERE historical_roas < 3")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     return B.baselines(fact).join(B.cost_inflation(fact), "entity_id").where("historical_roas < 3").select("entity_id", "channel", "historical_roas", "cost_inflation")
 
 
@@ -245,10 +257,10 @@ _UNION = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (_GOOGLE, _META, _BI
 
 @query("s9_union_of_dialects", f"SELECT channel, count(*) AS n, count(spend) AS spends, sum(clicks)::BIGINT AS clicks FROM ({_UNION}) GROUP BY channel")
 def _(spark, sf):
-    registry = csv.Registry()
-    raws = [_raw(spark, sf, k) for k in ("google", "meta", "bing")]
-    parts = [registry.find(x.columns)(x) for x in raws]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    for kind in ("google", "meta", "bing"):
+        _raw(spark, sf, kind).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    both = csv.ingest(spark, folder)
     return both.groupBy("channel").agg(F.count("*").alias("n"), F.count("spend").alias("spends"), F.sum("clicks").alias("clicks"))
 
 
@@ -295,7 +307,7 @@ def _(spark, sf):
 
 @query("c12_c13_widths_and_confidence", f"WITH {POINTS} SELECT entity_id, horizon, round(avg((p90 - p10) / greatest(p50, 1e-10::DOUBLE)), 8) AS relative_width, round(greatest(0.0::DOUBLE, 1 - least(avg((p90 - p10) / greatest(p50, 1e-10::DOUBLE)) / 2.0::DOUBLE, 1.0::DOUBLE)), 8) AS confidence FROM points GROUP BY ALL")
 def _(spark, sf):
-    own = points_of(unified(spark, sf)).groupBy("entity_id", "horizon").agg(F.avg(X.relative_width()).alias("w"))
+    own = points_of(settled(spark, sf)).groupBy("entity_id", "horizon").agg(F.avg(X.relative_width()).alias("w"))
     return own.select("entity_id", "horizon", F.round("w", 8).alias("relative_width"), F.round(X.confidence(F.col("w"), 2.0), 8).alias("confidence"))
 
 
@@ -313,7 +325,7 @@ def _(spark, sf):
 
 @query("c17_score", f"WITH {ASSESSED} SELECT entity_id, round(score, 8) AS score FROM assessed")
 def _(spark, sf):
-    return assessed_of(unified(spark, sf)).select("entity_id", r("score", 8))
+    return assessed_of(settled(spark, sf)).select("entity_id", r("score", 8))
 
 
 _WHOLE = "round_even(abs(change), 0)::BIGINT"
@@ -323,7 +335,7 @@ _RATIONALE = f"concat_ws(' ', CASE WHEN abs(change) < 1 THEN 'Maintain current b
 
 @query("c18_rationale", f"WITH {ALLOCATED}, x AS (SELECT a.entity_id, a.flags, b.total_spend AS spend, allocation - b.total_spend AS change FROM assessed a JOIN base b USING (entity_id) JOIN allocation USING (entity_id)) SELECT entity_id, {_RATIONALE} AS rationale FROM x")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     return decision.recommend(assessed_of(fact), B.baselines(fact)).select("entity_id", "rationale")
 
 
@@ -331,27 +343,50 @@ def _(spark, sf):
 
 
 def _check(number: str, name: str, sql: str, call: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> None:
-    _queries[f"{number}_{name}"] = lambda spark, sf: call(flawed(unified(spark, sf)))[0]
+    _queries[f"{number}_{name}"] = lambda spark, sf: call(flawed(settled(spark, sf)))[0].drop("samples")
     _sql[f"{number}_{name}"] = f"WITH {FLAWED} {sql}"
 
 
-def _count(name: str, condition: str) -> str:
-    return f"SELECT '{name}' AS \"check\", 'warning' AS severity, '' AS subject, count(*) AS count FROM flawed WHERE {condition} HAVING count(*) > 0"
+def _count(name: str, condition: str, message: str) -> str:
+    return f"SELECT '{name}' AS \"check\", 'warning' AS severity, '' AS subject, n AS count, {message} AS message FROM (SELECT count(*) FILTER (WHERE {condition}) AS n, count(*) AS t FROM flawed) WHERE n > 0"
+
+
+_SHARE = "printf('%.1f%%', n * 100.0::DOUBLE / t)"
+
 
+_check("v1", "missing_values", "SELECT 'missing_values' AS \"check\", CASE WHEN n::DOUBLE / t > 0.3::DOUBLE THEN 'error' ELSE 'warning' END AS severity, subject, n AS count, 'Column ''' || subject || ''' has ' || n || ' missing values (' || " + _SHARE + " || CASE WHEN n::DOUBLE / t > 0.3::DOUBLE THEN '), exceeding 30% threshold.' ELSE ').' END AS message FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS subject, count(*) FILTER (WHERE {c} IS NULL) AS n, count(*) AS t FROM flawed" for c in COLUMNS) + ") WHERE n > 0", quality.missing_values)
+_check("v2", "negative_spend", _count("negative_spend", "spend < 0", "'Found ' || n || ' rows with negative spend. Values have been clamped to 0.0.'"), quality.negative_spend)
+_check("v3", "duplicate_rows", "SELECT 'duplicate_rows' AS \"check\", CASE WHEN n::DOUBLE / t > 0.05::DOUBLE THEN 'error' ELSE 'warning' END AS severity, '' AS subject, n AS count, 'Found and removed ' || n || ' duplicate rows (' || " + _SHARE + " || ' of data).' AS message FROM (SELECT a.t, a.t - b.k AS n FROM (SELECT count(*) AS t FROM flawed) a, (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM flawed)) b) WHERE n > 0", quality.duplicate_rows)
+_check("v4", "future_dates", "SELECT 'future_dates' AS \"check\", CASE WHEN count(*) > 7 THEN 'error' ELSE 'warning' END AS severity, '' AS subject, count(*) AS count, 'Found ' || count(*) || ' rows with dates after 1998-01-01. These rows have been excluded.' AS message FROM flawed WHERE date > DATE '1998-01-01' HAVING count(*) > 0", lambda df: quality.future_dates(df, "1998-01-01"))
+_check("v5", "invalid_campaign_types", "SELECT 'invalid_campaign_types' AS \"check\", 'warning' AS severity, channel AS subject, count(*) AS count, 'Channel ' || '''' || channel || '''' || ' has ' || count(*) || ' rows with unrecognized campaign types: [' || string_agg(DISTINCT CASE WHEN campaign_type IS NULL THEN 'None' ELSE '''' || campaign_type || '''' END, ', ') || ']. These may indicate new campaign structures.' AS message FROM flawed WHERE " + " OR ".join(f"(channel = '{c}' AND coalesce(campaign_type NOT IN ({', '.join(repr(t) for t in types)}), true))" for c, types in ALLOWED.items()) + " GROUP BY channel", lambda df: quality.invalid_campaign_types(df, ALLOWED))
+_check("v6", "budget_consistency", _count("budget_consistency", "daily_budget > 0 AND spend > daily_budget", f"'Found ' || n || ' rows (' || {_SHARE} || ') where spend exceeds daily budget. This may indicate budget changes not captured in data.'"), quality.budget_consistency)
+_check("v7", "zero_activity", _count("zero_activity", "spend = 0 AND impressions = 0", f"'Found ' || n || ' rows (' || {_SHARE} || ') with zero spend and zero impressions. These provide no signal.'"), quality.zero_activity)
+_check("v8", "channel_coverage", "SELECT 'channel_coverage' AS \"check\", 'error' AS severity, subject, 0::BIGINT AS count, 'Channel ' || '''' || subject || '''' || ' is missing from the data. Forecasts for this channel will not be generated.' AS message FROM (VALUES ('google'), ('tiktok')) t(subject) WHERE subject NOT IN (SELECT channel FROM flawed)", lambda df: quality.channel_coverage(df, ("google", "tiktok")))
 
-_check("v1", "missing_values", "SELECT 'missing_values' AS \"check\", CASE WHEN n::DOUBLE / t > 0.3::DOUBLE THEN 'error' ELSE 'warning' END AS severity, subject, n AS count FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS subject, count(*) FILTER (WHERE {c} IS NULL) AS n, count(*) AS t FROM flawed" for c in COLUMNS) + ") WHERE n > 0", quality.missing_values)
-_check("v2", "negative_spend", _count("negative_spend", "spend < 0"), quality.negative_spend)
-_check("v3", "duplicate_rows", "SELECT 'duplicate_rows' AS \"check\", CASE WHEN n::DOUBLE / t > 0.05::DOUBLE THEN 'error' ELSE 'warning' END AS severity, '' AS subject, n AS count FROM (SELECT a.t, a.t - b.k AS n FROM (SELECT count(*) AS t FROM flawed) a, (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM flawed)) b) WHERE n > 0", quality.duplicate_rows)
-_check("v4", "future_dates", "SELECT 'future_dates' AS \"check\", CASE WHEN count(*) > 7 THEN 'error' ELSE 'warning' END AS severity, '' AS subject, count(*) AS count FROM flawed WHERE date > DATE '1998-01-01' HAVING count(*) > 0", lambda df: quality.future_dates(df, "1998-01-01"))
-_check("v5", "invalid_campaign_types", "SELECT 'invalid_campaign_types' AS \"check\", 'warning' AS severity, channel AS subject, count(*) AS count FROM flawed WHERE " + " OR ".join(f"(channel = '{c}' AND coalesce(campaign_type NOT IN ({', '.join(repr(t) for t in types)}), true))" for c, types in ALLOWED.items()) + " GROUP BY channel", lambda df: quality.invalid_campaign_types(df, ALLOWED))
-_check("v6", "budget_consistency", _count("budget_consistency", "daily_budget > 0 AND spend > daily_budget"), quality.budget_consistency)
-_check("v7", "zero_activity", _count("zero_activity", "spend = 0 AND impressions = 0"), quality.zero_activity)
-_check("v8", "channel_coverage", "SELECT 'channel_coverage' AS \"check\", 'error' AS severity, subject, 0::BIGINT AS count FROM (VALUES ('google'), ('tiktok')) t(subject) WHERE subject NOT IN (SELECT channel FROM flawed)", lambda df: quality.channel_coverage(df, ("google", "tiktok")))
+
+def _first(check: str, condition: str, value: str) -> str:
+    return f"SELECT '{check}' AS \"check\", string_agg(v, ',' ORDER BY date, campaign_id, v) AS samples FROM (SELECT date, campaign_id, {value} AS v FROM flawed WHERE {condition} ORDER BY date, campaign_id, v LIMIT 5)"
+
+
+_PLACE = "date::VARCHAR || '/' || campaign_id"
+
+
+@query(
+    "o2_samples",
+    f"WITH {FLAWED} " + " UNION ALL ".join([
+        _first("negative_spend", "spend < 0", "spend::VARCHAR"), _first("future_dates", "date > DATE '1998-01-01'", "date::VARCHAR"), _first("zero_activity", "spend = 0 AND impressions = 0", _PLACE),
+        f"SELECT 'missing_values/' || subject, string_agg(v, ',' ORDER BY v) FROM (SELECT 'spend' AS subject, {_PLACE} AS v FROM flawed WHERE spend IS NULL ORDER BY v LIMIT 3) GROUP BY subject",
+    ]),
+)
+def _(spark, sf):
+    df = flawed(settled(spark, sf))
+    found = quality.negative_spend(df)[0].unionByName(quality.future_dates(df, "1998-01-01")[0]).unionByName(quality.zero_activity(df)[0]).unionByName(quality.missing_values(df)[0].where("subject = 'spend'"))
+    return found.select(F.concat_ws("/", "check", F.when(F.col("subject") != "", F.col("subject"))).alias("check"), F.array_join("samples", ",").alias("samples"))
 
 
 @query("v9_statistics", f"WITH {FLAWED} SELECT count(*) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM flawed)) AS rows_after, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM flawed)) AS rows_removed, count(DISTINCT campaign_id) AS campaigns, count(DISTINCT channel) AS channels, min(date) AS first_date, max(date) AS last_date FROM flawed")
 def _(spark, sf):
-    return quality.validate(flawed(unified(spark, sf)), ALLOWED).statistics
+    return quality.validate(flawed(settled(spark, sf)), ALLOWED).statistics
 
 
 @query("p1_sparse_rows", f"WITH {BUILT} SELECT campaign_id, date FROM built")
@@ -366,7 +401,7 @@ def _(spark, sf):
 
 @query("p3_k4_holdout", f"WITH {FACT}{HOLDOUT} SELECT 'train' AS part, campaign_id, count(*) AS n, max(date) AS last FROM train GROUP BY ALL UNION ALL SELECT 'actuals', campaign_id, count(*), max(date) FROM actuals GROUP BY ALL")
 def _(spark, sf):
-    parts = zip(("train", "actuals"), uncertainty.holdout(unified(spark, sf)), strict=True)
+    parts = zip(("train", "actuals"), uncertainty.holdout(settled(spark, sf)), strict=True)
     a, b = (df.groupBy(F.lit(n).alias("part"), "campaign_id").agg(F.count("*").alias("n"), F.max("date").alias("last")) for n, df in parts)
     return a.unionByName(b)
 
@@ -387,19 +422,19 @@ def _(spark, sf):
 
 @query("j3_m4_seasonal_naive", f"WITH {POINTS} SELECT campaign_id, step, date, round(naive, 6) AS naive FROM model")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     return forecast.naive_predict(forecast.future_days(forecast.eligible(fact)), forecast.naive_fit(fact)).select("campaign_id", "step", "date", r("naive"))
 
 
 @query("j7_orphans", f"WITH {POINTS}{base_sql('fact')} SELECT entity_id, round(sum(p50), 2) AS p50_total FROM points WHERE entity_id NOT IN (SELECT entity_id FROM base WHERE channel <> 'bing') GROUP BY ALL")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     return scenario.revenue_by_entity(points_of(fact)).join(B.baselines(fact).where("channel <> 'bing'"), "entity_id", "left_anti").select("entity_id", r("p50_total", 2))
 
 
 @query("j8_known_campaigns", f"WITH {FACT}{base_sql('fact')} SELECT entity_id FROM base WHERE channel = 'meta'")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     return B.baselines(fact).select("entity_id").join(fact.where("channel = 'meta'").select(F.col("campaign_id").alias("entity_id")), "entity_id", "left_semi")
 
 
@@ -410,7 +445,7 @@ def _(spark, sf):
 
 @query("j11_a17_coverage_by_series", f"WITH {PAIRS} SELECT s.entity_id, s.horizon, round(coalesce(avg((actual BETWEEN p10 AND p90)::INT::DOUBLE), 0), 8) AS coverage FROM (SELECT DISTINCT entity_id, horizon FROM points) s LEFT JOIN pairs p ON p.entity_id = s.entity_id AND p.horizon = s.horizon GROUP BY ALL")
 def _(spark, sf):
-    train, actuals = uncertainty.holdout(unified(spark, sf))
+    train, actuals = uncertainty.holdout(settled(spark, sf))
     return uncertainty.coverage_by_series(points_of(train), actuals).select("entity_id", "horizon", r("coverage", 8))
 
 
@@ -429,12 +464,12 @@ def _(spark, sf):
 
 @query("a3_seasonal_baseline", f"WITH {POINTS} SELECT campaign_id, baseline FROM nb")
 def _(spark, sf):
-    return forecast.naive_fit(unified(spark, sf))[0]
+    return forecast.naive_fit(settled(spark, sf))[0]
 
 
 @query("a4_weekday_pattern", f"WITH {POINTS} SELECT campaign_id, dow::INT AS dow, pattern FROM np")
 def _(spark, sf):
-    return forecast.naive_fit(unified(spark, sf))[1]
+    return forecast.naive_fit(settled(spark, sf))[1]
 
 
 _SERIES_NUMBERS = ("avg_interval_width", "avg_relative_width", "confidence_score", "volatility", "early", "mid", "late")
@@ -442,44 +477,71 @@ _SERIES_NUMBERS = ("avg_interval_width", "avg_relative_width", "confidence_score
 
 @query("a5_a7_series_uncertainty", f"WITH {UNCERTAIN} SELECT entity_id, channel, horizon, stability_trend, {rs(_SERIES_NUMBERS)} FROM series")
 def _(spark, sf):
-    return uncertainty.by_series(points_of(unified(spark, sf))).select("entity_id", "channel", "horizon", "stability_trend", *map(r, _SERIES_NUMBERS))
+    return uncertainty.by_series(points_of(settled(spark, sf))).select("entity_id", "channel", "horizon", "stability_trend", *map(r, _SERIES_NUMBERS))
 
 
 @query("a8_entity_uncertainty", f"WITH {UNCERTAIN} SELECT entity_id, channel, stability_trend, {rs(_SERIES_NUMBERS[:4])} FROM entities")
 def _(spark, sf):
-    return entities_of(unified(spark, sf)).select("entity_id", "channel", "stability_trend", *map(r, _SERIES_NUMBERS[:4]))
+    return entities_of(settled(spark, sf)).select("entity_id", "channel", "stability_trend", *map(r, _SERIES_NUMBERS[:4]))
 
 
 @query("a9_channel_uncertainty", f"WITH {UNCERTAIN} SELECT channel, round(avg(confidence_score), 6) AS avg_confidence, round(avg(volatility), 6) AS avg_volatility, count(*) AS campaign_count, list_aggregate(coalesce(list(entity_id ORDER BY entity_id) FILTER (WHERE confidence_score < 0.5::DOUBLE), []), 'string_agg', ',') AS high FROM entities GROUP BY channel")
 def _(spark, sf):
-    own = uncertainty.by_channel(entities_of(unified(spark, sf)))
+    own = uncertainty.by_channel(entities_of(settled(spark, sf)))
     return own.select("channel", r("avg_confidence"), r("avg_volatility"), "campaign_count", F.when(F.size("high_uncertainty_campaigns") > 0, F.array_join("high_uncertainty_campaigns", ",")).alias("high"))
 
 
 @query("a10_overall_uncertainty", f"WITH {UNCERTAIN} SELECT round(avg(confidence_score), 6) AS overall_confidence, round(avg(volatility), 6) AS overall_volatility, count(*) FILTER (WHERE confidence_score < 0.5::DOUBLE) AS high_uncertainty_count FROM entities")
 def _(spark, sf):
-    return uncertainty.overall(entities_of(unified(spark, sf))).select(r("overall_confidence"), r("overall_volatility"), "high_uncertainty_count")
+    return uncertainty.overall(entities_of(settled(spark, sf))).select(r("overall_confidence"), r("overall_volatility"), "high_uncertainty_count")
 
 
 @query("a11_revenue_by_entity", f"WITH {POINTS} SELECT entity_id, round(sum(p50), 2) AS p50_total FROM points GROUP BY ALL")
 def _(spark, sf):
-    return scenario.revenue_by_entity(points_of(unified(spark, sf))).select("entity_id", r("p50_total", 2))
+    return scenario.revenue_by_entity(points_of(settled(spark, sf))).select("entity_id", r("p50_total", 2))
 
 
 @query("a12_m8_scenarios_by_forecast", f"WITH {POINTS}{base_sql('fact')}{NAMED}, rev AS (SELECT sum(p50) AS revenue FROM points), spends AS (SELECT scenario, sum(bround * 90) AS spend FROM (SELECT scenario, round_even(greatest(0.0::DOUBLE, last_daily_budget * (1 + coalesce(relative, 0))), 2) AS bround FROM base JOIN (SELECT DISTINCT entity_id FROM points) USING (entity_id), named) GROUP BY scenario) SELECT scenario, round(revenue, 1) AS projected_revenue, round(spend, 1) AS projected_spend, round(revenue / spend, 6) AS projected_roas FROM rev, spends")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     own = scenario.simulate(B.baselines(fact), scenario.scenarios(spark), model=models.WeekdayQuantiles().fit(fact), feature_df=fact)
     return own.select("scenario", r("projected_revenue", 1), r("projected_spend", 1), r("projected_roas"))
 
 
 @query("a13_m9_scenarios_by_formula", f"WITH {POINTS}{base_sql('fact')}{NAMED}, tot AS (SELECT entity_id, sum(p50) AS p50 FROM points GROUP BY ALL), x AS (SELECT scenario, relative, b.*, p50, greatest(0.0::DOUBLE, total_spend + coalesce(total_spend * relative, 0)) AS new FROM base b LEFT JOIN tot USING (entity_id), named), y AS (SELECT scenario, sum(coalesce(p50, total_revenue) + CASE WHEN relative IS NULL THEN 0 ELSE (new - total_spend) * historical_roas * (1 / (1 + abs(new - total_spend) / (3 * total_spend + 1e-9::DOUBLE))) END) AS revenue, sum(new) AS spend FROM x GROUP BY scenario) SELECT scenario, round(revenue, 1) AS projected_revenue, round(spend, 1) AS projected_spend, round(revenue / spend, 6) AS projected_roas FROM y")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     own = scenario.simulate(B.baselines(fact), scenario.scenarios(spark), points=points_of(fact))
     return own.select("scenario", r("projected_revenue", 1), r("projected_spend", 1), r("projected_roas"))
 
 
+def _two_adjustments(fact: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Baselines, and for each google campaign first 100 more, then 10 % more."""
+    base = B.baselines(fact)
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(a).cast("double").alias("absolute"), F.lit(x).cast("double").alias("relative")) for i, (a, x) in enumerate(((100.0, None), (None, 0.1))))))
+    return base, base.where("channel = 'google'").select(F.lit("both").alias("scenario"), "entity_id", both.alias("x")).select("scenario", "entity_id", "x.*")
+
+
+@query("j6_last_adjustment", f"WITH {FACT}{base_sql('fact')}, x AS (SELECT entity_id, last_daily_budget AS b, CASE WHEN channel = 'google' THEN round_even(last_daily_budget * 1.1::DOUBLE, 2) ELSE round_even(last_daily_budget, 2) END AS new FROM base) SELECT 'both' AS scenario, entity_id AS campaign_id, round(new, 1) AS daily_budget, round(CASE WHEN b > 0 THEN greatest(0.1::DOUBLE, least(5.0::DOUBLE, new / b)) ELSE 1 END, 6) AS spend_multiplier FROM x")
+def _(spark, sf):
+    base, changes = _two_adjustments(settled(spark, sf))
+    return scenario.budget_map(base, changes, changes).select("scenario", "campaign_id", r("daily_budget", 1), r("spend_multiplier"))
+
+
+@query("j6_adjustments_add_up", f"WITH {POINTS}{base_sql('fact')}, tot AS (SELECT entity_id, sum(p50) AS p50 FROM points GROUP BY ALL), x AS (SELECT 'both' AS scenario, CASE WHEN channel = 'google' THEN 1 END AS relative, b.*, p50, greatest(0.0::DOUBLE, total_spend + CASE WHEN channel = 'google' THEN 100 + total_spend * 0.1::DOUBLE ELSE 0 END) AS new FROM base b LEFT JOIN tot USING (entity_id)), y AS (SELECT scenario, sum(coalesce(p50, total_revenue) + CASE WHEN relative IS NULL THEN 0 ELSE (new - total_spend) * historical_roas * (1 / (1 + abs(new - total_spend) / (3 * total_spend + 1e-9::DOUBLE))) END) AS revenue, sum(new) AS spend FROM x GROUP BY scenario) SELECT scenario, round(revenue, 1) AS projected_revenue, round(spend, 1) AS projected_spend, round(revenue / spend, 6) AS projected_roas FROM y")
+def _(spark, sf):
+    fact = settled(spark, sf)
+    base, named = _two_adjustments(fact)
+    own = scenario.simulate(base, named.select("scenario").distinct(), named, points=points_of(fact))
+    return own.select("scenario", r("projected_revenue", 1), r("projected_spend", 1), r("projected_roas"))
+
+
+@query("s12_simulation_report", f"WITH {POINTS}{base_sql('fact')}{NAMED}, tot AS (SELECT entity_id, sum(p50) AS p50 FROM points GROUP BY ALL), x AS (SELECT scenario, relative, b.*, p50, greatest(0.0::DOUBLE, total_spend + coalesce(total_spend * relative, 0)) AS new FROM base b LEFT JOIN tot USING (entity_id), named), y AS (SELECT scenario, sum(coalesce(p50, total_revenue) + CASE WHEN relative IS NULL THEN 0 ELSE (new - total_spend) * historical_roas * (1 / (1 + abs(new - total_spend) / (3 * total_spend + 1e-9::DOUBLE))) END) AS revenue, sum(new) AS spend FROM x GROUP BY scenario) SELECT scenario, round_even(revenue, 2) AS projected_revenue, round_even(spend, 2) AS projected_spend, round_even(revenue / spend, 2) AS projected_roas FROM y")
+def _(spark, sf):
+    fact = settled(spark, sf)
+    return report.simulations(scenario.simulate(B.baselines(fact), scenario.scenarios(spark), points=points_of(fact)))
+
+
 @query("a14_cost_inflation", f"WITH {FLAWED}{HALVES.format(source='(SELECT DISTINCT * FROM flawed)')} SELECT entity_id, early_ratio, late_ratio, cost_inflation FROM inflation")
 def _(spark, sf):
     return B.cost_inflation(flawed(unified(spark, sf)).distinct())
@@ -487,7 +549,7 @@ def _(spark, sf):
 
 @query("a15_decision_summary", f"WITH {ALLOCATED} SELECT sum(total_spend) AS total_current_budget, (SELECT round(sum(allocation), 1) FROM allocation) AS total_recommended_budget, (SELECT count(*) FROM assessed) AS campaigns_assessed, (SELECT count(*) FROM assessed WHERE len(flags) > 0) AS campaigns_flagged, (SELECT sum(len(flags))::BIGINT FROM assessed) AS total_flags FROM base")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     base, assessed = B.baselines(fact), assessed_of(fact)
     own = decision.summary(assessed, decision.recommend(assessed, base), base)
     return own.select("total_current_budget", r("total_recommended_budget", 1), "campaigns_assessed", "campaigns_flagged", "total_flags")
@@ -575,7 +637,7 @@ def _(spark, sf):
 
 @query("u1_union_all", f"WITH {FACT} SELECT channel, count(*) AS n FROM (SELECT * FROM fact UNION ALL SELECT * FROM fact WHERE channel = 'meta') GROUP BY channel")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     return fact.unionByName(fact.where("channel = 'meta'")).groupBy("channel").agg(F.count("*").alias("n"))
 
 
@@ -594,7 +656,7 @@ def _(spark, sf):
 
 @query("k3_k5_calibrated_uncertainty", f"WITH {PAIRS}{forecast_sql('fact', 'f_')}{SERIES.replace('FROM points', 'FROM f_points').format(a='(SELECT alpha FROM alpha)')} SELECT entity_id, channel, stability_trend, {rs(_SERIES_NUMBERS[:4], 5)} FROM entities")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     train, actuals = uncertainty.holdout(fact)
     alpha = uncertainty.calibrate(points_of(train), actuals)
     own = uncertainty.by_entity(uncertainty.by_series(points_of(fact), alpha))
@@ -603,18 +665,18 @@ def _(spark, sf):
 
 @query("m5_m7_forecast", f"WITH {POINTS} SELECT entity_id, channel, metric, horizon, step, date, {rs(('p10', 'p50', 'p90'), 4)} FROM points")
 def _(spark, sf):
-    return points_of(unified(spark, sf)).select("entity_id", "channel", "metric", "horizon", "step", "date", *(r(c, 4) for c in ("p10", "p50", "p90")))
+    return points_of(settled(spark, sf)).select("entity_id", "channel", "metric", "horizon", "step", "date", *(r(c, 4) for c in ("p10", "p50", "p90")))
 
 
 @query("m1_m2_quantile_forest")
 def _(spark, sf):
-    built = features.build(unified(spark, sf))
-    return forecast.forecast(built, models.ForestQuantiles(trees=10).fit(built))
+    built = cut(features.build(unified(spark, sf)))
+    return forecast.forecast(built, models.ForestQuantiles().fit(built))
 
 
 @query("m11_budget_optimizer", f"WITH {ALLOCATED} SELECT a.entity_id, b.total_spend AS current_budget, round(allocation, 2) AS recommended_budget FROM allocation a JOIN base b USING (entity_id)")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     base = B.baselines(fact)
     own = decision.allocate(assessed_of(fact), base).join(base, "entity_id")
     return own.select("entity_id", F.col("total_spend").alias("current_budget"), F.round("allocation", 2).alias("recommended_budget"))
@@ -622,35 +684,33 @@ def _(spark, sf):
 
 @query("m12_assessments", f"WITH {ASSESSED} SELECT entity_id, channel, campaign_type, current_spend, current_roas, stability_trend, array_to_string(flags, ',') AS flags, {rs(('confidence_score', 'volatility', 'score'))} FROM assessed")
 def _(spark, sf):
-    own = assessed_of(unified(spark, sf))
+    own = assessed_of(settled(spark, sf))
     return own.select("entity_id", "channel", "campaign_type", "current_spend", "current_roas", "stability_trend", F.array_join("flags", ",").alias("flags"), *map(r, ("confidence_score", "volatility", "score")))
 
 
 # --- report ---
 
 
-@query("s10_forecast_report", f"WITH {POINTS} SELECT entity_id, channel, horizon, metric, date::VARCHAR AS date, {rs(('p10', 'p50', 'p90'), 0)} FROM points")
+@query("s10_forecast_report", f"WITH {POINTS} SELECT entity_id, channel, horizon, metric, date::VARCHAR AS date, {evens('p10', 'p50', 'p90')} FROM points")
 def _(spark, sf):
-    own = report.forecasts(points_of(unified(spark, sf)), 10)
-    return own.select("entity_id", "channel", "horizon", "metric", "date", *(r(c, 0) for c in ("p10", "p50", "p90")))
+    return report.forecasts(points_of(settled(spark, sf)))
 
 
-@query("s11_uncertainty_report", f"WITH {UNCERTAIN} SELECT entity_id, channel, stability_trend, {rs(('confidence_score', 'volatility', 'avg_relative_width'), 4)} FROM entities")
+@query("s11_uncertainty_report", f"WITH {UNCERTAIN} SELECT entity_id, channel, stability_trend, {evens('confidence_score', 'volatility', 'avg_relative_width')} FROM entities")
 def _(spark, sf):
-    own = report.uncertainty(entities_of(unified(spark, sf)), 12)
-    return own.select("entity_id", "channel", "stability_trend", *(r(c, 4) for c in ("confidence_score", "volatility", "avg_relative_width")))
+    return report.uncertainty(entities_of(settled(spark, sf)))
 
 
 @query("s13_recommendation_report", f"WITH {ALLOCATED} SELECT a.entity_id, a.channel, round(b.total_spend, 1) AS current_budget, round(allocation, 1) AS recommended_budget, round(allocation - b.total_spend, 1) AS budget_change, round(CASE WHEN current_roas <> 0 THEN current_roas END, 4) AS expected_roas FROM assessed a JOIN base b USING (entity_id) JOIN allocation USING (entity_id)")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     own = report.recommendations(decision.recommend(assessed_of(fact), B.baselines(fact)), 10)
     return own.select("entity_id", "channel", *(r(c, 1) for c in ("current_budget", "recommended_budget", "budget_change")), r("expected_roas", 4))
 
 
 @query("s14_summary", f"WITH {ALLOCATED} SELECT (SELECT count(DISTINCT entity_id) FROM points) AS campaigns_forecasted, (SELECT round(sum(p50), 1) FROM points) AS total_forecast_revenue_p50, (SELECT round(avg(confidence_score), 4) FROM entities) AS overall_uncertainty_confidence, (SELECT count(*) FROM entities WHERE confidence_score < 0.5::DOUBLE) AS high_uncertainty_campaigns, 3::BIGINT AS scenarios_simulated, (SELECT count(*) FROM allocation) AS recommendations, (SELECT count(*) FROM assessed WHERE len(flags) > 0) AS campaigns_flagged, (SELECT sum(len(flags))::BIGINT FROM assessed) AS total_flags")
 def _(spark, sf):
-    fact = unified(spark, sf)
+    fact = settled(spark, sf)
     points, base, entities = points_of(fact), B.baselines(fact), entities_of(fact)
     assessed = decision.assess(base, entities, fact)
     own = report.summary(points, uncertainty.overall(entities), scenario.simulate(base, scenario.scenarios(spark), points=points), decision.recommend(assessed, base), assessed, 4)
