@@ -72,6 +72,39 @@ def test_verdicts_flow(spark):
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block"}
 
 
+def test_all_verdicts_match_linear_algebra(spark):
+    """A made graph of 60 hosts at the shipped damping and threshold: trust and distrust solved exactly, verdicts by the docstring."""
+    rng = np.random.default_rng(11)
+    hosts = [f"h{i}.{'org' if i % 20 == 0 else ('com', 'com', 'net', 'net', 'com')[i % 5]}" for i in range(60)]
+    lists, links = [], set()
+    for i, host in enumerate(hosts):
+        for k in range(int(rng.integers(1, 5))):
+            to = sorted({int(j) for j in rng.integers(0, 60, 3)} - {i}) if rng.random() < 0.7 else []
+            links |= {(i, j) for j in to}
+            lists.append((f"https://{host}/{('de', 'de', 'de', 'fr', 'en')[int(rng.integers(0, 5))]}/{k}", "".join(f"<a href='http://{hosts[j]}/'>" for j in to) + "x" * int(rng.integers(0, 3) == 0) * 100_000))
+    rule = [next((v for h, p, v in (("org", "/", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")) if u.split("/")[2].endswith("." + h) and ("/" + u.split("/", 3)[3]).startswith(p)), None) for u, _ in lists]
+    seeds = {v: np.array([np.mean([r == v for (u, _), r in zip(lists, rule, strict=True) if u.split("/")[2] == h]) for h in hosts]) for v in ("allow", "block")}
+
+    def ranks(seed, pairs):
+        m = np.zeros((60, 60))
+        for a, b in pairs:
+            m[b, a] = 1 / sum(x == a for x, _ in pairs)
+        return np.linalg.solve(np.eye(60) - 0.85 * m, 0.15 * seed)
+
+    trust, distrust = ranks(seeds["allow"], links), ranks(seeds["block"], {(b, a) for a, b in links})
+    got = {r.page_id: r for r in urls.filter_urls(pages(spark, lists)).collect()}
+    flowed = 0
+    for i, ((u, _), r) in enumerate(zip(lists, rule, strict=True)):
+        h = hosts.index(u.split("/")[2])
+        assert abs(got[i].trust - trust[h]) < 1e-4
+        assert abs(got[i].distrust - distrust[h]) < 1e-4
+        assert min(abs(distrust[h] - 0.75 * (trust[h] + distrust[h])), abs(distrust[h] - 0.075)) > 1e-4  # no host is at a limit
+        bad = distrust[h] >= 0.075 and distrust[h] >= 0.75 * (trust[h] + distrust[h])
+        assert got[i].verdict == (r or ("block" if bad else "allow"))
+        flowed += r is None and bad
+    assert flowed
+
+
 def test_repeated_rows_and_no_rows(spark):
     df = pages(spark, [("http://bad.com/de/1", ""), ("http://f.net/", '<a href="http://bad.com/">')])
     got = urls.filter_urls(df.union(df))

@@ -66,8 +66,8 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int | Non
     together shrink by damping each round, that comes after a number of rounds which the sum of seeds gives; rounds sets another bound, and
     ranks that still change then are an error. Each round is written to the checkpoint folder, so plans stay short; what hosts pass on, their seeds and their last ranks meet in one aggregation. A host with very many links is dealt to SALTS tasks by its targets.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    dealt = cut(edges.join(degree, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")))
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    dealt = cut(edges.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).join(degree, ["src", "salt"]))
     base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("seed"))
     rank = base.select("host", F.col("seed").alias("rank"))
     if dealt.isEmpty():
@@ -106,7 +106,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: floa
 
     Where no rule fits, a host is blocked if its distrust is at least threshold of its trust and distrust together, and at least what a host has by
     itself of whose pages rules block one half. So hosts that little is known about, and pages without a host, are allowed. A host with a large share of all pages is dealt to SALTS tasks.
-    Null urls have no host; null html has no links; repeated rows are judged alike. No rows: no rows.
+    Null urls have no host; null html has no links; urls and html are read whole, however long; repeated rows are judged alike. No rows: no rows.
     """
     own = judged(pages.select("page_id", "url", "html"), rules)
     scores = host_scores(own.select("host", "_verdict", "html"), damping).withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
