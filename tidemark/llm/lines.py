@@ -124,6 +124,17 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def with_known(df: DataFrame, column: str, known: np.ndarray) -> DataFrame:
+    """The rows of df whose column the filter may have."""
+    bits = df.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("boolean")
+    def has(hashes: pd.Series) -> pd.Series:
+        return pd.Series(has_all(bits.value, cells(hashes.to_numpy(), len(bits.value) * 8)))
+
+    return df.where(has(column))
+
+
 def suspects(keyed: DataFrame, n: int) -> DataFrame:
     """doc, _row, key, at (positions): the lines whose hash may be one that two documents have. n: how many lines there are, some."""
     hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x["key"])))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, packed, parallelism, text_of, unpacked, written
+from .lines import bloom, with_known
 from .words import grouped, in_groups, mixed, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -333,8 +334,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def shingles_of(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
     """set, shingles of the wanted sets. firsts: set, and doc_id and hash of a text that has it."""
-    named = firsts.join(wanted, "set", "left_semi").select("set", "doc_id", "hash")
-    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("text")).join(named, ["doc_id", "hash"]).dropDuplicates(["set"])
+    named = cut(firsts.join(wanted, "set", "left_semi").select("set", "doc_id", "hash"))
+    # only texts whose hash a filter of the wanted ones has are shuffled
+    texts = with_known(docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("text")), "hash", bloom(named.select(F.col("hash").alias("h"))))
+    texts = texts.join(named, ["doc_id", "hash"]).dropDuplicates(["set"])
     return cut(shingle_sets(texts, weighted))
 
 
