@@ -701,17 +701,15 @@ def _(spark, sf):
     return report.uncertainty(entities_of(settled(spark, sf)))
 
 
-@query("s13_recommendation_report", f"WITH {ALLOCATED} SELECT a.entity_id, a.channel, round(b.total_spend, 1) AS current_budget, round(allocation, 1) AS recommended_budget, round(allocation - b.total_spend, 1) AS budget_change, round(CASE WHEN current_roas <> 0 THEN current_roas END, 4) AS expected_roas FROM assessed a JOIN base b USING (entity_id) JOIN allocation USING (entity_id)")
+@query("s13_recommendation_report", f"WITH {ALLOCATED} SELECT a.entity_id, a.channel, round_even(b.total_spend, 2) AS current_budget, round_even(allocation, 2) AS recommended_budget, round_even(allocation - b.total_spend, 2) AS budget_change, round_even(CASE WHEN current_roas <> 0 THEN current_roas END, 2) AS expected_roas FROM assessed a JOIN base b USING (entity_id) JOIN allocation USING (entity_id)")
 def _(spark, sf):
     fact = settled(spark, sf)
-    own = report.recommendations(decision.recommend(assessed_of(fact), B.baselines(fact)), 10)
-    return own.select("entity_id", "channel", *(r(c, 1) for c in ("current_budget", "recommended_budget", "budget_change")), r("expected_roas", 4))
+    return report.recommendations(decision.recommend(assessed_of(fact), B.baselines(fact))).drop("rationale")
 
 
-@query("s14_summary", f"WITH {ALLOCATED} SELECT (SELECT count(DISTINCT entity_id) FROM points) AS campaigns_forecasted, (SELECT round(sum(p50), 1) FROM points) AS total_forecast_revenue_p50, (SELECT round(avg(confidence_score), 4) FROM entities) AS overall_uncertainty_confidence, (SELECT count(*) FROM entities WHERE confidence_score < 0.5::DOUBLE) AS high_uncertainty_campaigns, 3::BIGINT AS scenarios_simulated, (SELECT count(*) FROM allocation) AS recommendations, (SELECT count(*) FROM assessed WHERE len(flags) > 0) AS campaigns_flagged, (SELECT sum(len(flags))::BIGINT FROM assessed) AS total_flags")
+@query("s14_summary", f"WITH {ALLOCATED} SELECT (SELECT count(DISTINCT entity_id) FROM points) AS campaigns_forecasted, (SELECT round_even(sum(p50), 2) FROM points) AS total_forecast_revenue_p50, (SELECT round_even(avg(confidence_score), 2) FROM entities) AS overall_uncertainty_confidence, (SELECT round_even(avg(volatility), 2) FROM entities) AS overall_volatility, (SELECT count(*) FROM entities WHERE confidence_score < 0.5::DOUBLE) AS high_uncertainty_campaigns, 3::BIGINT AS scenarios_simulated, (SELECT count(*) FROM allocation) AS recommendations, (SELECT count(*) FROM assessed WHERE len(flags) > 0) AS campaigns_flagged, (SELECT sum(len(flags))::BIGINT FROM assessed) AS total_flags")
 def _(spark, sf):
     fact = settled(spark, sf)
     points, base, entities = points_of(fact), B.baselines(fact), entities_of(fact)
     assessed = decision.assess(base, entities, fact)
-    own = report.summary(points, uncertainty.overall(entities), scenario.simulate(base, scenario.scenarios(spark), points=points), decision.recommend(assessed, base), assessed, 4)
-    return own.select("campaigns_forecasted", r("total_forecast_revenue_p50", 1), r("overall_uncertainty_confidence", 4), "high_uncertainty_campaigns", "scenarios_simulated", "recommendations", "campaigns_flagged", "total_flags")
+    return report.summary(points, uncertainty.overall(entities), scenario.simulate(base, scenario.scenarios(spark), points=points), decision.recommend(assessed, base), assessed)

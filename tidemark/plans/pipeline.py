@@ -70,11 +70,12 @@ def run(spark: SparkSession, fact: DataFrame, config: Config | None = None, mode
     return out
 
 
-def write(out: dict[str, DataFrame], directory: str, config: Config | None = None) -> None:
-    """forecasts, uncertainty, simulations and recommendations as CSV folders, summary as a JSON folder."""
+def write(out: dict[str, DataFrame], directory: str, config: Config | None = None, copy: str | None = None) -> None:
+    """forecasts, uncertainty, simulations and recommendations as CSV folders, summary as a JSON folder; the forecasts at the path copy as well, if given."""
     config = config or Config()
     places = config.get("report.decimal_places")
-    report.write_csv(report.forecasts(out["points"], places, config.get("report.include_raw_forecasts")), f"{directory}/forecasts.csv")
+    for path in filter(None, (f"{directory}/forecasts.csv", copy)):
+        report.write_csv(report.forecasts(out["points"], places, config.get("report.include_raw_forecasts")), path)
     report.write_csv(report.uncertainty(out["entities"], places), f"{directory}/uncertainty.csv")
     report.write_csv(report.simulations(out["results"], places), f"{directory}/simulations.csv")
     report.write_csv(report.recommendations(out["recommendations"], places), f"{directory}/recommendations.csv")
@@ -87,6 +88,7 @@ def main(args: list[str] | None = None) -> None:
         p.add_argument(name, required=True)
     p.add_argument("--model-path")
     p.add_argument("--config")
+    p.add_argument("--forecasts-copy")
     p.add_argument("--force-retrain", action="store_true")
     a = p.parse_args(args)
     handler = logging.StreamHandler(sys.stdout)
@@ -100,7 +102,7 @@ def main(args: list[str] | None = None) -> None:
     except (csv.IngestionError, FileNotFoundError) as e:
         LOG.error("ingestion_failed", extra={"fields": {"error": str(e)}})
         sys.exit(1)
-    write(run(spark, fact, config, a.model_path, a.force_retrain), a.output_dir, config)
+    write(run(spark, fact, config, a.model_path, a.force_retrain), a.output_dir, config, a.forecasts_copy)
     LOG.info("pipeline_complete", extra={"fields": {"output_dir": a.output_dir}})
 
 
