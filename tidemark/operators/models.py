@@ -33,6 +33,17 @@ class WeekdayQuantiles:
         return out.withColumns({n: q[i] for i, n in enumerate(NAMES)}).drop("q", "q_all", "_dow")
 
 
+class SpendQuantiles:
+    """Quantiles of revenue per unit of spend, of a campaign's days with spend, times the spend of the day, so budgets move forecasts; 0 without such days. Has an exact oracle too."""
+
+    def fit(self, df: DataFrame) -> SpendQuantiles:
+        self.returns = df.where("spend > 0").groupBy("campaign_id").agg(F.percentile(F.col("revenue") / F.col("spend"), F.array(*map(d, QUANTILES))).alias("q"))
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return df.join(self.returns, "campaign_id", "left").withColumns({n: F.coalesce(F.col("q")[i] * F.col("spend"), d(0)) for i, n in enumerate(NAMES)}).drop("q")
+
+
 class ForestQuantiles:
     """A quantile regression forest: a random forest's leaves keep the quantiles of their training targets, and a prediction is their mean over the trees.
 

@@ -508,6 +508,23 @@ def _(spark, sf):
     return own.select("scenario", r("projected_revenue", 1), r("projected_spend", 1), r("projected_roas"))
 
 
+BY_SPEND = POINTS + base_sql("fact") + NAMED + """,
+sw AS (SELECT campaign_id, isodow(date) - 1 AS dow, avg(spend) AS spend FROM hist GROUP BY ALL), sa AS (SELECT campaign_id, avg(spend) AS spend FROM sw GROUP BY ALL),
+returns AS (SELECT campaign_id, quantile_cont(revenue / spend, 0.1::DOUBLE) AS r10, quantile_cont(revenue / spend, 0.5::DOUBLE) AS r50, quantile_cont(revenue / spend, 0.9::DOUBLE) AS r90 FROM fact WHERE spend > 0 GROUP BY ALL),
+budgets AS (SELECT scenario, entity_id, last_daily_budget AS old, round_even(greatest(0.0::DOUBLE, last_daily_budget * (1 + coalesce(relative, 0))), 2) AS budget FROM base, named),
+days8 AS (SELECT scenario, budget, naive, step, r10, r50, r90, coalesce(sw.spend, sa.spend) * CASE WHEN old > 0 THEN greatest(0.1::DOUBLE, least(5.0::DOUBLE, budget / old)) ELSE 1 END AS spend
+  FROM model m JOIN budgets b ON b.entity_id = m.campaign_id LEFT JOIN sw ON sw.campaign_id = m.campaign_id AND sw.dow = isodow(m.date) - 1 LEFT JOIN sa ON sa.campaign_id = m.campaign_id LEFT JOIN returns r ON r.campaign_id = m.campaign_id),
+mixed8 AS (SELECT scenario, budget, step, greatest(0.0::DOUBLE, list_sort([0.5::DOUBLE * coalesce(r10 * spend, 0) + 0.5::DOUBLE * naive, 0.5::DOUBLE * coalesce(r50 * spend, 0) + 0.5::DOUBLE * naive, 0.5::DOUBLE * coalesce(r90 * spend, 0) + 0.5::DOUBLE * naive])[2]) AS p50 FROM days8)
+SELECT scenario, round(sum(p50 * CASE WHEN step <= 30 THEN 3 WHEN step <= 60 THEN 2 ELSE 1 END), 1) AS projected_revenue, round(sum(budget), 1) AS projected_spend, round(sum(p50 * CASE WHEN step <= 30 THEN 3 WHEN step <= 60 THEN 2 ELSE 1 END) / sum(budget), 6) AS projected_roas FROM mixed8 GROUP BY scenario"""
+
+
+@query("m8_scenarios_by_spend", f"WITH {BY_SPEND}")
+def _(spark, sf):
+    fact = settled(spark, sf)
+    own = scenario.simulate(B.baselines(fact), scenario.scenarios(spark), model=models.SpendQuantiles().fit(fact), feature_df=fact)
+    return own.select("scenario", r("projected_revenue", 1), r("projected_spend", 1), r("projected_roas"))
+
+
 @query("a13_m9_scenarios_by_formula", f"WITH {POINTS}{base_sql('fact')}{NAMED}, tot AS (SELECT entity_id, sum(p50) AS p50 FROM points GROUP BY ALL), x AS (SELECT scenario, relative, b.*, p50, greatest(0.0::DOUBLE, total_spend + coalesce(total_spend * relative, 0)) AS new FROM base b LEFT JOIN tot USING (entity_id), named), y AS (SELECT scenario, sum(coalesce(p50, total_revenue) + CASE WHEN relative IS NULL THEN 0 ELSE (new - total_spend) * historical_roas * (1 / (1 + abs(new - total_spend) / (3 * total_spend + 1e-9::DOUBLE))) END) AS revenue, sum(new) AS spend FROM x GROUP BY scenario) SELECT scenario, round(revenue, 1) AS projected_revenue, round(spend, 1) AS projected_spend, round(revenue / spend, 6) AS projected_roas FROM y")
 def _(spark, sf):
     fact = settled(spark, sf)
