@@ -38,8 +38,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     """doc_id, source, size, source_size, target, taken, text_hash: how many words of each document a mix with these weights takes.
 
     Documents get a hash-random key. Within a source they are ordered by it: a prefix of the key's hex digits is the range
-    (some bucket_rows rows in each of the large sources' ranges), sums by range give each range's start, and a window inside
-    a range gives each document's. A source is taken whole as often as its target allows; then documents are taken in order up to
+    (at most some bucket_rows rows in each range, however many documents there are), sums by range and by half of its digits give
+    each range's start, and a window inside a range gives each document's. A source is taken whole as often as its target allows; then documents are taken in order up to
     the target's whole words, the last one in part. So a source's taken words are its target rounded down, and no document
     counts over cap times.
 
@@ -48,13 +48,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     sized = cut(docs.select("doc_id", "source", word_count(text_of()).alias("size"), key.alias("_key"), F.xxhash64(text_of()).alias("text_hash")))
-    digits = min(4, max(1, math.ceil(math.log(max(sized.count(), 2) / bucket_rows, 16))))
+    digits = max(1, math.ceil(math.log(max(sized.count(), 2) / bucket_rows, 16)))
     # a source's key is never null, so that joins need no null-safe comparison
     sized = sized.withColumn("_source", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))).withColumn("_range", F.substring("_key", 1, digits))
     ranges = sized.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
     per_source = targets(ranges.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")), weights, cap)
     per_source = per_source.select("_source", "source_size", "target")
-    starts = ranges.select("_source", "_range", (F.sum("_sum").over(W.partitionBy("_source").orderBy("_range")) - F.col("_sum")).alias("_start")).join(per_source, "_source")
+    # first half of the digits, then the rest: no window has more rows than the square root of a source's ranges, or some 16 times that
+    halves = ranges.select("_source", "_range", F.substring("_range", 1, digits // 2).alias("_half"), "_sum")
+    sums = halves.groupBy("_source", "_half").agg(F.sum("_sum").alias("_sum"))
+    sums = sums.select("_source", "_half", (F.sum("_sum").over(W.partitionBy("_source").orderBy("_half")) - F.col("_sum")).alias("_to_half"))
+    within = F.sum("_sum").over(W.partitionBy("_source", "_half").orderBy("_range")) - F.col("_sum")
+    starts = halves.withColumn("_within", within).join(sums, ["_source", "_half"]).select("_source", "_range", (F.col("_to_half") + F.col("_within")).alias("_start")).join(per_source, "_source")
     inside = W.partitionBy("_source", "_range").orderBy("_key", "size", "text_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
