@@ -39,9 +39,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
 
     Documents get a hash-random key. Within a source they are ordered by it: a prefix of the key's hex digits is the range
     (at most some bucket_rows rows in each range, however many documents there are), sums by range and by half of its digits give
-    each range's start, and a window inside a range gives each document's. A source is taken whole as often as its target allows; then documents are taken in order up to
-    the target's whole words, the last one in part. So a source's taken words are its target rounded down, and no document
-    counts over cap times.
+    each range's start, and a window inside a range gives each document's. A source is taken whole as often as its target
+    allows; then documents are taken in order up to the target's whole words, the last one in part. So a source's taken words
+    are its target rounded down, and no document counts over cap times.
 
     Null text: size 0. Null source: a source of its own, last. Rows with the same doc_id are taken one by one. No rows: no rows.
     Nothing is dropped: a document that isn't taken has taken 0.
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     ranges = sized.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
     per_source = targets(ranges.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")), weights, cap)
     per_source = per_source.select("_source", "source_size", "target")
-    # first half of the digits, then the rest: no window has more rows than the square root of a source's ranges, or some 16 times that
+    # first half of the digits, then the rest: no window has more rows than 4 times the square root of a source's ranges
     halves = ranges.select("_source", "_range", F.substring("_range", 1, digits // 2).alias("_half"), "_sum")
     sums = halves.groupBy("_source", "_half").agg(F.sum("_sum").alias("_sum"))
     sums = sums.select("_source", "_half", (F.sum("_sum").over(W.partitionBy("_source").orderBy("_half")) - F.col("_sum")).alias("_to_half"))
