@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, near, packing, quality, search, substrings, toxicity, urls
+from . import lines, middle, mixing, near, packing, quality, search, substrings, toxicity, urls
 from .common import table
 
 
@@ -46,9 +46,13 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return middle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": lines.SQL, "op3_exact_top_k": search.EXACT_SQL, "op8_mix_sources": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op3_exact_top_k": search.EXACT_SQL, "op8_mix_sources": mixing.SQL, "op11_fill_in_middle": middle.SQL}
