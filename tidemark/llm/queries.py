@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, middle, mixing, near, packing, quality, search, substrings, toxicity, urls
+from . import lines, middle, mixing, near, packing, quality, search, substrings, tiers, toxicity, urls
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op11_fill_in_middle(spark, sf_dir):
     return middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_tiered_packing(spark, sf_dir):
+    return tiers.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
