@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, middle, mixing, near, packing, quality, search, substrings, tiers, toxicity, urls
+from . import lines, merkle, middle, mixing, near, packing, quality, search, substrings, tiers, toxicity, urls
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op12_tiered_packing(spark, sf_dir):
     return tiers.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": lines.SQL, "op3_exact_top_k": search.EXACT_SQL, "op8_mix_sources": mixing.SQL, "op11_fill_in_middle": middle.SQL}
+    return {"op1_line_dedup": lines.SQL, "op3_exact_top_k": search.EXACT_SQL, "op8_mix_sources": mixing.SQL, "op11_fill_in_middle": middle.SQL, "op13_merkle_manifest": merkle.SQL}
