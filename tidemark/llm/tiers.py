@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,16 @@ END_ID = 1
 CACHE_BYTES = 64 << 20
 KNOWN: dict[tuple, ByteChunks] = {}
 
-#: UTF-8 of all white space, as the last bytes before a place.
-WHITE_BEFORE = rb"(?:(?<=\s)|(?<=\xc2[\x85\xa0])|(?<=\xe1\x9a\x80)|(?<=\xe2\x80[\x80-\x8a\xa8\xa9\xaf])|(?<=\xe2\x81\x9f)|(?<=\xe3\x80\x80))"
-#: Chunks start at each space that no white space precedes: no token of a byte-level tokenizer spans such a place.
-CHUNK = re.compile(rb"(?: [^ ]*|[^ ]+)(?:%b [^ ]*)*" % WHITE_BEFORE)
+#: UTF-8 of white space that isn't ASCII.
+WIDE_WHITE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+HAS_WIDE_WHITE = re.compile(WIDE_WHITE)
+#: In turn: letters that end in an ASCII one, and a run of ASCII digits and punctuation before an ASCII letter or white space (an
+#: apostrophe may belong to the letters behind it), each with the one space before it; other words; white space up to such
+#: a space; a single other white space before a word; longer white space that ends otherwise, with its word; white space at
+#: the end. A byte-level tokenizer gives each of these the ids that it has in the text.
+CHUNK = re.compile(rb" ?[A-Za-z\x80-\xff]++(?<=[A-Za-z])| ?[^\sA-Za-z\x80-\xff']++(?![\x80-\xff'])| ?\S+|\s+(?= \S)|\s(?=\S)|\s+\S+|\s+")
+#: For other texts: chunks start at each space that no white space precedes.
+LONG_CHUNK = re.compile(rb"(?: [^ ]*|[^ ]+)(?:(?:(?<=\s)|%b) [^ ]*)*" % b"|".join(b"(?<=" + w + b")" for w in WIDE_WHITE.split(b"|")))
 END = b"\xff"  # in no UTF-8 text
 
 
@@ -48,6 +55,11 @@ class ByteChunks(Chunks):
     def __init__(self, path: str, end_id: int = END_ID):
         self.end_id = end_id
         super().__init__(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def chunks(self, text: bytes) -> list[bytes]:
+        plain = (text.isascii() or not HAS_WIDE_WHITE.search(text)) and not any(s in text for s in self.special)
+        return (CHUNK if plain else LONG_CHUNK).findall(text)
 
     def forget(self) -> None:
         super().forget()
@@ -62,9 +74,9 @@ class ByteChunks(Chunks):
         """Each text's ids, then the end's."""
         if len(self) > CACHE or self.bytes > CACHE_BYTES:
             self.forget()
-        chunks = [[*CHUNK.findall(t), END] for t in texts]
+        chunks = [[*self.chunks(t), END] for t in texts]
         counts = np.cumsum([len(c) for c in chunks])
-        numbers = np.array([self[c] for own in chunks for c in own], np.int64)
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(chunks)), np.int64, int(counts[-1]))
         if self.new:
             self.learn()
         ends = np.cumsum(self.lengths[numbers])[counts - 1]
@@ -230,7 +242,7 @@ def step_of(sequence: np.ndarray, runs: dict[str, np.ndarray]) -> np.ndarray:
     return runs["part_step"][part] + np.where(turn % 2 == 0, place, runs["part_steps"][part] - 1 - place)
 
 
-def pack(pieces: DataFrame, tiers: Sequence[int] = TIERS, least_gap: int = LEAST_GAP, step_tokens: int = STEP_TOKENS, kept: str = "<u2", bucket_rows: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, tiers: Sequence[int] = TIERS, least_gap: int = LEAST_GAP, step_tokens: int = STEP_TOKENS, kept: str = "<u2", bucket_rows: int = 1024) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step, from a table as pieces_of gives it, which must be stable.
 
     Only counts by length, at most capacity numbers, decide the packing and reach the driver. A piece's rank among those of
