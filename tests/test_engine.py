@@ -169,15 +169,19 @@ def test_report_rounds_and_writes_headers(spark, tmp_path):
 
 def test_whole_run(spark, tmp_path):
     fact = campaigns(spark, 60, 3)
-    out = pipeline.run(spark, fact, model_path=str(tmp_path / "model"))
+    few = pipeline.Config(values={"forecast": {"boosting_rounds": 3}})
+    out = pipeline.run(spark, fact, few, model_path=str(tmp_path / "model"))
     assert "alpha" not in out  # 42 held-out rows are too few
     pipeline.write(out, str(tmp_path / "out"), copy=str(tmp_path / "copy"))
     files = [sorted(x for f in (tmp_path / name).glob("part-*") for x in f.read_text().splitlines()) for name in ("out/forecasts.csv", "copy")]
     assert files[0] == files[1] and len(files[0]) == 3 * 180 + 1
     summary = spark.read.json(str(tmp_path / "out/summary.json")).first()
     assert summary.campaigns_forecasted == 3 and summary.scenarios_simulated == 3
-    again = pipeline.run(spark, fact, model_path=str(tmp_path / "model"))
-    assert again["points"].count() == out["points"].count() == 3 * 180
+    again = pipeline.run(spark, fact, few, model_path=str(tmp_path / "model"))
+    assert sorted(map(repr, again["points"].collect())) == sorted(map(repr, out["points"].collect()))
+    with pytest.raises(ValueError):  # a model of another kind is not loaded
+        pipeline.run(spark, fact, pipeline.Config(values={"forecast": {"model": "forest"}}), model_path=str(tmp_path / "model"))
+    assert out["points"].count() == 3 * 180
 
 
 def test_stream_of_drops(spark, tmp_path):

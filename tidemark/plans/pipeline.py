@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
 from ..operators import baselines as B
-from ..operators import decision, features, forecast, models, quality, report, scenario, uncertainty
+from ..operators import boosting, decision, features, forecast, models, quality, report, scenario, uncertainty
 from ..sessions import cut
 from ..sources import csv
 
 LOG = logging.getLogger("tidemark")
+Model = models.ForestQuantiles | boosting.BoostedQuantiles
 
 
 class JsonLines(logging.Formatter):
@@ -29,12 +30,21 @@ def stamp(config: Config, columns: list[str]) -> str:
     return hashlib.sha256(json.dumps([config.values["forecast"], config.values["features"], columns], sort_keys=True).encode()).hexdigest()
 
 
-def fitted(spark: SparkSession, feature_df: DataFrame, config: Config, path: str | None, retrain: bool) -> models.ForestQuantiles:
-    model = models.ForestQuantiles(seed=config.get("project.random_seed", 42), columns=features.feature_names(config.get("features.rolling_windows"), config.get("features.lag_windows")))
+def new_model(config: Config, columns: list[str] | None = None) -> Model:
+    """Boosted trees, or a forest if forecast.model says so."""
+    columns = columns or features.feature_names(config.get("features.rolling_windows"), config.get("features.lag_windows"))
+    seed = config.get("project.random_seed", 42)
+    if config.get("forecast.model", "boosting") == "forest":
+        return models.ForestQuantiles(seed=seed, columns=columns)
+    return boosting.BoostedQuantiles(rounds=config.get("forecast.boosting_rounds", 30), seed=seed, columns=columns)
+
+
+def fitted(spark: SparkSession, feature_df: DataFrame, config: Config, path: str | None, retrain: bool) -> Model:
+    model = new_model(config)
     name = stamp(config, model.columns)
     if path and not retrain:
         try:
-            return models.ForestQuantiles.load(spark, path, name)
+            return type(model).load(spark, path, name)
         except ValueError:
             raise
         except Exception as e:  # no stored model yet
@@ -57,7 +67,7 @@ def run(spark: SparkSession, fact: DataFrame, config: Config | None = None, mode
     train, actuals = uncertainty.holdout(feature_df, config.get("uncertainty.calibration_holdout_days"))
     alpha = None
     if actuals.count() >= 100:
-        held = models.ForestQuantiles(seed=model.seed, columns=model.columns).fit(train)
+        held = new_model(config, model.columns).fit(train)
         alpha = cut(uncertainty.calibrate(forecast.forecast(train, held, horizons, least, lookback), actuals, config.get("uncertainty.target_coverage")))
     entities = cut(uncertainty.by_entity(uncertainty.by_series(points, alpha, config.get("uncertainty.relative_width_threshold"))))
     base = cut(B.baselines(feature_df))
