@@ -64,3 +64,82 @@ def test_config_layers(tmp_path):
     assert config.get("decision.concentration_threshold") == 0.6
     assert config.get("report.decimal_places", 3) == 3
     assert config.get("no.such.name", 5) == 5
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_data_source_equals_ingest(spark, exports):
+    from tidemark.sources import exports as source
+
+    source.register(spark)
+    got = spark.read.format("campaign_exports").load(exports)
+    assert tuple(got.columns) == COLUMNS and got.rdd.getNumPartitions() == 3
+    assert rows_of(got) == rows_of(csv.ingest(spark, exports))
+
+
+def test_data_source_parses_as_the_expressions_do(spark, tmp_path):
+    """Odd numbers and texts, quotes, empty files with a header alone."""
+    from tidemark.sources import exports as source
+
+    odd = ["1", " 2.5 ", "+3", "-.5", "1e3", "1E-2", "nan", "NaN", "", "n/a", "1,5", "--1", "7.", "0x10", "12 3", '"4"', '""']
+    lines = "".join(f'" 4{i}",2024-01-04,{q},{q},{q},1,{q}, Search ,"{v.strip(chr(34))}",{n}\n' for i, v in enumerate(odd) for q in [f'"{v.strip(chr(34))}"'] for n in ["nan" if i % 2 else '"a, b"'])
+    (tmp_path / "bing.csv").write_text(BING + lines)
+    (tmp_path / "meta.csv").write_text(META)
+    (tmp_path / "meta2.csv").write_text(META + "".join(f"{i},2024-01-03,1,1,1,1,1,1,{n}\n" for i, n in enumerate(["_x", "a_b", "", "nan", " p_q "])))
+    source.register(spark)
+    assert rows_of(spark.read.format("campaign_exports").load(str(tmp_path))) == rows_of(csv.ingest(spark, str(tmp_path)))
+
+
+def test_data_source_tells_what_is_wrong(spark, tmp_path):
+    from tidemark.sources import exports as source
+
+    source.register(spark)
+    (tmp_path / "a").mkdir()
+    with pytest.raises(Exception, match="no CSV files"):
+        spark.read.format("campaign_exports").load(str(tmp_path / "a")).count()
+    (tmp_path / "a" / "x.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(Exception, match="no dialect fits"):
+        spark.read.format("campaign_exports").load(str(tmp_path / "a")).count()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.csv").write_text(BING.replace("Clicks,", "") + "4,2024-01-04,8,4,10,1,Search,15,B\n")
+    with pytest.raises(Exception, match="missing required columns.*Clicks"):
+        spark.read.format("campaign_exports").load(str(tmp_path / "b")).count()
+    with pytest.raises(Exception, match="needs a folder"):
+        spark.read.format("campaign_exports").load().count()
+
+
+def test_data_source_takes_own_layouts(spark, tmp_path):
+    from tidemark.sources import exports as source
+
+    own = source.Layout("meta", frozenset({"day", "money"}), frozenset({"day", "money"}), {"channel": source.Field(None, constant="meta"), "date": source.Field("day", "date"), "spend": source.Field("money", "number", 100.0)} | {c: source.Field(None) for c in COLUMNS if c not in ("channel", "date", "spend")})
+
+    class Mine(source.ExportSource):
+        layouts = (*source.LAYOUTS, own)
+
+    (tmp_path / "own.csv").write_text("day,money\n2024-01-01,300\n")
+    try:
+        source.register(spark, Mine)
+        assert spark.read.format("campaign_exports").load(str(tmp_path)).select("spend", "channel", "clicks").first() == (3.0, "meta", None)
+    finally:
+        source.register(spark)
+
+
+def test_stream_of_exports(spark, exports, tmp_path_factory):
+    """What comes later is read once; a restart goes on."""
+    import pathlib
+
+    from tidemark.sources import exports as source
+
+    source.register(spark)
+    out, checkpoint = (str(tmp_path_factory.mktemp(n)) for n in ("out", "checkpoint"))
+
+    def run():
+        stream = spark.readStream.format("campaign_exports").load(exports)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return rows_of(spark.read.parquet(out))
+
+    assert run() == rows_of(csv.ingest(spark, exports))
+    (pathlib.Path(exports) / "a_later.csv").write_text(BING + "43,2024-01-04,8,4,2,10,1,Search,15,B\n")
+    assert run() == run() == rows_of(csv.ingest(spark, exports))

@@ -58,3 +58,21 @@ flawed0 AS (SELECT date, channel, campaign_id, campaign_name, CASE WHEN day(date
   clicks, CASE day(date) WHEN 23 THEN 0::BIGINT ELSE impressions END AS impressions, conversions, daily_budget FROM fact),
 flawed AS (SELECT * FROM flawed0 UNION ALL SELECT * FROM flawed0 WHERE day(date) = 1)"""
 )
+
+
+def dropped(fact: DataFrame) -> DataFrame:
+    """The fact as monthly drops: a day's row comes in its month's; first days again in the next, with a unit more of spend; 28ths also in the one before, without amounts yet."""
+    month = (F.year("date") * 12 + F.month("date")).cast("long")
+    own = fact.withColumn("drop", month)
+    corrected = own.where(F.dayofmonth("date") <= 5).withColumns({"drop": month + 1, "spend": F.col("spend") + 1})
+    early = own.where(F.dayofmonth("date") == 28).withColumns({"drop": month - 1, "spend": d(0), "revenue": d(0)})
+    return own.unionByName(corrected).unionByName(early)
+
+
+DROPPED = (
+    FACT
+    + """,
+months AS (SELECT *, year(date) * 12 + month(date) AS drop_no FROM fact),
+drops AS (SELECT * FROM months UNION ALL SELECT * REPLACE (spend + 1 AS spend, drop_no + 1 AS drop_no) FROM months WHERE day(date) <= 5
+  UNION ALL SELECT * REPLACE (0.0::DOUBLE AS spend, 0.0::DOUBLE AS revenue, drop_no - 1 AS drop_no) FROM months WHERE day(date) = 28)"""
+)

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import expressions as X
 from ..operators import baselines as B
-from ..operators import decision, features, forecast, models, quality, report, scenario, uncertainty
+from ..operators import boosting, decision, features, forecast, models, quality, report, scenario, uncertainty
 from ..schema import COLUMNS, DYNAMIC, METRICS
 from ..sessions import checkpoint_folder, cut
-from ..sources import csv
-from .adapter import FACT, FLAWED, flawed, unified
+from ..sources import csv, exports
+from ..streaming import fact as stream_fact
+from ..streaming import flags as stream_flags
+from .adapter import DROPPED, FACT, FLAWED, dropped, flawed, unified
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -37,8 +39,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 #: Queries whose results have dates, which both engines give as text.
 DATED = {
-    "date": "s5_google_normalise s6_meta_normalise s7_bing_normalise c3_dates c7_calendar c8_ratios c9_clamp c10_ordered_quantiles c14_efficiency p1_sparse_rows p2_history j1_pairs j2_j9_expected_future j3_m4_seasonal_naive w1_rolling_mean w2_rolling_std w3_lags w4_last_rows o1_sorted k1_normalised_residual k2_scaling_factor m5_m7_forecast".split(),
-    "last": ["p3_k4_holdout", "w5_all_but_last_rows"],
+    "date": "t1_stream_upsert s1_s9_ingested_rows s4_data_source s5_google_normalise s6_meta_normalise s7_bing_normalise c3_dates c7_calendar c8_ratios c9_clamp c10_ordered_quantiles c14_efficiency p1_sparse_rows p2_history j1_pairs j2_j9_expected_future j3_m4_seasonal_naive w1_rolling_mean w2_rolling_std w3_lags w4_last_rows o1_sorted k1_normalised_residual k2_scaling_factor m5_m7_forecast".split(),
+    "last": ["t3_stream_of_exports", "p3_k4_holdout", "w5_all_but_last_rows"],
     "first_date": ["v9_statistics"],
     "last_date": ["v9_statistics"],
 }
@@ -255,12 +257,43 @@ def _(spark, sf):
 _UNION = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (_GOOGLE, _META, _BING))
 
 
-@query("s9_union_of_dialects", f"SELECT channel, count(*) AS n, count(spend) AS spends, sum(clicks)::BIGINT AS clicks FROM ({_UNION}) GROUP BY channel")
-def _(spark, sf):
+def _export_files(spark: SparkSession, sf: str) -> str:
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     for kind in ("google", "meta", "bing"):
         _raw(spark, sf, kind).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-    both = csv.ingest(spark, folder)
+    return folder
+
+
+_UNION_AS_READ = _UNION.replace("CASE n WHEN 1 THEN '' WHEN", "CASE n WHEN 1 THEN NULL WHEN")  # empty text in a file is null
+
+
+@query("s1_s9_ingested_rows", _UNION_AS_READ)
+def _(spark, sf):
+    return csv.ingest(spark, _export_files(spark, sf))
+
+
+@query("s4_data_source", _UNION_AS_READ)
+def _(spark, sf):
+    exports.register(spark)
+    return spark.read.format("campaign_exports").load(_export_files(spark, sf))
+
+
+@query("t3_stream_of_exports", f"SELECT channel, campaign_id, count(*) AS n, count(spend) AS spends, sum(clicks)::BIGINT AS clicks, max(date) AS last FROM ({_UNION}) GROUP BY ALL")
+def _(spark, sf):
+    """One channel's files, then the stream stops, then the others'."""
+    exports.register(spark)
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    for kind in ("google", "meta", "bing"):
+        _raw(spark, sf, kind).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/in")
+        if kind != "meta":
+            stream = spark.readStream.format("campaign_exports").load(f"{folder}/in")
+            stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("channel", "campaign_id").agg(F.count("*").alias("n"), F.count("spend").alias("spends"), F.sum("clicks").alias("clicks"), F.max("date").alias("last"))
+
+
+@query("s9_union_of_dialects", f"SELECT channel, count(*) AS n, count(spend) AS spends, sum(clicks)::BIGINT AS clicks FROM ({_UNION}) GROUP BY channel")
+def _(spark, sf):
+    both = csv.ingest(spark, _export_files(spark, sf))
     return both.groupBy("channel").agg(F.count("*").alias("n"), F.count("spend").alias("spends"), F.sum("clicks").alias("clicks"))
 
 
@@ -691,6 +724,26 @@ def _(spark, sf):
     return forecast.forecast(built, models.ForestQuantiles().fit(built))
 
 
+@query("m1_m2_quantile_boosting")
+def _(spark, sf):
+    built = cut(features.build(unified(spark, sf)))
+    return forecast.forecast(built, boosting.BoostedQuantiles().fit(built))
+
+
+@query("m8_scenarios_by_boosting")
+def _(spark, sf):
+    built = cut(features.build(unified(spark, sf)))
+    return scenario.simulate(cut(B.baselines(built)), scenario.scenarios(spark), model=boosting.BoostedQuantiles().fit(built), feature_df=built)
+
+
+@query("k3_k5_boosted_uncertainty")
+def _(spark, sf):
+    """Calibrated on the last days, which the model has not seen; its forecast of the days after them is judged."""
+    train, actuals = uncertainty.holdout(cut(features.build(unified(spark, sf))))
+    points = cut(forecast.forecast(train, boosting.BoostedQuantiles().fit(train)))
+    return uncertainty.by_entity(uncertainty.by_series(points, uncertainty.calibrate(points, actuals)))
+
+
 @query("m11_budget_optimizer", f"WITH {ALLOCATED} SELECT a.entity_id, b.total_spend AS current_budget, round(allocation, 2) AS recommended_budget FROM allocation a JOIN base b USING (entity_id)")
 def _(spark, sf):
     fact = settled(spark, sf)
@@ -730,3 +783,37 @@ def _(spark, sf):
     points, base, entities = points_of(fact), B.baselines(fact), entities_of(fact)
     assessed = decision.assess(base, entities, fact)
     return report.summary(points, uncertainty.overall(entities), scenario.simulate(base, scenario.scenarios(spark), points=points), decision.recommend(assessed, base), assessed)
+
+
+# --- streams ---
+
+
+@query("t1_stream_upsert", f"WITH {DROPPED} SELECT campaign_id, date, channel, spend, revenue, clicks, daily_budget FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id, date ORDER BY drop_no DESC) AS rn FROM drops) WHERE rn = 1")
+def _(spark, sf):
+    """Every second drop, newer ones too, then the others, and a third of all once more; the stream stops in between, and its first part is compacted."""
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    drops = cut(dropped(unified(spark, sf)))
+    for i, part in enumerate((drops.where("drop % 2 = 1"), drops.where("drop % 2 = 0").unionByName(drops.where("drop % 3 = 0")))):
+        part.repartition(8, "drop").write.mode("append").parquet(f"{folder}/in")
+        stream_fact.feed(stream_fact.read_drops(spark, f"{folder}/in", 3), f"{folder}/fact", f"{folder}/checkpoint").awaitTermination()
+        if i == 0:
+            stream_fact.compact(spark, f"{folder}/fact")
+    return stream_fact.fact(spark, f"{folder}/fact").select("campaign_id", "date", "channel", "spend", "revenue", "clicks", "daily_budget")
+
+
+@query("t2_running_flags", f"WITH {FLAWED}{ISLANDS.format(source='(SELECT DISTINCT * FROM flawed)')}{HALVES.format(source='(SELECT DISTINCT * FROM flawed)')} SELECT entity_id, longest_zero_run, longest_zero_run >= 5 AS zero_revenue, early_ratio, late_ratio, cost_inflation FROM zero_runs JOIN inflation USING (entity_id)")
+def _(spark, sf):
+    """Five drops of a year and a half; one row in ten of a drop's last week comes with the next. The stream stops after each."""
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    late = F.when(F.pmod(F.xxhash64("campaign_id", "date"), F.lit(10)) == 0, 7).otherwise(0)
+    rows = cut(flawed(unified(spark, sf)).distinct().withColumn("_drop", F.least(F.lit(4), F.floor((F.datediff("date", F.lit("1992-01-01").cast("date")) - late) / 560))))
+    before = spark.conf.get(stream_flags.STORE[0])
+    spark.conf.set(*stream_flags.STORE)
+    try:
+        for i in range(5):
+            rows.where(F.col("_drop") == i).drop("_drop").write.mode("append").parquet(f"{folder}/in")
+            stream = stream_flags.running_flags(spark.readStream.schema(rows.drop("_drop").schema).parquet(f"{folder}/in"), days=5)
+            stream.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/flags/batch={n}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(stream_flags.STORE[0], before)
+    return stream_flags.last_flags(spark.read.parquet(f"{folder}/flags").drop("batch")).select("entity_id", "longest_zero_run", "zero_revenue", "early_ratio", "late_ratio", "cost_inflation")
