@@ -43,6 +43,41 @@ def test_quality_report(spark):
     assert out.statistics.first().rows_removed == 2
 
 
+@pytest.mark.parametrize("reference", [None, "2025-01-07"])
+def test_validation_equals_the_checks_one_by_one(spark, reference):
+    """All issues with their messages and samples, and the rows that are left; with copies, clamped rows that become equal, nulls in each column."""
+    good = campaigns(spark, 12, 3)
+    odd = good.withColumn("spend", F.when(F.dayofmonth("date") == 3, -5.0).when(F.dayofmonth("date") == 5, None).otherwise(F.col("spend") * 4)).withColumn("campaign_type", F.when(F.dayofmonth("date") % 4 != 0, F.lit("ODD")))
+    odd = odd.withColumn("impressions", F.when(F.dayofmonth("date") != 3, F.col("impressions")).otherwise(0))
+    bad = good.unionByName(odd).unionByName(odd.limit(3)).unionByName(odd.where("spend < 0").withColumn("spend", F.lit(-6.0)))
+    bad = bad.unionByName(good.limit(2).select(*(F.lit(None).cast(t).alias(c) for c, t in good.dtypes)))
+    out = quality.validate(bad, ALLOWED, reference=reference)
+    issues, at = [], bad
+    for check, settings in ((quality.missing_values, {}), (quality.negative_spend, {}), (quality.duplicate_rows, {}), (quality.future_dates, {"reference": reference}), (quality.invalid_campaign_types, {"allowed": ALLOWED}), (quality.budget_consistency, {}), (quality.zero_activity, {}), (quality.channel_coverage, {"expected": tuple(ALLOWED)})):
+        found, at = check(at, **settings)
+        issues += found.collect()
+    assert len(issues) >= 14
+    assert sorted(map(repr, out.issues.collect())) == sorted(map(repr, issues))
+    assert sorted(map(repr, out.cleaned.collect())) == sorted(map(repr, at.collect()))
+    assert out.statistics.select(*sorted(out.statistics.columns)).collect() == quality.statistics(bad, at).select(*sorted(out.statistics.columns)).collect()
+    none = quality.validate(bad.limit(0), ALLOWED, reference=reference)
+    assert {(r.check, r.severity) for r in none.issues.collect()} == {("channel_coverage", "error")} and none.statistics.first().rows_after == 0
+
+
+def test_validation_computes_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = campaigns(spark, 30)
+    out = quality.validate(df.unionByName(df.limit(5)).repartition(3).mapInArrow(counted, df.schema), ALLOWED)
+    assert out.issues.count() == 3 and out.statistics.first().rows_removed == 5 and out.cleaned.count() == 60
+    assert read.value == 65
+
+
 def test_full_coverage_is_a_warning(spark):
     df = spark.createDataFrame([("a",), ("b",)], "channel string")
     assert [(r.severity, r["count"]) for r in quality.channel_coverage(df, ["a", "b"])[0].collect()] == [("warning", 0)]

@@ -10,11 +10,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clamped
+from ..sessions import written
 
 ISSUE = "check string, severity string, subject string, count long, message string, samples array<string>"
 SAMPLES = 5
@@ -55,6 +56,11 @@ def missing_values(df: DataFrame, max_ratio: float = 0.3) -> tuple[DataFrame, Da
     """Per column with nulls: an error over max_ratio of the rows, else a warning. One pass counts all columns. Samples are five days and campaigns of an error, three of a warning."""
     one = df.agg(F.count("*").alias("_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
     long = one.select("_rows", F.explode(F.array(*(F.struct(F.lit(c).alias("subject"), F.col(c).alias("n")) for c in df.columns))).alias("x")).select("_rows", "x.*").where("n > 0")
+    return _missing_issues(long, df, max_ratio), df
+
+
+def _missing_issues(long: DataFrame, df: DataFrame, max_ratio: float) -> DataFrame:
+    """long: _rows, subject, n per column with nulls."""
     place = F.concat_ws("/", *(F.col(c).cast("string") for c in ORDER if c in df.columns)).alias("place")
     lost = df.select(place, F.explode(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in df.columns))).alias("subject")).where("subject IS NOT NULL")
     few = lost.withColumn("_n", F.row_number().over(W.partitionBy("subject").orderBy("place"))).where(F.col("_n") <= SAMPLES)
@@ -62,21 +68,28 @@ def missing_values(df: DataFrame, max_ratio: float = 0.3) -> tuple[DataFrame, Da
     ratio = F.col("n") / F.col("_rows")
     over = ratio > max_ratio
     message = F.when(over, F.format_string(MISSING_ERROR, "subject", "n", percent(ratio), F.lit(f"{max_ratio:.0%}"))).otherwise(F.format_string(MISSING_WARNING, "subject", "n", percent(ratio)))
-    found = long.join(few, "subject", "left").select(F.lit("missing_values").alias("check"), F.when(over, "error").otherwise("warning").alias("severity"), "subject", F.col("n").alias("count"), message.alias("message"), F.slice("samples", 1, F.when(over, SAMPLES).otherwise(3)).alias("samples"))
-    return found, df
+    return long.join(few, "subject", "left").select(F.lit("missing_values").alias("check"), F.when(over, "error").otherwise("warning").alias("severity"), "subject", F.col("n").alias("count"), message.alias("message"), F.slice("samples", 1, F.when(over, SAMPLES).otherwise(3)).alias("samples"))
 
 
 def negative_spend(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = df.agg(F.count_if(F.col("spend") < 0).alias("n"))
-    return _issue(n, "negative_spend", "warning", F.format_string(NEGATIVE_SPEND, "n"), first_values(df.where("spend < 0"), F.col("spend"))), df.withColumn("spend", clamped("spend"))
+    return _negative_issue(n, df), df.withColumn("spend", clamped("spend"))
+
+
+def _negative_issue(n: DataFrame, df: DataFrame) -> DataFrame:
+    return _issue(n, "negative_spend", "warning", F.format_string(NEGATIVE_SPEND, "n"), first_values(df.where("spend < 0"), F.col("spend")))
 
 
 def duplicate_rows(df: DataFrame, max_ratio: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Rows equal in all columns, but one of each: an error over max_ratio of the rows. They go. Samples are plain numbers from 0."""
     n = df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"), F.sum("count").alias("rows"))
+    return _duplicate_issue(n, max_ratio), df.dropDuplicates()
+
+
+def _duplicate_issue(n: DataFrame, max_ratio: float) -> DataFrame:
     ratio = F.col("n") / F.col("rows")
     numbers = n.select(F.transform(F.sequence(F.lit(0), F.greatest(F.least(F.col("n"), F.lit(SAMPLES)) - 1, F.lit(0)).cast("int")), lambda x: x.cast("string")).alias("samples"))
-    return _issue(n, "duplicate_rows", F.when(ratio > max_ratio, "error").otherwise("warning"), F.format_string(DUPLICATE_ROWS, "n", percent(ratio)), numbers), df.dropDuplicates()
+    return _issue(n, "duplicate_rows", F.when(ratio > max_ratio, "error").otherwise("warning"), F.format_string(DUPLICATE_ROWS, "n", percent(ratio)), numbers)
 
 
 def future_dates(df: DataFrame, reference=None, max_days: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -86,9 +99,18 @@ def future_dates(df: DataFrame, reference=None, max_days: int = 7) -> tuple[Data
     """
     ref = df.agg(F.date_add(F.max("date"), 1).alias("_ref")) if reference is None else df.sparkSession.range(1).select(F.lit(reference).cast("date").alias("_ref"))
     marked = df.crossJoin(F.broadcast(ref))  # one row
-    after = F.coalesce(F.col("date") > F.col("_ref"), F.lit(False))
+    after = _after(F.col("_ref"))
     n = marked.agg(F.count_if(after).alias("n"), F.max("_ref").cast("string").alias("_ref"))
-    return _issue(n, "future_dates", F.when(F.col("n") > max_days, "error").otherwise("warning"), F.format_string(FUTURE_DATES, "n", "_ref"), first_values(marked.where(after), F.col("date"))), marked.where(~after).drop("_ref")
+    return _future_issue(n, marked.where(after), max_days), marked.where(~after).drop("_ref")
+
+
+def _after(ref: Column) -> Column:
+    return F.coalesce(F.col("date") > ref, F.lit(False))
+
+
+def _future_issue(n: DataFrame, rows: DataFrame, max_days: int) -> DataFrame:
+    """n: one row, n and _ref as text."""
+    return _issue(n, "future_dates", F.when(F.col("n") > max_days, "error").otherwise("warning"), F.format_string(FUTURE_DATES, "n", "_ref"), first_values(rows, F.col("date")))
 
 
 def invalid_campaign_types(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
@@ -100,18 +122,27 @@ def invalid_campaign_types(df: DataFrame, allowed: Mapping[str, Sequence[str]])
     return kinds.select(F.lit("invalid_campaign_types").alias("check"), F.lit("warning").alias("severity"), F.col("channel").alias("subject"), F.col("n").alias("count"), F.format_string(INVALID_TYPES, "channel", "n", listed).alias("message"), samples.alias("samples")), df
 
 
+#: What two checks count.
+OVER_BUDGET = "daily_budget > 0 AND spend > daily_budget"
+IDLE = "spend = 0 AND impressions = 0"
+
+
 def budget_consistency(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    over = (F.col("daily_budget") > 0) & (F.col("spend") > F.col("daily_budget"))
-    n = df.agg(F.count_if(over).alias("n"), F.count("*").alias("rows"))
+    return _budget_issue(df.agg(F.count_if(F.expr(OVER_BUDGET)).alias("n"), F.count("*").alias("rows")), df), df
+
+
+def _budget_issue(n: DataFrame, df: DataFrame) -> DataFrame:
     value = F.concat(F.lit("spend="), F.col("spend").cast("string"), F.lit(", budget="), F.col("daily_budget").cast("string"))
-    return _issue(n, "budget_consistency", "warning", F.format_string(BUDGET, "n", percent(F.col("n") / F.col("rows"))), first_values(df.where(over), value)), df
+    return _issue(n, "budget_consistency", "warning", F.format_string(BUDGET, "n", percent(F.col("n") / F.col("rows"))), first_values(df.where(OVER_BUDGET), value))
 
 
 def zero_activity(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    idle = (F.col("spend") == 0) & (F.col("impressions") == 0)
-    n = df.agg(F.count_if(idle).alias("n"), F.count("*").alias("rows"))
+    return _idle_issue(df.agg(F.count_if(F.expr(IDLE)).alias("n"), F.count("*").alias("rows")), df), df
+
+
+def _idle_issue(n: DataFrame, df: DataFrame) -> DataFrame:
     value = F.concat_ws("/", F.col("date").cast("string"), "campaign_id")
-    return _issue(n, "zero_activity", "warning", F.format_string(ZERO_ACTIVITY, "n", percent(F.col("n") / F.col("rows"))), first_values(df.where(idle), value)), df
+    return _issue(n, "zero_activity", "warning", F.format_string(ZERO_ACTIVITY, "n", percent(F.col("n") / F.col("rows"))), first_values(df.where(IDLE), value))
 
 
 def channel_coverage(df: DataFrame, expected: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -149,20 +180,48 @@ def statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))  # one row each
 
 
-def validate(df: DataFrame, allowed: Mapping[str, Sequence[str]], max_missing: float = 0.3, max_duplicates: float = 0.05, max_days: int = 7) -> Report:
-    """All checks in turn, each on what the one before left."""
-    checks: list[tuple[Check, dict]] = [
-        (missing_values, {"max_ratio": max_missing}),
-        (negative_spend, {}),
-        (duplicate_rows, {"max_ratio": max_duplicates}),
-        (future_dates, {"max_days": max_days}),
-        (invalid_campaign_types, {"allowed": allowed}),
-        (budget_consistency, {}),
-        (zero_activity, {}),
-        (channel_coverage, {"expected": tuple(allowed)}),
-    ]
-    issues, at = [], df
-    for check, settings in checks:
-        found, at = check(at, **settings)
-        issues.append(found)
-    return Report(reduce(DataFrame.unionByName, issues), at, statistics(df, at))
+def validate(df: DataFrame, allowed: Mapping[str, Sequence[str]], max_missing: float = 0.3, max_duplicates: float = 0.05, max_days: int = 7, reference=None) -> Report:
+    """All checks in turn, each on what the one before left, in two jobs: df is computed once, and written; so are the cleaned rows.
+
+    Counts are observed while those tables are written: of the rows as they come, and of those that are left, so at the end of
+    each job, where a task that is run again counts once. Samples are read from the tables, of the checks that found something.
+    The reference date of future_dates is as there; without one no row is after it.
+    """
+    spark, columns = df.sparkSession, df.columns
+    seen = Observation()
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_null_{i}") for i, c in enumerate(columns)]
+    raw = written(df.observe(seen, F.count("*").alias("_rows"), F.count_if(F.col("spend") < 0).alias("_negative"), *nulls))
+    before = seen.get
+    each = raw.withColumn("spend", clamped("spend")).groupBy(*columns).agg(F.count("*").alias("_copies"))
+    after = F.lit(False) if reference is None else _after(F.lit(reference).cast("date"))
+    left = Observation()
+    now = [F.count("*"), F.sum("_copies"), F.count_if(after), *(F.count_if(~after & F.expr(c)) for c in (OVER_BUDGET, IDLE)), F.min(F.when(~after, F.col("date"))), F.max(F.when(~after, F.col("date")))]
+    names = ("rows", "copies", "late", "over", "idle", "first", "last")
+    marked = written(each.withColumn("_late", after).observe(left, *(c.alias(n) for c, n in zip(now, names, strict=True))))
+    got = left.get
+    cleaned = marked.where(~F.col("_late")).select(*columns)
+
+    def one(schema: str, *values) -> DataFrame:
+        return spark.createDataFrame([values], schema)
+
+    copies, rows = (got["copies"] or 0) - got["rows"], got["rows"] - got["late"]
+    issues: list[DataFrame] = []
+    lost = [(before["_rows"], c, before[f"_null_{i}"]) for i, c in enumerate(columns) if before[f"_null_{i}"]]
+    if lost:
+        issues.append(_missing_issues(spark.createDataFrame(lost, "_rows long, subject string, n long"), raw.select(*(c for c in columns if c in ORDER or c in [x[1] for x in lost])), max_missing))
+    if before["_negative"]:
+        issues.append(_negative_issue(one("n long", before["_negative"]), raw))
+    if copies:
+        issues.append(_duplicate_issue(one("n long, rows long", copies, got["copies"]), max_duplicates))
+    if got["late"]:
+        issues.append(_future_issue(one("n long, _ref string", got["late"], str(reference)), marked.where("_late"), max_days))
+    issues.append(invalid_campaign_types(cleaned, allowed)[0])
+    if got["over"]:
+        issues.append(_budget_issue(one("n long, rows long", got["over"], rows), cleaned))
+    if got["idle"]:
+        issues.append(_idle_issue(one("n long, rows long", got["idle"], rows), cleaned))
+    issues.append(channel_coverage(cleaned, tuple(allowed))[0])
+    distinct = cleaned.agg(F.countDistinct("campaign_id").alias("campaigns"), F.countDistinct("channel").alias("channels"))
+    values = one("rows_before long, rows_after long, first_date date, last_date date", before["_rows"], rows, got["first"], got["last"])
+    stats = values.crossJoin(distinct).select("rows_before", "rows_after", "campaigns", "channels", "first_date", "last_date", (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"))  # one row each
+    return Report(reduce(DataFrame.unionByName, issues), cleaned, stats)

@@ -419,7 +419,19 @@ def _(spark, sf):
 
 @query("v9_statistics", f"WITH {FLAWED} SELECT count(*) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM flawed)) AS rows_after, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM flawed)) AS rows_removed, count(DISTINCT campaign_id) AS campaigns, count(DISTINCT channel) AS channels, min(date) AS first_date, max(date) AS last_date FROM flawed")
 def _(spark, sf):
-    return quality.validate(flawed(settled(spark, sf)), ALLOWED).statistics
+    return quality.validate(flawed(unified(spark, sf)), ALLOWED).statistics
+
+@query("v1_v8_all_checks", f"WITH {FLAWED} SELECT 'missing_values' AS \"check\", CASE WHEN n::DOUBLE / t > 0.3::DOUBLE THEN 'error' ELSE 'warning' END AS severity, subject, n AS count FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS subject, count(*) FILTER (WHERE {c} IS NULL) AS n, count(*) AS t FROM flawed" for c in COLUMNS) + f""") WHERE n > 0
+UNION ALL SELECT 'negative_spend', 'warning', '', count(*) FROM flawed WHERE spend < 0 HAVING count(*) > 0
+UNION ALL SELECT 'duplicate_rows', CASE WHEN (t - k)::DOUBLE / t > 0.05::DOUBLE THEN 'error' ELSE 'warning' END, '', t - k FROM (SELECT count(*) AS t FROM flawed), (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM flawed)) WHERE t > k
+UNION ALL SELECT 'future_dates', CASE WHEN count(*) > 7 THEN 'error' ELSE 'warning' END, '', count(*) FROM (SELECT DISTINCT * FROM flawed) WHERE date > DATE '1998-01-01' HAVING count(*) > 0
+UNION ALL SELECT 'invalid_campaign_types', 'warning', channel, count(*) FROM (SELECT DISTINCT * FROM flawed) WHERE date <= DATE '1998-01-01' AND ({" OR ".join(f"(channel = '{c}' AND coalesce(campaign_type NOT IN ({', '.join(repr(t) for t in types)}), true))" for c, types in ALLOWED.items())}) GROUP BY channel
+UNION ALL SELECT 'budget_consistency', 'warning', '', count(*) FROM (SELECT DISTINCT * FROM flawed) WHERE date <= DATE '1998-01-01' AND daily_budget > 0 AND greatest(spend, 0) > daily_budget AND spend IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'zero_activity', 'warning', '', count(*) FROM (SELECT DISTINCT * FROM flawed) WHERE date <= DATE '1998-01-01' AND spend <= 0 AND impressions = 0 HAVING count(*) > 0
+UNION ALL SELECT 'channel_coverage', 'warning', '', 0""")
+def _(spark, sf):
+    """The chain as a whole, with a reference date; all three channels have rows."""
+    return quality.validate(flawed(unified(spark, sf)), ALLOWED, reference="1998-01-01").issues.select("check", "severity", "subject", "count")
 
 
 @query("p1_sparse_rows", f"WITH {BUILT} SELECT campaign_id, date FROM built")

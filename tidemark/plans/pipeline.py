@@ -36,7 +36,7 @@ def new_model(config: Config, columns: list[str] | None = None) -> Model:
     seed = config.get("project.random_seed", 42)
     if config.get("forecast.model", "boosting") == "forest":
         return models.ForestQuantiles(seed=seed, columns=columns)
-    return boosting.BoostedQuantiles(rounds=config.get("forecast.boosting_rounds", 30), seed=seed, columns=columns)
+    return boosting.BoostedQuantiles(rounds=config.get("forecast.boosting_rounds", 20), seed=seed, columns=columns)
 
 
 def fitted(spark: SparkSession, feature_df: DataFrame, config: Config, path: str | None, retrain: bool) -> Model:
