@@ -73,3 +73,47 @@ def test_tail_and_head(spark):
     assert sorted(r.spend for r in features.last_rows(df, 3).collect()) == [7.0, 8.0, 9.0]
     assert features.all_but_last_rows(df, 3).agg(F.max("spend")).first()[0] == 6.0
     assert features.with_history(df, 11).count() == 0
+
+
+@pytest.mark.parametrize("short", [1, 3, 32])
+def test_long_windows_match_pandas(spark, monkeypatch, short):
+    """Whatever frames they are put together from; with nulls, equal values, and values far from 0."""
+    monkeypatch.setattr(features, "SHORT", short)
+    rng = np.random.default_rng(short)
+    values = [None if rng.random() < 0.15 else 1e6 + float(rng.integers(0, 50)) if i < 90 else 7.0 for i in range(150)]
+    got = features.rolling_features(fact(spark, values, revenue=[1.0] * 150), (7, 33, 45, 64)).orderBy("date").toPandas()
+    s = pd.Series(values, dtype=float)
+    for n in (7, 33, 45, 64):
+        shifted = s.shift(1).rolling(n, min_periods=2)
+        np.testing.assert_allclose(got[f"spend_roll_mean_{n}"].astype(float), shifted.mean(), rtol=1e-12)
+        want = [0.0 if np.isnan(x) else x for x in (np.std([v for v in s[max(0, i - n) : i] if not np.isnan(v)], ddof=1) if s[max(0, i - n) : i].count() > 1 else np.nan for i in range(150))]
+        np.testing.assert_allclose(got[f"spend_roll_std_{n}"].astype(float), want, atol=1e-7)
+
+
+def test_ranges_of_a_long_campaign(spark):
+    """Equal to the plain windows; copies, equal days, null campaigns, and a campaign shorter than a range."""
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 40, 700).astype(float).tolist()
+    df = fact(spark, values).unionByName(fact(spark, values[:20], "meta_2")).unionByName(fact(spark, values[:70], "meta_1")).unionByName(fact(spark, values[:45], None))
+
+    def build(x):
+        return features.lag_features(features.rolling_features(x, (7, 40)), (1, 40))
+
+    got, want = features.in_ranges(df, build, 40, 50), build(df)
+    assert got.columns == want.columns
+    key = [c for c in want.columns if "_roll_" not in c]
+
+    def table(x):
+        return sorted(map(str, x.select(*key, *(F.round(c, 6).alias(c) for c in want.columns if "_roll_" in c)).collect()))
+
+    assert table(got) == table(want)
+    with pytest.raises(ValueError):
+        features.in_ranges(df, build, 60, 50)
+    assert features.in_ranges(df.limit(0), build, 40, 50).count() == 0
+
+
+def test_no_task_has_a_long_campaign(spark):
+    """20,000 rows of one campaign: ranges of 1,000 rows and 30 more."""
+    df = spark.range(20_000).select(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 9000).cast("int")).alias("date"), *(F.lit("x").alias(c) for c in ("channel", "campaign_id", "campaign_name", "campaign_type")), *(F.col("id").cast("double").alias(c) for c in ("spend", "revenue", "conversions", "daily_budget")), *(F.col("id").alias(c) for c in ("clicks", "impressions")))
+    sizes = features.in_ranges(df, lambda x: x.withColumn("_size", F.count("*").over(features.W.partitionBy("campaign_id"))), 30, 1000).agg(F.max("_size"), F.count("*"), F.countDistinct("spend")).first()
+    assert tuple(sizes) == (1030, 20_000, 20_000)

@@ -5,14 +5,15 @@ Windows are by row, not by calendar day: gaps in the dates don't count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import d, guarded
 from ..schema import METRICS, TIE_BREAK
+from ..sessions import written
 
 ROLLING, LAGS = (7, 14, 30), (1, 7, 14, 30)
 TIME = ("dow", "month", "quarter", "doy", "woy", "is_weekend")
@@ -33,15 +34,66 @@ def ratio_features(df: DataFrame) -> DataFrame:
     return df.withColumns({name: guarded(*parts) for name, parts in RATIOS.items()})
 
 
-def rolling(metric: str, n: int) -> dict:
+#: Frames of up to so many rows are summed row by row, which is the fastest there; longer ones are put together from two shorter ones.
+SHORT = 32
+
+
+def rolling(metric: str, n: int) -> dict[str, Column]:
     """Mean and sample deviation of the n rows before, from two of them on; the deviation is 0 where there is none."""
     frame = by_campaign().rowsBetween(-n, -1)
     enough = F.count(metric).over(frame) >= 2
     return {f"{metric}_roll_mean_{n}": F.when(enough, F.avg(F.col(metric).cast("double")).over(frame)), f"{metric}_roll_std_{n}": F.coalesce(F.when(enough, F.stddev_samp(F.col(metric).cast("double")).over(frame)), d(0))}
 
 
+def _parts(n: int) -> tuple[int, int]:
+    """The rows next to the current one, and those before them, that make up a frame of n rows."""
+    return n - n // 2, n // 2
+
+
+def moments(df: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """For each metric and window: how many of the rows before have a value (_n), the values' sum (_s) and their squared deviations from the mean (_q).
+
+    A long frame's numbers follow from those of its newer part, and of its older part as the row there had them, by the rule
+    for the variance of two groups; nothing is subtracted that would lose digits. So a row costs log(window) steps, not window.
+    All steps have one order, so one shuffle and one sort serve them all.
+    """
+    order, sizes, todo = by_campaign(), set(), list(windows)
+    while todo:
+        n = todo.pop()
+        if n not in sizes:
+            sizes.add(n)
+            todo += _parts(n) if n > SHORT else ()
+    frames: dict[str, Column] = {}
+    for n in sorted(x for x in sizes if x <= SHORT):
+        frame = order.rowsBetween(-n, -1)
+        for m in METRICS:
+            x = F.col(m).cast("double")
+            frames |= {f"_n_{m}_{n}": F.count(x).over(frame), f"_s_{m}_{n}": F.coalesce(F.sum(x).over(frame), d(0)), f"_q_{m}_{n}": F.coalesce(F.var_pop(x).over(frame) * F.count(x).over(frame), d(0))}
+    out, done = df.withColumns(frames), {x for x in sizes if x <= SHORT}
+    while done < sizes:
+        ready = sorted(n for n in sizes - done if set(_parts(n)) <= done)
+        lags = {f"_{k}_{m}_{n}_old": F.coalesce(F.lag(f"_{k}_{m}_{_parts(n)[1]}", _parts(n)[0]).over(order), F.lit(0)) for n in ready for m in METRICS for k in "nsq"}
+        merged: dict[str, Column] = {}
+        for n in ready:
+            for m in METRICS:
+                (a, s, q), (b, t, r) = ([F.col(f"_{k}_{m}_{end}") for k in "nsq"] for end in (_parts(n)[0], f"{n}_old"))
+                between = F.when((a > 0) & (b > 0), (t / b - s / a) * (t / b - s / a) * (a * b / (a + b))).otherwise(d(0))
+                merged |= {f"_n_{m}_{n}": a + b, f"_s_{m}_{n}": s + t, f"_q_{m}_{n}": q + r + between}
+        out = out.withColumns(lags).withColumns(merged).drop(*lags)
+        done |= set(ready)
+    return out.drop(*(f"_{k}_{m}_{n}" for n in sizes - set(windows) for m in METRICS for k in "nsq"))
+
+
 def rolling_features(df: DataFrame, windows: Sequence[int] = ROLLING) -> DataFrame:
-    return df.withColumns({k: c for m in METRICS for n in windows for k, c in rolling(m, n).items()})
+    """Mean and sample deviation of the rows before, from two of them with a value on; the deviation is 0 where there is none."""
+    long = [n for n in windows if n > SHORT]
+    own = {k: c for m in METRICS for n in windows if n <= SHORT for k, c in rolling(m, n).items()}
+    out = moments(df, long) if long else df
+    for m in METRICS:
+        for n in long:
+            count, total, squares = (F.col(f"_{k}_{m}_{n}") for k in "nsq")
+            own |= {f"{m}_roll_mean_{n}": F.when(count >= 2, total / count), f"{m}_roll_std_{n}": F.when(count >= 2, F.sqrt(squares / (count - 1))).otherwise(d(0))}
+    return out.withColumns(own).select(*df.columns, *(f"{m}_roll_{k}_{n}" for m in METRICS for n in windows for k in ("mean", "std")))
 
 
 def lag_features(df: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
@@ -80,3 +132,35 @@ def all_but_last_rows(df: DataFrame, n: int) -> DataFrame:
 def with_history(df: DataFrame, least: int) -> DataFrame:
     """Campaigns with at least this many rows."""
     return df.withColumn("_n", F.count("*").over(W.partitionBy("campaign_id"))).where(F.col("_n") >= least).drop("_n")
+
+
+def numbered(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Adds _row: each row's number in its campaign, from 0, by TIE_BREAK. df is dealt by ranges of campaign and order, so one long campaign is spread over many tasks."""
+    spark = df.sparkSession
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # rows alike in all columns of the order would all be in one range: a number of their own parts them
+    own = written(df.withColumn("_any", F.monotonically_increasing_id()))
+    dealt = written(own.repartitionByRange(parts, "campaign_id", *TIE_BREAK, "_any").withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("campaign_id", "_part").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy("campaign_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("campaign_id").alias("_campaign"), F.col("_part").alias("_of"), before.alias("_first"))
+    inside = F.row_number().over(W.partitionBy("campaign_id", "_part").orderBy(*TIE_BREAK, "_any")) - 1
+    joined = dealt.join(starts, F.col("campaign_id").eqNullSafe(F.col("_campaign")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("_row", F.col("_first") + inside).drop("_any", "_part", "_campaign", "_of", "_first")
+
+
+def in_ranges(df: DataFrame, build: Callable[[DataFrame], DataFrame], reach: int, rows: int = 100_000) -> DataFrame:
+    """build(df) for windows that look back at most reach rows, with long campaigns cut into ranges of so many rows.
+
+    Each range also gets the reach rows before it, so its first rows see what they need; those copies then go. So a task holds
+    rows + reach rows of a campaign, whatever its length, for one more shuffle and reach / rows more rows. build must keep the
+    columns that it is given. Null campaigns are one series, as with plain windows.
+    """
+    if reach > rows:
+        raise ValueError("a range must be at least as long as the reach")
+    at = F.floor(F.col("_row") / rows)
+    ranges = F.when(F.col("_row") % rows >= rows - reach, F.array(at, at + 1)).otherwise(F.array(at))
+    copies = numbered(df).select("*", at.alias("_home"), F.explode(ranges).alias("_range")).drop("_row")
+    series = F.concat_ws("\u0001", F.col("_range").cast("string"), "campaign_id")
+    out = build(copies.withColumn("_campaign", F.col("campaign_id")).withColumn("campaign_id", series)).where("_home = _range")
+    return out.withColumn("campaign_id", F.col("_campaign")).drop("_campaign", "_home", "_range")

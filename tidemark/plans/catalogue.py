@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 #: Queries whose results have dates, which both engines give as text.
 DATED = {
-    "date": "t1_stream_upsert s1_s9_ingested_rows s4_data_source s5_google_normalise s6_meta_normalise s7_bing_normalise c3_dates c7_calendar c8_ratios c9_clamp c10_ordered_quantiles c14_efficiency p1_sparse_rows p2_history j1_pairs j2_j9_expected_future j3_m4_seasonal_naive w1_rolling_mean w2_rolling_std w3_lags w4_last_rows o1_sorted k1_normalised_residual k2_scaling_factor m5_m7_forecast".split(),
+    "date": "w1_w2_long_windows w1_w3_long_series t1_stream_upsert s1_s9_ingested_rows s4_data_source s5_google_normalise s6_meta_normalise s7_bing_normalise c3_dates c7_calendar c8_ratios c9_clamp c10_ordered_quantiles c14_efficiency p1_sparse_rows p2_history j1_pairs j2_j9_expected_future j3_m4_seasonal_naive w1_rolling_mean w2_rolling_std w3_lags w4_last_rows o1_sorted k1_normalised_residual k2_scaling_factor m5_m7_forecast".split(),
     "last": ["t3_stream_of_exports", "p3_k4_holdout", "w5_all_but_last_rows"],
     "first_date": ["v9_statistics"],
     "last_date": ["v9_statistics"],
@@ -651,6 +651,32 @@ def _(spark, sf):
 _LAGS = [f"{m}_lag_{k}" for m in METRICS for k in features.LAGS]
 
 
+_YEAR = [f"{m}_roll_{k}_{n}" for m in ("spend", "revenue") for n in (90, 365) for k in ("mean", "std")]
+
+
+def _frames(metrics: tuple[str, ...], sizes: tuple[int, ...], by: str) -> str:
+    """Means and deviations over the rows before, as SQL columns, with their windows."""
+    order = ", ".join(("date", *METRICS))
+    own = ", ".join(f"round(CASE WHEN count({m}) OVER w{n} >= 2 THEN avg({m}) OVER w{n} END, 3) AS {m}_roll_mean_{n}, round(coalesce(CASE WHEN count({m}) OVER w{n} >= 2 THEN stddev_samp({m}) OVER w{n} END, 0.0::DOUBLE), 2) AS {m}_roll_std_{n}" for m in metrics for n in sizes)
+    return f"{own} FROM fact WINDOW o AS (PARTITION BY {by} ORDER BY {order}), " + ", ".join(f"w{n} AS (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in sizes)
+
+
+@query("w1_w2_long_windows", f"WITH {FACT} SELECT campaign_id, date, {_frames(('spend', 'revenue'), (90, 365), 'campaign_id')}")
+def _(spark, sf):
+    return features.rolling_features(unified(spark, sf), (90, 365)).select("campaign_id", "date", *(r(c, 2 if "_std_" in c else 3) for c in _YEAR))
+
+
+_LONG = [f"spend_roll_{k}_{n}" for n in (14, 30) for k in ("mean", "std")]
+
+
+@query("w1_w3_long_series", f"WITH {FACT} SELECT campaign_id, channel, date, spend, lag(spend, 30) OVER o AS spend_lag_30, {_frames(('spend',), (14, 30), 'channel')}")
+def _(spark, sf):
+    """A channel's rows as one series, cut into ranges of 2,000 rows."""
+    fact = unified(spark, sf).withColumn("_own", F.col("campaign_id")).withColumn("campaign_id", F.col("channel"))
+    out = features.in_ranges(fact, lambda x: features.lag_features(features.rolling_features(x, (14, 30)), (30,)), 30, 2000)
+    return out.select(F.col("_own").alias("campaign_id"), "channel", "date", "spend", "spend_lag_30", *(r(c, 2 if "_std_" in c else 3) for c in _LONG))
+
+
 @query("w3_lags", f"WITH {FEATURES} SELECT campaign_id, date, {', '.join(f'{c}::DOUBLE AS {c}' for c in _LAGS)} FROM feat")
 def _(spark, sf):
     return features.lag_features(unified(spark, sf)).select("campaign_id", "date", *(F.col(c).cast("double").alias(c) for c in _LAGS))
