@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import expressions as X
 from ..operators import baselines as B
-from ..operators import boosting, decision, features, forecast, models, quality, report, scenario, uncertainty
+from ..operators import boosting, decision, features, forecast, hooks, models, quality, report, scenario, uncertainty
 from ..schema import COLUMNS, DYNAMIC, METRICS
 from ..sessions import checkpoint_folder, cut
 from ..sources import csv, exports
@@ -638,9 +638,9 @@ _MEANS = [f"{m}_roll_mean_{n}" for m in METRICS for n in features.ROLLING]
 _STDS = [f"{m}_roll_std_{n}" for m in METRICS for n in features.ROLLING]
 
 
-@query("w1_rolling_mean", f"WITH {FEATURES} SELECT campaign_id, date, {rs(_MEANS, 3)} FROM feat")
+@query("w1_rolling_mean", f"WITH {FEATURES} SELECT campaign_id, date, {rs(_MEANS, 6)} FROM feat")
 def _(spark, sf):
-    return features.rolling_features(unified(spark, sf)).select("campaign_id", "date", *(r(c, 3) for c in _MEANS))
+    return features.rolling_features(unified(spark, sf)).select("campaign_id", "date", *(r(c, 6) for c in _MEANS))
 
 
 @query("w2_rolling_std", f"WITH {FEATURES} SELECT campaign_id, date, {rs(_STDS, 3)} FROM feat")
@@ -657,13 +657,13 @@ _YEAR = [f"{m}_roll_{k}_{n}" for m in ("spend", "revenue") for n in (90, 365) fo
 def _frames(metrics: tuple[str, ...], sizes: tuple[int, ...], by: str) -> str:
     """Means and deviations over the rows before, as SQL columns, with their windows."""
     order = ", ".join(("date", *METRICS))
-    own = ", ".join(f"round(CASE WHEN count({m}) OVER w{n} >= 2 THEN avg({m}) OVER w{n} END, 3) AS {m}_roll_mean_{n}, round(coalesce(CASE WHEN count({m}) OVER w{n} >= 2 THEN stddev_samp({m}) OVER w{n} END, 0.0::DOUBLE), 2) AS {m}_roll_std_{n}" for m in metrics for n in sizes)
+    own = ", ".join(f"round(CASE WHEN count({m}) OVER w{n} >= 2 THEN avg({m}) OVER w{n} END, 8) AS {m}_roll_mean_{n}, round(coalesce(CASE WHEN count({m}) OVER w{n} >= 2 THEN stddev_samp({m}) OVER w{n} END, 0.0::DOUBLE), 2) AS {m}_roll_std_{n}" for m in metrics for n in sizes)
     return f"{own} FROM fact WINDOW o AS (PARTITION BY {by} ORDER BY {order}), " + ", ".join(f"w{n} AS (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in sizes)
 
 
 @query("w1_w2_long_windows", f"WITH {FACT} SELECT campaign_id, date, {_frames(('spend', 'revenue'), (90, 365), 'campaign_id')}")
 def _(spark, sf):
-    return features.rolling_features(unified(spark, sf), (90, 365)).select("campaign_id", "date", *(r(c, 2 if "_std_" in c else 3) for c in _YEAR))
+    return features.rolling_features(unified(spark, sf), (90, 365)).select("campaign_id", "date", *(r(c, 2 if "_std_" in c else 8) for c in _YEAR))
 
 
 _LONG = [f"spend_roll_{k}_{n}" for n in (14, 30) for k in ("mean", "std")]
@@ -674,7 +674,7 @@ def _(spark, sf):
     """A channel's rows as one series, cut into ranges of 2,000 rows."""
     fact = unified(spark, sf).withColumn("_own", F.col("campaign_id")).withColumn("campaign_id", F.col("channel"))
     out = features.in_ranges(fact, lambda x: features.lag_features(features.rolling_features(x, (14, 30)), (30,)), 30, 2000)
-    return out.select(F.col("_own").alias("campaign_id"), "channel", "date", "spend", "spend_lag_30", *(r(c, 2 if "_std_" in c else 3) for c in _LONG))
+    return out.select(F.col("_own").alias("campaign_id"), "channel", "date", "spend", "spend_lag_30", *(r(c, 2 if "_std_" in c else 8) for c in _LONG))
 
 
 @query("w3_lags", f"WITH {FEATURES} SELECT campaign_id, date, {', '.join(f'{c}::DOUBLE AS {c}' for c in _LAGS)} FROM feat")
@@ -729,6 +729,12 @@ def _(spark, sf):
     return fact.unionByName(fact.where("channel = 'meta'")).groupBy("channel").agg(F.count("*").alias("n"))
 
 
+@query("u_own_features", f"WITH {FACT}, last90 AS (SELECT campaign_id, revenue, row_number() OVER (PARTITION BY campaign_id ORDER BY date) AS i FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY date DESC) AS rn FROM fact) WHERE rn <= 90) SELECT a.campaign_id AS entity_id, round(median((b.revenue - a.revenue) / (b.i - a.i)), 6) AS trend FROM last90 a JOIN last90 b ON a.campaign_id = b.campaign_id AND a.i < b.i GROUP BY ALL")
+def _(spark, sf):
+    """A user's own feature: the median slope of the last 90 rows."""
+    return hooks.trends(unified(spark, sf)).select("entity_id", r("trend"))
+
+
 # --- conformal, models, decisions ---
 
 
