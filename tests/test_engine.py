@@ -202,6 +202,28 @@ def test_report_rounds_and_writes_headers(spark, tmp_path):
     assert next((tmp_path / "f").glob("part-*.csv")).read_text().strip().startswith("entity_id,channel,horizon")
 
 
+def test_many_report_files_are_as_one(spark, tmp_path):
+    import json
+
+    rows = [(f"c{i % 7}", "google", 30, "revenue", f"2025-01-{i % 28 + 1:02d}", float(i), 'a "quoted", text' if i % 2 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "entity_id string, channel string, horizon int, metric string, date string, p50 double, note string").repartition(5)
+
+    def lines(name):
+        files = sorted((tmp_path / name).glob("part-*.csv"))
+        read = [f.read_text().splitlines() for f in files]
+        assert len({r[0] for r in read}) == 1
+        return [f.name for f in files], [x for r in read for x in r[1:]]
+
+    order = ("entity_id", "date", "p50")
+    report.write_csv(df, str(tmp_path / "one"), order)
+    report.write_csv(df, str(tmp_path / "many"), order, rows_per_file=60)
+    (one, want), (many, got) = lines("one"), lines("many")
+    assert (len(one), len(many)) == (1, 9) and got == want and len(got) == 500
+    listed = [json.loads(x) for f in (tmp_path / "many.manifest").glob("part-*.json") for x in f.read_text().splitlines()]
+    assert [x["file"] for x in listed] == many and sum(x["rows"] for x in listed) == 500
+    assert all(tuple(a["last"].values()) <= tuple(b["first"].values()) for a, b in zip(listed, listed[1:], strict=False))
+
+
 def test_whole_run(spark, tmp_path):
     fact = campaigns(spark, 60, 3)
     few = pipeline.Config(values={"forecast": {"boosting_rounds": 3}})

@@ -78,7 +78,7 @@ def future_features(history: DataFrame, future: DataFrame, windows: Sequence[int
     keys = ["scenario"] if "scenario" in future.columns else []
     past = history.select(*COLUMNS).withColumn("step", F.lit(0))
     if keys:
-        past = past.join(F.broadcast(future.select("scenario").distinct()))  # the scenarios asked for: a handful
+        past = past.crossJoin(F.broadcast(future.select("scenario").distinct()))  # the scenarios asked for: a handful
     both = past.select(*future.columns).unionByName(future)
     if keys:
         # a campaign in a scenario is a series of its own

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sessions import written
 
 
 def rounded(c: str, places: int):
@@ -47,10 +52,29 @@ def summary(points: DataFrame, overall: DataFrame, results: DataFrame, found: Da
     return a.crossJoin(b).crossJoin(c).crossJoin(r).crossJoin(f)  # one row each
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header in a folder; an empty frame writes the header too."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+#: What each report is ordered by.
+ORDERS = {"forecasts": ("entity_id", "horizon", "date"), "uncertainty": ("entity_id",), "simulations": ("scenario",), "recommendations": ("entity_id",)}
+
+
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), rows_per_file: int = 1_000_000) -> None:
+    """CSV files in a folder, each with a header, and in path.manifest a JSON line for each: file, rows, first and last.
+
+    Rows are in order over all files as their names follow each other, so their lines but for the headers are those of one
+    sorted file. Without an order all columns count, in turn. df is computed once, and no task writes many more rows than
+    rows_per_file, but for rows that are alike in the order. An empty frame writes one header.
+    """
+    order = list(order or df.columns)
+    own = written(df)
+    files = -(-own.count() // rows_per_file)
+    dealt = own.repartitionByRange(files, *order) if files > 1 else own.coalesce(1)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+    names = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+    key = F.struct(*(F.col(f"`{c}`") for c in order))
+    back = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])).option("header", True).csv(path)
+    lines = back.select(names, key.alias("key")).groupBy("file").agg(F.count("*").alias("rows"), F.min("key").alias("first"), F.max("key").alias("last"))
+    lines.coalesce(1).sortWithinPartitions("file").write.mode("overwrite").json(f"{path}.manifest")  # one row a file
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """One row or a few, as one file."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -480,7 +480,7 @@ def _(spark, sf):
 @query("j8_known_campaigns", f"WITH {FACT}{base_sql('fact')} SELECT entity_id FROM base WHERE channel = 'meta'")
 def _(spark, sf):
     fact = settled(spark, sf)
-    return B.baselines(fact).select("entity_id").join(fact.where("channel = 'meta'").select(F.col("campaign_id").alias("entity_id")), "entity_id", "left_semi")
+    return decision.recommend(assessed_of(fact), B.baselines(fact).where("channel = 'meta'")).select("entity_id")
 
 
 @query("j10_scenario_grid", f"WITH {FACT}{base_sql('fact')}{NAMED} SELECT scenario, entity_id, relative FROM base, named WHERE relative IS NOT NULL")

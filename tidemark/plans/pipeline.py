@@ -85,10 +85,10 @@ def write(out: dict[str, DataFrame], directory: str, config: Config | None = Non
     config = config or Config()
     places = config.get("report.decimal_places")
     for path in filter(None, (f"{directory}/forecasts.csv", copy)):
-        report.write_csv(report.forecasts(out["points"], places, config.get("report.include_raw_forecasts")), path)
-    report.write_csv(report.uncertainty(out["entities"], places), f"{directory}/uncertainty.csv")
-    report.write_csv(report.simulations(out["results"], places), f"{directory}/simulations.csv")
-    report.write_csv(report.recommendations(out["recommendations"], places), f"{directory}/recommendations.csv")
+        report.write_csv(report.forecasts(out["points"], places, config.get("report.include_raw_forecasts")), path, report.ORDERS["forecasts"])
+    report.write_csv(report.uncertainty(out["entities"], places), f"{directory}/uncertainty.csv", report.ORDERS["uncertainty"])
+    report.write_csv(report.simulations(out["results"], places), f"{directory}/simulations.csv", report.ORDERS["simulations"])
+    report.write_csv(report.recommendations(out["recommendations"], places), f"{directory}/recommendations.csv", report.ORDERS["recommendations"])
     report.write_json(report.summary(out["points"], out["overall"], out["results"], out["recommendations"], out["assessments"], places), f"{directory}/summary.json")
 
 
