@@ -161,3 +161,59 @@ def test_leader_learns():
     assert w[6] > 0.5
     assert w[5] < -0.5
     assert (w[7:] == 0).all()
+
+
+def plain_hash(word):
+    """Of a word's bytes, with whole numbers of Python."""
+    from tidemark.llm.words import BASE
+
+    return plain_mixed(sum((b + 1) * BASE**i for i, b in enumerate(word)) + len(word))
+
+
+def plain_mixed(h):
+    h %= 1 << 64
+    h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD % (1 << 64)
+    h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 % (1 << 64)
+    return h ^ (h >> 33)
+
+
+def plain_features(text):
+    """Feature: value, counted in a dict."""
+    hashes = [plain_hash(w) for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\t\n\x0b\x0c\r ]+", text)]
+    many = quality.DIMENSIONS - 2
+    counts = Counter(2 + h % many for h in hashes)
+    counts.update(1 if a == b else 2 + plain_mixed(a * 3 + b) % many for a, b in zip(hashes, hashes[1:], strict=False))
+    value = {k: math.log1p(n) for k, n in counts.items()}
+    length = math.sqrt(sum(v * v for v in value.values()))
+    return {0: 1.0} | {k: v / length for k, v in value.items()}
+
+
+def test_quality_query_against_plain_loops(spark):
+    """Follow-the-regularised-leader with dicts, over all labelled rows of the smallest tables: the query's scores of all documents."""
+    from tidemark.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: plain_features((r.text or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality is not None}
+    train = sorted((d for d in docs if d in labels and zlib.crc32(str(d).encode()) % 3 != 1), key=plain_mixed)
+    assert 20 < len(train) <= quality.SHARD_ROWS
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else (math.copysign(l1, z[k]) - z[k]) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    def probability(x):
+        return 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+
+    for _ in range(quality.EPOCHS):
+        for d in train:
+            error = probability(docs[d]) - labels[d]
+            for k, (w, v) in {k: (weight(k), v) for k, v in docs[d].items()}.items():
+                g = error * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w
+                n[k] += g * g
+    got = queries.queries()["op9_quality_classifier"](spark, folder).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.score == pytest.approx(probability(docs[r.doc_id]), abs=1e-9)
