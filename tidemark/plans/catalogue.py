@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import expressions as X
+from ..functions import sql as sql_functions
 from ..operators import baselines as B
 from ..operators import boosting, decision, features, forecast, hooks, models, quality, report, scenario, uncertainty
 from ..schema import COLUMNS, DYNAMIC, METRICS
@@ -20,6 +21,7 @@ from ..sessions import checkpoint_folder, cut
 from ..sources import csv, exports
 from ..streaming import fact as stream_fact
 from ..streaming import flags as stream_flags
+from ..streaming import sketches
 from .adapter import DROPPED, FACT, FLAWED, dropped, flawed, unified
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 #: Queries whose results have dates, which both engines give as text.
 DATED = {
-    "date": "w1_w2_long_windows w1_w3_long_series t1_stream_upsert s1_s9_ingested_rows s4_data_source s5_google_normalise s6_meta_normalise s7_bing_normalise c3_dates c7_calendar c8_ratios c9_clamp c10_ordered_quantiles c14_efficiency p1_sparse_rows p2_history j1_pairs j2_j9_expected_future j3_m4_seasonal_naive w1_rolling_mean w2_rolling_std w3_lags w4_last_rows o1_sorted k1_normalised_residual k2_scaling_factor m5_m7_forecast".split(),
+    "date": "f2_sql_ratios f4_sql_residuals f5_sql_future_days w1_w2_long_windows w1_w3_long_series t1_stream_upsert s1_s9_ingested_rows s4_data_source s5_google_normalise s6_meta_normalise s7_bing_normalise c3_dates c7_calendar c8_ratios c9_clamp c10_ordered_quantiles c14_efficiency p1_sparse_rows p2_history j1_pairs j2_j9_expected_future j3_m4_seasonal_naive w1_rolling_mean w2_rolling_std w3_lags w4_last_rows o1_sorted k1_normalised_residual k2_scaling_factor m5_m7_forecast".split(),
     "last": ["t3_stream_of_exports", "p3_k4_holdout", "w5_all_but_last_rows"],
     "first_date": ["v9_statistics"],
     "last_date": ["v9_statistics"],
@@ -861,3 +863,55 @@ def _(spark, sf):
     finally:
         spark.conf.set(stream_flags.STORE[0], before)
     return stream_flags.last_flags(spark.read.parquet(f"{folder}/flags").drop("batch")).select("entity_id", "longest_zero_run", "zero_revenue", "early_ratio", "late_ratio", "cost_inflation")
+
+
+@query("t4_distinct_sketches", f"WITH {DROPPED} SELECT channel, count(DISTINCT campaign_id) AS campaigns, count(DISTINCT date) AS days, true AS campaigns_close, true AS days_close FROM drops GROUP BY channel")
+def _(spark, sf):
+    """Exact counts, and whether those of the merged sketches of all drops lie within the stated error of them."""
+    folder, by, counted = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}", ["channel"], ["campaign_id", "date"]
+    drops = dropped(unified(spark, sf))
+    drops.repartition(8, "drop").write.parquet(f"{folder}/in")
+    sketches.feed(stream_fact.read_drops(spark, f"{folder}/in", 2), f"{folder}/out", f"{folder}/checkpoint", by, counted).awaitTermination()
+    guess = sketches.distinct(spark, f"{folder}/out", by, counted).select("channel", F.col("campaign_id").alias("_c"), F.col("date").alias("_d"))
+    exact = spark.read.parquet(f"{folder}/in").groupBy("channel").agg(F.countDistinct("campaign_id").alias("campaigns"), F.countDistinct("date").alias("days"))
+    close = [(F.abs(F.col(g) - F.col(c)) <= F.col(c) * sketches.error()).alias(f"{c}_close") for g, c in (("_c", "campaigns"), ("_d", "days"))]
+    return exact.join(guess, "channel").select("channel", "campaigns", "days", *close)
+
+
+# --- functions in SQL ---
+
+
+@query("f1_sql_numbers", _sql["c2_lenient_numbers"])
+def _(spark, sf):
+    sql_functions.register(spark)
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("f1_events")
+    return spark.sql("SELECT event_id, number_or_0(props) AS a, number_or_0(CASE WHEN event_id % 7 = 0 THEN 'nan' ELSE CAST(value AS STRING) END) AS b FROM f1_events")
+
+
+@query("f2_sql_ratios", _sql["c8_ratios"])
+def _(spark, sf):
+    sql_functions.register(spark)
+    unified(spark, sf).createOrReplaceTempView("f2_fact")
+    return spark.sql("SELECT campaign_id, date, " + ", ".join(f"guarded_ratio({n}, {q}) AS {name}" for name, (n, q) in features.RATIOS.items()) + " FROM f2_fact")
+
+
+@query("f3_sql_confidence", _sql["c12_c13_widths_and_confidence"])
+def _(spark, sf):
+    sql_functions.register(spark)
+    points_of(settled(spark, sf)).createOrReplaceTempView("f3_points")
+    return spark.sql("SELECT entity_id, horizon, round(w, 8) AS relative_width, round(confidence(w, 2D), 8) AS confidence FROM (SELECT entity_id, horizon, avg(relative_width(p10, p50, p90)) AS w FROM f3_points GROUP BY entity_id, horizon)")
+
+
+@query("f4_sql_residuals", _sql["k1_normalised_residual"])
+def _(spark, sf):
+    sql_functions.register(spark)
+    held_pairs(spark, sf).createOrReplaceTempView("f4_pairs")
+    return spark.sql("SELECT entity_id, horizon, date, round(normalised_residual(actual, p10, p50, p90), 5) AS score FROM f4_pairs")
+
+
+@query("f5_sql_future_days", f"WITH {FACT}, last AS (SELECT campaign_id, max(date) AS last FROM fact GROUP BY ALL) SELECT campaign_id, step::INT AS step, (last + step::INT) AS date FROM last, range(1, 91) t(step)")
+def _(spark, sf):
+    """Each campaign's 90 days after its last one, by a table function."""
+    sql_functions.register(spark)
+    unified(spark, sf).createOrReplaceTempView("f5_fact")
+    return spark.sql("SELECT campaign_id, step, d.date FROM (SELECT campaign_id, max(date) AS last FROM f5_fact GROUP BY campaign_id), LATERAL days_after(last, 90) d")
