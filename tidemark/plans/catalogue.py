@@ -710,6 +710,23 @@ def _(spark, sf):
     return forecast.future_features(history, forecast.expected_future(history)).select("campaign_id", "step", r("revenue_roll_mean_30", 3), r("revenue_lag_14", 3))
 
 
+_FUTURE = (
+    "means AS (SELECT campaign_id, isodow(date) - 1 AS dow, " + ", ".join(f"avg({m}) AS {m}" for m in DYNAMIC) + " FROM hist GROUP BY ALL), "
+    "overall AS (SELECT campaign_id, " + ", ".join(f"avg({m}) AS {m}" for m in DYNAMIC) + " FROM means GROUP BY ALL), "
+    "budget AS (SELECT campaign_id, arg_max(daily_budget, date) AS daily_budget FROM hist GROUP BY ALL), "
+    "both_days AS (SELECT campaign_id, date, 0 AS step, " + ", ".join(f"{m}::DOUBLE AS {m}" for m in METRICS) + " FROM hist UNION ALL SELECT d.campaign_id, d.date, d.step, " + ", ".join(f"coalesce(m.{x}, o.{x})" for x in DYNAMIC) + ", b.daily_budget FROM days d LEFT JOIN means m ON m.campaign_id = d.campaign_id AND m.dow = isodow(d.date) - 1 JOIN overall o ON o.campaign_id = d.campaign_id JOIN budget b ON b.campaign_id = d.campaign_id)"
+)
+#: Places that all features are compared to: sums of weekday means are not exact.
+_PLACES = {c: 0 if c in features.TIME else 7 if c in features.RATIOS else 4 if "_std_" in c else 5 for c in features.feature_names()}
+
+
+@query("w9_all_future_features", f"WITH {POINTS}, {_FUTURE}, all_days AS (SELECT *, {TIME_SQL}, {RATIO_SQL}, {ROLL_SQL}, {LAG_SQL} FROM both_days {WINDOWS_SQL}) SELECT campaign_id, step::INT AS step, " + ", ".join(f"round({c}, {n}) AS {c}" if n else c for c, n in _PLACES.items()) + " FROM all_days WHERE step > 0")
+def _(spark, sf):
+    history = forecast.eligible(unified(spark, sf))
+    own = forecast.future_features(history, forecast.expected_future(history))
+    return own.select("campaign_id", "step", *(r(c, n) if n else F.col(c) for c, n in _PLACES.items()))
+
+
 @query("o1_sorted", f"WITH {FACT} SELECT campaign_id, date, revenue FROM fact ORDER BY campaign_id, date")
 def _(spark, sf):
     return unified(spark, sf).select("campaign_id", "date", "revenue").orderBy("campaign_id", "date")
@@ -812,6 +829,15 @@ def _(spark, sf):
     return report.forecasts(points_of(settled(spark, sf)))
 
 
+@query("p4_metric_filter", f"WITH {POINTS} SELECT 'revenue alone' AS report, metric, count(*) AS n FROM points GROUP BY ALL UNION ALL SELECT 'raw', m, count(*) FROM points, (VALUES ('revenue'), ('conversions')) t(m) GROUP BY ALL")
+def _(spark, sf):
+    """Points of two metrics: the report has revenue's, and all if raw ones are asked for."""
+    points = points_of(settled(spark, sf))
+    both = points.unionByName(points.withColumn("metric", F.lit("conversions")))
+    parts = [report.forecasts(both, raw=raw).groupBy("metric").agg(F.count("*").alias("n")).select(F.lit(name).alias("report"), "metric", "n") for name, raw in (("revenue alone", False), ("raw", True))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("s11_uncertainty_report", f"WITH {UNCERTAIN} SELECT entity_id, channel, stability_trend, {evens('confidence_score', 'volatility', 'avg_relative_width')} FROM entities")
 def _(spark, sf):
     return report.uncertainty(entities_of(settled(spark, sf)))
