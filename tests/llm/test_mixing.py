@@ -57,6 +57,18 @@ def test_many_sources(spark, n):
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
 
 
+def test_rows_without_doc_id_are_dealt_over_all_ranges(spark):
+    docs = [(None, f"own words {i} of a row" + " w" * (i % 5), "web" if i % 3 else "books") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    ranges = df.groupBy(mixing.random_key("mix").substr(1, 1).alias("range")).count().collect()
+    assert len(ranges) == 16
+    assert max(r["count"] for r in ranges) < 100
+    first = mixing.mix(df, bucket_rows=16).collect()
+    check(first, docs)
+    again = mixing.mix(df.repartition(7), bucket_rows=64).collect()
+    assert sorted((r.text_hash, r.taken) for r in first) == sorted((r.text_hash, r.taken) for r in again)
+
+
 def test_mixed_documents(spark, clashing):
     out = mixing.mixed_documents(clashing)
     assert out.columns == clashing.columns

@@ -34,6 +34,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     return s.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("weight") * F.max("_level").over(W.partitionBy()))).drop("_cap", "_level")
 
 
+def random_key(seed: str) -> Column:
+    """The hash-random key of a document: of its doc_id, or where that is null of its text, so that documents without one are dealt over all ranges."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text_of())))))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", bucket_rows: int = 4096) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, text_hash: how many words of each document a mix with these weights takes.
 
@@ -43,11 +48,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     allows; then documents are taken in order up to the target's whole words, the last one in part. So a source's taken words
     are its target rounded down, and no document counts over cap times.
 
-    Null text: size 0. Null source: a source of its own, last. Rows with the same doc_id are taken one by one. No rows: no rows.
+    Null text: size 0. Null source: a source of its own, last. Null doc_id: the key is of the text. Rows with the same doc_id are taken one by one. No rows: no rows.
     Nothing is dropped: a document that isn't taken has taken 0.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    sized = cut(docs.select("doc_id", "source", word_count(text_of()).alias("size"), key.alias("_key"), F.xxhash64(text_of()).alias("text_hash")))
+    sized = cut(docs.select("doc_id", "source", word_count(text_of()).alias("size"), random_key(seed).alias("_key"), F.xxhash64(text_of()).alias("text_hash")))
     digits = max(1, math.ceil(math.log(max(sized.count(), 2) / bucket_rows, 16)))
     # a source's key is never null, so that joins need no null-safe comparison
     sized = sized.withColumn("_source", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))).withColumn("_range", F.substring("_key", 1, digits))
@@ -88,7 +92,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS k FROM documents),
+                  md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((pos - 1) % 3 + 1)::INT]::BIGINT AS weight, source_size * 3 AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE
