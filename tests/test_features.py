@@ -117,3 +117,38 @@ def test_no_task_has_a_long_campaign(spark):
     df = spark.range(20_000).select(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 9000).cast("int")).alias("date"), *(F.lit("x").alias(c) for c in ("channel", "campaign_id", "campaign_name", "campaign_type")), *(F.col("id").cast("double").alias(c) for c in ("spend", "revenue", "conversions", "daily_budget")), *(F.col("id").alias(c) for c in ("clicks", "impressions")))
     sizes = features.in_ranges(df, lambda x: x.withColumn("_size", F.count("*").over(features.W.partitionBy("campaign_id"))), 30, 1000).agg(F.max("_size"), F.count("*"), F.countDistinct("spend")).first()
     assert tuple(sizes) == (1030, 20_000, 20_000)
+
+
+def test_batches_match_windows(spark):
+    """Over batches of 7 rows, which cut campaigns anywhere; with nulls, null campaigns and copies of days."""
+    rng = np.random.default_rng(8)
+    values = [None if rng.random() < 0.2 else float(x) for x in rng.integers(0, 40, 90)]
+    df = fact(spark, values, revenue=[1.0] * 90).unionByName(fact(spark, values[:9], "meta_2")).unionByName(fact(spark, values[:1], "meta_3")).unionByName(fact(spark, values[20:60], None)).unionByName(fact(spark, values[:30], "meta_2"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got, want = features.in_batches(features.ratio_features(features.time_features(df)), (3, 7, 40), (1, 30)), features.add_features(df, (3, 7, 40), (1, 30))
+        assert got.dtypes == want.dtypes
+
+        def table(x):
+            return sorted(map(str, x.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes)).collect()))
+
+        assert table(got) == table(want)
+        assert features.in_batches(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_both_flags_take_one_shuffle(spark):
+    plan = baselines.history_flags(fact(spark, [1.0, 2.0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ranked_is_percentile(spark):
+    """With nulls, equal values and a group without values."""
+    from tidemark.operators import models
+
+    rows = [("a", 3.0), ("a", 1.0), ("a", None), ("a", 1.0), ("a", 9.5), ("b", 2.0), ("c", None), (None, 4.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, models.QUANTILES))).alias("q"))
+    assert sorted(map(str, models.ranked(df, ["k"], "v").collect())) == sorted(map(str, want.collect()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import d
 from ..sessions import cut
-from .baselines import cost_inflation, zero_revenue
+from .baselines import history_flags
 
 FLAGS = ("below_roas_target", "high_uncertainty", "zero_revenue", "cost_inflation", "concentration_risk")
 #: What a recommendation says of each flag.
@@ -33,7 +33,7 @@ def assess(base: DataFrame, uncertainty: DataFrame, fact: DataFrame | None = Non
     total = base.agg(F.sum("total_spend").alias("_sum")).select(F.when(F.col("_sum") == 0, d(1)).otherwise(F.coalesce("_sum", d(1))).alias("_total"))
     own = base.crossJoin(F.broadcast(total)).join(uncertainty.select("entity_id", F.col("confidence_score").alias("_c"), F.col("volatility").alias("_v"), F.col("stability_trend").alias("_t")), "entity_id", "left")  # total: one row
     if fact is not None:
-        own = own.join(zero_revenue(fact, zero_days).select("entity_id", "zero_revenue"), "entity_id", "left").join(cost_inflation(fact, inflation).select("entity_id", "cost_inflation"), "entity_id", "left")
+        own = own.join(history_flags(fact, zero_days, inflation), "entity_id", "left")
     else:
         own = own.withColumns({"zero_revenue": F.lit(False), "cost_inflation": F.lit(False)})
     when = {
