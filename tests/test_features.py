@@ -152,3 +152,20 @@ def test_ranked_is_percentile(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     want = df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, models.QUANTILES))).alias("q"))
     assert sorted(map(str, models.ranked(df, ["k"], "v").collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("places", [0, 3, 7])
+def test_half_up_is_spark_round(spark, places):
+    """Ties by the digits that are written, as 1.0005 or 2.675, large values and odd ones too."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1e5, 3000), rng.integers(-10**6, 10**6, 3000) / 2000, rng.normal(0, 1e14, 300), [1.0005, 2.675, 0.5, -0.5, 1.5, -1e-9, 0.0, 1e300, 4e15 + 0.5, float("inf"), float("-inf"), float("nan")]])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", places)).collect()]
+    assert list(map(repr, features.half_up(values, places).tolist())) == list(map(repr, want))
+
+
+def test_batches_round_and_leave_out(spark):
+    """The rounded columns, of the rows asked for alone; the plan rounds nothing in the JVM."""
+    df = fact(spark, [float(i * i) for i in range(40)]).withColumn("step", F.dayofmonth("date") - 20)
+    places = {c: 3 for c in features.feature_names() if "_std_" in c}
+    got, want = features.in_batches(df, places=places, only="step"), features.in_batches(df).where("step > 0")
+    assert got.orderBy("date").collect() == want.select(*(F.round(c, places[c]).alias(c) if c in places else c for c in want.columns)).orderBy("date").collect()

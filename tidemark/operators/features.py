@@ -5,10 +5,12 @@ Windows are by row, not by calendar day: gaps in the dates don't count.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,38 +106,73 @@ def lag_features(df: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
 
 
 def _frames(x: np.ndarray, valid: np.ndarray, place: np.ndarray, windows: Sequence[int], kinds: Sequence[str]) -> dict[tuple[str, int], np.ndarray]:
-    """Means and deviations over the rows before, metrics by rows. x and valid have max(windows) rows more in front; place is a row's number in its campaign."""
-    many, reach, out = len(place), x.shape[1] - len(place), {}
-
-    def before(k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = slice(reach - k, reach - k + many)
-        return x[:, at], valid[:, at] & (place >= k)
-
-    n, total = np.zeros((len(x), many), np.int64), np.zeros((len(x), many))
-    for k in range(1, max(windows, default=0) + 1):
-        value, there = before(k)
-        n += there
-        total += np.where(there, value, 0.0)
-        if k not in windows:
-            continue
-        enough, mean = n >= 2, total / np.maximum(n, 1)
+    """Means and deviations over the rows before, metrics by rows. place is a row's number in its campaign; the first max(windows) rows are there for the others alone.
+
+    Frames of 1, 2, 4, ... rows are put together from two of half the length, and others from those, by the rule for the variance of two groups, as in moments.
+    """
+
+    def older(a: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(a.shape)
+        out[:, k:] = np.where(place[k:] >= k, a[:, : a.shape[1] - k], 0.0)
+        return out
+
+    def merged(new: tuple, old: tuple, k: int) -> tuple:
+        """The frame of the k rows of new and the rows before them that old has."""
+        (n, s, q), (m, t, r) = new, (older(a, k) if a is not None else None for a in old)
+        if q is not None:
+            both, off = n * m, t * n - s * m
+            q = q + r + np.divide(off * off, both * (n + m), out=np.zeros(n.shape), where=both > 0)
+        return n + m, s + t, q
+
+    powers = {1: (older(valid, 1), older(np.where(valid, x, 0.0), 1), np.zeros(x.shape) if "std" in kinds else None)}
+    while 2 * (last := max(powers)) <= max(windows, default=0):
+        powers[2 * last] = merged(powers[last], powers[last], last)
+    out = {}
+    for k in windows:
+        parts = [p for p in sorted(powers, reverse=True) if k & p]
+        frame, rows = powers[parts[0]], parts[0]
+        for p in parts[1:]:
+            frame, rows = merged(frame, powers[p], rows), rows + p
+        n, s, q = frame
+        enough = n >= 2
         if "mean" in kinds:
-            out["mean", k] = np.ma.masked_array(mean, ~enough)
+            out["mean", k] = np.ma.masked_array(s / np.maximum(n, 1), ~enough)
         if "std" in kinds:
-            squares = np.zeros_like(total)
-            for j in range(1, k + 1):
-                value, there = before(j)
-                off = np.where(there, value - mean, 0.0)
-                squares += off * off
-            out["std", k] = np.where(enough, np.sqrt(squares / np.maximum(n - 1, 1)), 0.0)
+            out["std", k] = np.where(enough, np.sqrt(q / np.maximum(n - 1, 1)), 0.0)
+    return out
+
+
+def half_up(x: np.ndarray, places: int) -> np.ndarray:
+    """x rounded as F.round does, by the digits that a value is written with; only values next to a tie, and very large ones, go through decimals."""
+    scale = 10.0**places
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = np.abs(x) * scale
+        whole = np.floor(y)
+        part = y - whole
+        out = np.where(x < 0, -1.0, 1.0) * ((whole + (part > 0.5)) / scale) + 0.0  # no negative zero
+        unsure = ~((y < 4e14) & (np.abs(part - 0.5) > y * 5e-16 + 1e-9))
+    for i in zip(*np.nonzero(unsure), strict=True):
+        v = float(x[i])
+        # from 2 ** 53 on a value is whole
+        out[i] = float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) + 0.0 if abs(v) < 2**53 else v
     return out
 
 
-def in_batches(df: DataFrame, windows: Sequence[int] = ROLLING, lags: Sequence[int] = LAGS, kinds: Sequence[str] = ("mean", "std"), metrics: Sequence[str] = METRICS) -> DataFrame:
+def _rounded(column: pa.Array, places: int) -> pa.Array:
+    if column.type != pa.float64():
+        return column
+    return pa.array(half_up(column.fill_null(0.0).to_numpy(zero_copy_only=False), places), mask=column.is_null().to_numpy(zero_copy_only=False))
+
+
+def in_batches(
+    df: DataFrame, windows: Sequence[int] = ROLLING, lags: Sequence[int] = LAGS, kinds: Sequence[str] = ("mean", "std"), metrics: Sequence[str] = METRICS, places: Mapping[str, int] | None = None, only: str | None = None
+) -> DataFrame:
     """df with what rolling_features and lag_features add, for whole tables: Spark deals the rows by campaign and sorts them, and tasks compute each batch of them at once, with as many rows before it as the widest window.
 
-    A task holds a batch and those rows, however long its campaigns are.
+    A task holds a batch and those rows, however long its campaigns are. places: double columns that are rounded, as F.round
+    does, while they are at hand. only: a column; just the rows where it is above 0 come back, the others serve as rows before.
     """
+    places = places or {}
     rolled = [(m, n, k) for m in metrics for n in windows for k in ("mean", "std") if k in kinds]
     lagged = [(m, k) for m in metrics for k in lags]
     reach = max((*windows, *lags), default=0)
@@ -153,13 +190,14 @@ def in_batches(df: DataFrame, windows: Sequence[int] = ROLLING, lags: Sequence[i
             first = len(both) - len(batch)
             ids = both["campaign_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             at = np.arange(len(both))
-            place = (at - np.maximum.accumulate(np.where(np.r_[True, ids[1:] != ids[:-1]], at, 0)))[first:]
+            every = at - np.maximum.accumulate(np.where(np.r_[True, ids[1:] != ids[:-1]], at, 0))
+            place = every[first:]
             front = np.zeros(reach - first)
             columns = [both[m].combine_chunks() for m in metrics]
             valid = np.array([np.r_[front > 0, c.is_valid().to_numpy(zero_copy_only=False)] for c in columns])
             x = np.array([np.r_[front, c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)] for c in columns])
             with np.errstate(invalid="ignore", over="ignore"):
-                frames = _frames(x, valid, place, windows, kinds)
+                frames = {k: v[:, reach:] for k, v in _frames(x, valid, np.r_[np.zeros(reach - first, np.int64), every], windows, kinds).items()}
             added = []
             for m, n, k in rolled:
                 values = frames[k, n][metrics.index(m)]
@@ -168,7 +206,10 @@ def in_batches(df: DataFrame, windows: Sequence[int] = ROLLING, lags: Sequence[i
             for m, k in lagged:
                 added.append(columns[metrics.index(m)].take(pa.array(np.maximum(rows - k, 0), mask=place < k)))
             held = both.slice(max(len(both) - reach, 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+            out = pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+            if only:
+                out = out.filter(pc.greater(out[only], 0))
+            yield pa.RecordBatch.from_arrays([_rounded(c, places[n]) if n in places else c for n, c in zip(schema.names, out.columns, strict=True)], schema.names)
 
     return df.repartition("campaign_id").sortWithinPartitions("campaign_id", *TIE_BREAK).mapInArrow(run, schema)
 

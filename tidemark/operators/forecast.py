@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -74,8 +74,8 @@ def expected_future(history: DataFrame, days: int = 90, overrides: DataFrame | N
     return changed.withColumn("daily_budget", F.coalesce("_budget", "daily_budget")).withColumn("spend", F.col("spend") * F.coalesce("spend_multiplier", d(1))).select(*COLUMNS, "step", "scenario")
 
 
-def future_features(history: DataFrame, future: DataFrame, windows: Sequence[int] = features.ROLLING, lags: Sequence[int] = features.LAGS) -> DataFrame:
-    """Features of the future rows, over history and future together. With a scenario column each scenario has its own copy of the history."""
+def future_features(history: DataFrame, future: DataFrame, windows: Sequence[int] = features.ROLLING, lags: Sequence[int] = features.LAGS, places: Mapping[str, int] | None = None) -> DataFrame:
+    """Features of the future rows, over history and future together. With a scenario column each scenario has its own copy of the history. places: as for in_batches."""
     keys = ["scenario"] if "scenario" in future.columns else []
     past = history.select(*COLUMNS).withColumn("step", F.lit(0))
     if keys:
@@ -84,7 +84,7 @@ def future_features(history: DataFrame, future: DataFrame, windows: Sequence[int
     if keys:
         # a campaign in a scenario is a series of its own
         both = both.withColumn("_own", F.col("campaign_id")).withColumn("campaign_id", F.concat_ws("\u0001", "campaign_id", "scenario"))
-    out = features.in_batches(features.ratio_features(features.time_features(both)), windows, lags).where("step > 0")
+    out = features.in_batches(features.ratio_features(features.time_features(both)), windows, lags, places=places, only="step")
     return out.withColumn("campaign_id", F.col("_own")).drop("_own") if keys else out
 
 
@@ -97,7 +97,9 @@ def ensemble(model: Column, naive: Column, weight: float = 0.5) -> Column:
 
 def eligible(feature_df: DataFrame, least: int = 30, lookback: int = 90) -> DataFrame:
     """The last lookback rows of the campaigns with at least least rows."""
-    return features.last_rows(features.with_history(feature_df, least), lookback)
+    order = W.partitionBy("campaign_id").orderBy(*(F.desc(c) for c in features.TIE_BREAK))  # one sort for both
+    own = feature_df.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    return own.where((F.col("_r") <= lookback) & (F.col("_n") >= least)).drop("_r", "_n")
 
 
 def forecast(feature_df: DataFrame, model: QuantileModel, horizons: Sequence[int] = HORIZONS, least: int = 30, lookback: int = 90, overrides: DataFrame | None = None, per_campaign_start: bool = False) -> DataFrame:
