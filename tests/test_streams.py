@@ -111,3 +111,16 @@ def test_the_halves_move_on_row_by_row():
     again = flags.Campaign(own.settled(), list(own.late))
     again.add((DAY, 12.0, 0.0, 0, 0, 0, 0))
     assert (again.n, again.early_spend, again.run, again.longest) == (12, 21.0, 1, 1)
+
+
+def test_latest_takes_one_shuffle_and_one_sort(spark):
+    plan = fact.latest(spark.createDataFrame([row(DAY, drop=1)], fact.DROPPED))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_more_rows_make_more_files(spark, tmp_path):
+    """Drops are written as tasks have them: no fixed number of files, whose tasks would grow with the table."""
+    from tidemark.plans import catalogue
+
+    assert catalogue._as_files(spark.range(200).repartition(20), str(tmp_path / "in")) == 20
+    assert catalogue._as_files(spark.range(200).repartition(12), str(tmp_path / "in"), 20) == 12

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,8 +22,10 @@ def read_drops(spark: SparkSession, path: str, files_per_batch: int = 10) -> Dat
 
 def latest(rows: DataFrame) -> DataFrame:
     """One row per campaign and day: that of the last drop, of equal drops the one with the largest metrics. Any order and any number of repeats give the same; null ids and days are keys as others."""
-    own = F.struct(*(F.col(c) for c in DROPPED.names))
-    return rows.groupBy(*KEYS).agg(F.max_by(own, F.struct("drop", *METRICS, *(c for c in COLUMNS if c not in METRICS and c not in KEYS))).alias("_row")).select("_row.*")
+    # one shuffle and one sort, as few rows have others to meet before it
+    order = ("drop", *METRICS, *(c for c in COLUMNS if c not in METRICS and c not in KEYS))
+    rank = F.row_number().over(W.partitionBy(*KEYS).orderBy(*(F.desc(c) for c in order)))
+    return rows.select(*DROPPED.names).repartition(*KEYS).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def feed(drops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
