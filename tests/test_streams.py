@@ -118,6 +118,29 @@ def test_latest_takes_one_shuffle_and_one_sort(spark):
     assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
 
 
+def test_rows_at_once_or_one_by_one(spark):
+    """A campaign's numbers don't depend on how its rows are cut; nulls are no revenue, but end a run without it."""
+    rng = random.Random(7)
+    rows = [(DAY + dt.timedelta(i), *(rng.choice((None, 0.0, 0.0, float(rng.randrange(9)))) for _ in range(6))) for i in range(60)]
+    one, some = flags.Campaign(None, ()), flags.Campaign(None, ())
+    for r in rows:
+        one.add(r)
+    table = flags.np.array([[(r[0] - flags.EPOCH).days, *(flags.np.nan if x is None else x for x in r[1:])] for r in rows], float)
+    for a, b in ((0, 1), (1, 8), (8, 8), (8, 41), (41, 60)):
+        some.extend(table[a:b])
+        some = flags.Campaign(some.settled(), flags.np.frombuffer(some.late.tobytes()))
+    assert some.settled() == one.settled() and some.late.tolist() == one.late.tolist()
+    revenue = [r[flags.REVENUE] for r in rows]
+    assert one.longest == max(len(x) for x in "".join("z" if x == 0 else "-" for x in revenue).split("-"))
+    assert (one.early_revenue, one.late_revenue) == (sum(x or 0 for x in revenue[:30]), sum(x or 0 for x in revenue[30:]))
+
+
+def test_a_campaigns_state_is_one_value(spark, tmp_path, state_store):
+    follow(spark, tmp_path, [days(40)], days=7, gap_days=15)
+    state = spark.read.format("statestore").option("stateVarName", "campaign").load(str(tmp_path / "checkpoint"))
+    assert state.count() == 1
+
+
 def test_more_rows_make_more_files(spark, tmp_path):
     """Drops are written as tasks have them: no fixed number of files, whose tasks would grow with the table."""
     from tidemark.plans import catalogue
