@@ -169,3 +169,14 @@ def test_batches_round_and_leave_out(spark):
     places = {c: 3 for c in features.feature_names() if "_std_" in c}
     got, want = features.in_batches(df, places=places, only="step"), features.in_batches(df).where("step > 0")
     assert got.orderBy("date").collect() == want.select(*(F.round(c, places[c]).alias(c) if c in places else c for c in want.columns)).orderBy("date").collect()
+
+
+def test_long_series_has_no_windows_of_rows(spark, monkeypatch):
+    """Its frames are computed in batches; what is left numbers rows and sums counts."""
+    from tidemark.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(features, "in_ranges", lambda df, build, reach, rows: seen.append(build(df)) or build(df))
+    catalogue.queries()["w1_w3_long_series"](spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
