@@ -171,3 +171,39 @@ def test_rows_of_one_doc_id_are_judged_by_their_own_texts(spark):
     got = sorted((r.doc_id, r.class_id, r.copies) for r in near.near_duplicates(df).collect())
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 1)]
     assert sorted(r.text for r in near.without_near_duplicates(df).collect()) == sorted([one, two, "alone"])
+
+
+def joined_rows(spark):
+    """Rows that all inner and outer joins of this session's queries have made so far."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            for k in range(node.metrics().size() if "Join" in node.name() else 0):
+                metric = node.metrics().apply(k)
+                found = values.get(metric.accumulatorId()) if metric.name() == "number of output rows" else None
+                if found is not None and found.isDefined():
+                    total += int(found.get().replace(",", ""))
+    return total
+
+
+def test_links_within_a_class_are_joined_once(spark):
+    # a chain whose least node is at its end, each node linked to the next 30
+    links = [(i, i + k) for i in range(300) for k in range(1, 31) if i + k < 300]
+    edges = near.written(spark.createDataFrame(links, "a long, b long"))
+    before = joined_rows(spark)
+    got = near.components(edges).collect()
+    made = joined_rows(spark) - before
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(300)}
+    assert 0 < made < 3 * len(links) + 10 * 300
+
+
+def test_labels_are_joined_by_further_links(spark):
+    labels = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (6, 2), (3, 3), (7, 3)], "node long, label long")
+    more = spark.createDataFrame([(5, 6), (6, 2), (8, 9), (9, 7)], "a long, b long")
+    got = {tuple(r) for r in near.joined(labels, more).collect()}
+    assert got == {(1, 1), (5, 1), (2, 1), (6, 1), (3, 3), (7, 3), (8, 3), (9, 3)}
+    assert {tuple(r) for r in near.joined(labels, more.where("a = 6")).collect()} == {tuple(r) for r in labels.collect()}

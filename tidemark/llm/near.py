@@ -359,24 +359,51 @@ def links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, least: float = S
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that is connected.
 
-    Each round takes the least label of all neighbours, lowers the label of the node that was the own label so far to it as well, and goes on to that
-    label's own label; so whole trees of labels join and rounds stay few on long chains, in whatever order their ids are. Ends when no label changes.
+    Each round points every node to its least neighbour (or itself), follows the pointers to their ends, and goes on with the links between different
+    ends alone, each once. So a link within what is joined already isn't looked at again, at least half of the ends go each round, and long chains cost
+    doublings of the pointers, in whatever order their ids are. Ends when no link is left.
     """
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")))
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    left, labels = edges.select("a", "b"), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).cast("long").alias("old"))
-        lower = written(near.union(labels.select("node", "label", "label")).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        hooks = lower.where("label < old").select(F.col("old").alias("node"), "label", F.lit(None).cast("long").alias("old"))
-        lower = written(lower.union(hooks).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        # many nodes have one label, few nodes are one
-        hop = lower.select(F.col("node").alias("label"), F.col("label").alias("next")).join(lower.select("label").distinct(), "label", "left_semi").where("next < label")
-        lower = written(lower.withColumn("salt", salt_of("node")).join(salted(hop), ["label", "salt"], "left").select("node", "old", F.least("label", "next").alias("label")))
-        labels = lower.select("node", "label")
-        if lower.where("label <> old").isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        ends = followed(written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))))
+        labels = ends if labels is None else written(moved(labels, ends))
+        left = written(between(left, ends))
+        if left.isEmpty():
             return labels
 
 
+def followed(pointers: DataFrame) -> DataFrame:
+    """node, label with each label replaced by the end of its chain of labels, by doubling."""
+    while True:
+        used = pointers.select("label").distinct()
+        hops = written(pointers.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("next")).join(used, "label", "left_semi").select(F.col("label").alias("node"), F.col("next").alias("label")))
+        if hops.isEmpty():
+            return pointers
+        pointers = written(moved(pointers, hops))
+
+
+def moved(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, label with labels that are a node of ends replaced by its label."""
+    # many nodes have one label, few nodes are one
+    hops = ends.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return labels.withColumn("salt", salt_of("node")).join(salted(hops), ["label", "salt"], "left").select("node", F.coalesce("next", "label").alias("label"))
+
+
+def between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs of labels that edges connect. A node without a label is its own."""
+    for c in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(c), "label"), c, "left").withColumn(c, F.coalesce("label", c)).select("a", "b")
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """node, label of components' labels and further edges (a, b): only these are looked at."""
+    own = labels.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    links = written(between(more, labels))
+    return own if links.isEmpty() else written(moved(own, components(links)))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and copies (documents with the very same shingles) of each document.
 
@@ -401,7 +428,7 @@ def classified(docs: DataFrame, least: float = SIMILARITY, weighted: bool = True
     if not later.isEmpty():
         more = cut(late_links(texts, firsts, later, least, weighted))
         if not more.isEmpty():
-            label = components(confirmed.union(more))
+            label = joined(label, more)
     classes = firsts.select("set", "doc_id", "copies").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least_doc = salted(classes.groupBy("label").agg(F.min("doc_id").alias("class_id")))
     classes = classes.withColumn("salt", salt_of("set")).join(least_doc, ["label", "salt"]).select("set", "label", "class_id", "copies")
