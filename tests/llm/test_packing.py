@@ -120,3 +120,21 @@ def test_query(spark):
     got = queries.queries()["op2_pack_sequences"](spark, SF).collect()
     assert sorted((tuple(r[:5]) for r in got), key=repr) == brute_pieces(docs, 2048)
     assert check_places(got, 2048) <= 1.02 * sum(r.length for r in got) / 2048 + 1
+
+
+def test_texts_are_looked_up_in_small_groups():
+    import pyarrow as pa
+
+    texts = [b"", b"a" * 600_000, b"", *[b"b c " * 1000] * 1000, b"d" * 400_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 2)), pa.array([b"x", b"y", *texts], pa.binary())], ["doc_id", "text"]).slice(2)
+    groups = list(packing.text_groups(batch))
+    assert [(i, t) for g in groups for i, t in zip(g.column(0).to_pylist(), g.column(1).to_pylist(), strict=True)] == list(enumerate(texts, 2))
+    assert all(len(g) == 1 or sum(map(len, g.column(1).to_pylist())) <= 1 << 19 for g in groups)
+    assert len(groups) < 14
+    assert list(packing.text_groups(batch.slice(0, 0))) == []
+
+
+def test_known_chunks_count_their_bytes():
+    known = packing.Chunks(packing.tokenizer_path())
+    known.ids([b"one two, two,", b"three"])
+    assert known.bytes == len(b"one" + b"two," + b"two" + b"," + b"three")

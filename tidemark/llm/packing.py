@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import string
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from .common import cut, text_of
 
 CAPACITY = 2048
 CACHE = 800_000  # chunks whose ids a Python worker keeps from task to task; more only cost time
+GROUP_BYTES = 1 << 19  # texts that are looked up together; more cost memory, a hundred bytes or so each, and time
 END = b" "
 PUNCTUATION = string.punctuation.encode()
 KNOWN: dict[str, dict] = {}
@@ -51,6 +52,7 @@ class Chunks(dict):
         self.clear()
         self[END] = 0  # stands after each text, as id 0
         self.new: list[bytes] = []
+        self.bytes = 0  # of all chunks
         self.flat, self.starts, self.lengths = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def __missing__(self, chunk: bytes) -> int:
@@ -66,21 +68,19 @@ class Chunks(dict):
         parts = [(self[e], self[c[len(e) :]]) for e, c, j in zip(ends, asked, joined, strict=True) if j]  # may add new ones, which are never joined
         joined += [False] * (len(self.new) - len(joined))
         plain = [c.decode() for c, j in zip(self.new, joined, strict=True) if not j]
-        got = (e.ids for i in range(0, len(plain), 1000) for e in self.tokenizer.encode_batch_fast(plain[i : i + 1000], add_special_tokens=False))
-        sizes, flat = np.zeros(len(joined), np.int64), array("I")
-        for i in np.flatnonzero(~np.array(joined, bool)).tolist():
-            ids = next(got)
-            sizes[i] = len(ids)
-            flat.extend(ids)
+        got = [e.ids for i in range(0, len(plain), 1000) for e in self.tokenizer.encode_batch_fast(plain[i : i + 1000], add_special_tokens=False)]
+        sizes = np.zeros(len(joined), np.int64)
+        sizes[~np.array(joined, bool)] = np.fromiter(map(len, got), np.int64, len(got))
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, sizes])
-        self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
         if parts:
             pairs = np.array(parts, np.int64)
             at = len(self.lengths) - len(joined) + np.flatnonzero(joined)
             self.lengths[at] = self.lengths[pairs].sum(axis=1)
             self.starts[at] = len(self.flat) + np.cumsum(self.lengths[at]) - self.lengths[at]
             self.flat = np.concatenate([self.flat, self.gather(pairs.ravel())])
+        self.bytes += sum(map(len, self.new))
         self.new = []
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
@@ -101,6 +101,18 @@ class Chunks(dict):
         return np.split(self.gather(numbers), ends[:-1])
 
 
+def text_groups(batch: pa.RecordBatch, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most limit (GROUP_BYTES) bytes of text in column 1 each, or one row."""
+    limit, at, size = limit or GROUP_BYTES, 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        if i > at and size + n > limit:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if len(batch):
+        yield batch.slice(at)
+
+
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and id 0, cut every capacity ids. Null text counts as empty: id 0 alone."""
     path = path or tokenizer_path()
@@ -109,22 +121,14 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = KNOWN.get(path) or KNOWN.setdefault(path, Chunks(path))
         for batch in batches:
-            rows: list[tuple] = []
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 4 << 20):
-                    size += len(texts[end])
-                    end += 1
-                for doc_id, ids in zip(names[at:end], known.ids(texts[at:end]), strict=True):
+            for group in text_groups(batch):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(group.column(0).to_pylist(), known.ids(group.column(1).to_pylist()), strict=True):
                     data = ids.astype("<u4", copy=False)
                     for i, s in enumerate(range(0, len(ids), capacity)):
                         part = data[s : s + capacity]
                         rows.append((doc_id, i, s, len(part), zlib.crc32(part)))
-                at = end
-            columns = list(zip(*rows, strict=True)) or [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", F.encode(text_of(), "UTF-8")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

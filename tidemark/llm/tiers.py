@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .packing import CACHE, Chunks
+from .packing import CACHE, Chunks, text_groups
 
 TIERS = (256, 512, 1024, 2048)
 LEAST_GAP = 16  # a smaller gap isn't left to be filled; in the longest window it stays as padding
@@ -64,11 +64,7 @@ class ByteChunks(Chunks):
     def forget(self) -> None:
         super().forget()
         self.clear()
-        self[END], self.flat, self.bytes = 0, np.array([self.end_id], np.uint32), 0
-
-    def __missing__(self, chunk: bytes) -> int:
-        self.bytes += len(chunk)
-        return super().__missing__(chunk)
+        self[END], self.flat = 0, np.array([self.end_id], np.uint32)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids, then the end's."""
@@ -101,21 +97,15 @@ def pieces_of(docs: DataFrame, capacity: int = TIERS[-1], path: str | None = Non
         kept = id_type(known.tokenizer.get_vocab_size())
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            at, ids_of, texts = 0, batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 4 << 20):
-                    size += len(texts[end])
-                    end += 1
+            for group in text_groups(batch):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(ids_of[at:end], known.ids(texts[at:end]), strict=True):
+                for doc_id, ids in zip(group.column(0).to_pylist(), known.ids(group.column(1).to_pylist()), strict=True):
                     data = ids.astype("<u4", copy=False)
                     for s in range(0, len(ids), capacity):
                         part = data[s : s + capacity]
                         rows.append((number, doc_id, s, len(part), zlib.crc32(part), len(ids), part.astype(kept).tobytes() if len(part) < capacity else None))
                         number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow, strict=True)], list(names))
-                at = end
 
     return docs.select(F.col("doc_id").cast("long"), F.encode(text_of(), "UTF-8")).mapInArrow(run, PIECES)
 
