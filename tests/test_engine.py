@@ -272,3 +272,17 @@ def test_ranks_and_percentiles_are_exact(spark):
     assert uncertainty.at_rank(df, spark.createDataFrame([(len(values) + 1,)], "k long")).count() == 0
     for share in (0.0, 0.37, 0.5, 1.0):
         assert abs(uncertainty.percentile(df, share).first().value - np.percentile(values, share * 100)) < 1e-6
+
+
+def test_forest_vectors_are_those_of_an_assembler(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.createDataFrame([(1.0, 2, None, 0.5), (3.0, None, 4.0, None), (5.0, 6, 7.0, float("inf"))], "revenue double, month int, spend_lag_1 double, spend_roll_mean_7 double")
+    model = models.ForestQuantiles(columns=["month", "spend_lag_1", "spend_roll_mean_7"])
+    filled = df.select("revenue", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in model.columns), *(F.col(c).isNull().cast("double").alias(f"{c}_no") for c in model.columns[1:]))
+    want = VectorAssembler(inputCols=filled.columns[1:], outputCol="_features").transform(filled)
+    own = model._vector(df, "revenue")
+    lists = lambda x: sorted((r.revenue, r.v) for r in x.select("revenue", vector_to_array("_features").alias("v")).collect())
+    assert lists(own) == lists(want)
+    assert "UDF" not in own._jdf.queryExecution().optimizedPlan().toString()  # rows aren't put together one by one

@@ -180,3 +180,14 @@ def test_long_series_has_no_windows_of_rows(spark, monkeypatch):
     catalogue.queries()["w1_w3_long_series"](spark, "/root/testdata/sf0.001")
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_build_drops_sparse_rows_where_it_computes_them(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), "meta", c, c, None, None if i % 3 else 1.5 * i, float(i), i, 2 * i, 1.0, 2.0) for c in ("a", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "date date, channel string, campaign_id string, campaign_name string, campaign_type string, spend double, revenue double, clicks long, impressions long, conversions double, daily_budget double")
+    built = features.build(df)
+    want = features.drop_sparse_rows(features.in_batches(features.ratio_features(features.time_features(df))))
+    assert 0 < want.count() < len(rows)
+    assert sorted(map(str, built.collect())) == sorted(map(str, want.collect()))
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.strip(" :+-").startswith("Filter") for line in plan.splitlines())  # a filter over so many columns isn't compiled
