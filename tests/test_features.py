@@ -191,3 +191,26 @@ def test_build_drops_sparse_rows_where_it_computes_them(spark):
     assert sorted(map(str, built.collect())) == sorted(map(str, want.collect()))
     plan = built._jdf.queryExecution().optimizedPlan().toString()
     assert not any(line.strip(" :+-").startswith("Filter") for line in plan.splitlines())  # a filter over so many columns isn't compiled
+
+
+def test_placed_rows_give_the_same_without_sorting(spark):
+    from tidemark.operators import forecast, uncertainty
+
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(i // 2 if c == "a" else i), "meta", c, c, None, 1.0 * i, None if i % 7 == 3 else 0.0 if 20 < i < 20 + k else 2.0 * i, i, i, 1.0, 2.0) for c, k in (("a", 5), ("b", 46), ("c", 50)) for i in range(15 if c == "c" else 110)]
+    df = spark.createDataFrame(rows, "date date, channel string, campaign_id string, campaign_name string, campaign_type string, spend double, revenue double, clicks long, impressions long, conversions double, daily_budget double")
+    placed = features.placed(df).localCheckpoint()
+    steps = {
+        "eligible": lambda x: forecast.eligible(x, 30, 60),
+        "last": lambda x: features.last_rows(x, 7),
+        "train": lambda x: uncertainty.holdout(x)[0],
+        "actuals": lambda x: uncertainty.holdout(x)[1],
+        "history of train": lambda x: forecast.eligible(uncertainty.holdout(x)[0], 30, 60),
+        "flags of train": lambda x: baselines.history_flags(uncertainty.holdout(x)[0], 20),
+        "runs": lambda x: baselines.zero_revenue(x),
+        "inflation": lambda x: baselines.cost_inflation(x),
+    }
+    for name, step in steps.items():
+        want, own = step(df), step(placed)
+        lists = lambda x, columns=want.columns: sorted(map(str, x.select(*columns).collect()))
+        assert lists(own) == lists(want), name
+        assert "Window" not in own._jdf.queryExecution().optimizedPlan().toString(), name

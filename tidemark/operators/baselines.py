@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import d
 from ..schema import TIE_BREAK
-from .features import by_campaign
+from .features import is_placed, placed
 
 
 def baselines(fact: DataFrame) -> DataFrame:
@@ -22,16 +21,13 @@ def baselines(fact: DataFrame) -> DataFrame:
 
 
 def _history(fact: DataFrame) -> DataFrame:
-    """entity_id, its rows (_n), longest_zero_run, and sums of spend and revenue by half, from one shuffle and one sort.
+    """entity_id, its rows (_n), longest_zero_run, and sums of spend and revenue by half, from one shuffle and one sort; neither for a placed fact.
 
     A run's length at a row is the row's number less that of the last row with revenue, so runs need no grouping of their own.
     """
-    own = fact.select("campaign_id", *TIE_BREAK).withColumns({"_at": F.row_number().over(by_campaign()), "_n": F.count("*").over(by_campaign().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    zero = F.coalesce(F.col("revenue") == 0, F.lit(False))
-    last = F.max(F.when(~zero, F.col("_at"))).over(by_campaign().rowsBetween(W.unboundedPreceding, W.currentRow))
-    own = own.withColumn("_run", F.col("_at") - F.coalesce(last, F.lit(0))).withColumn("_early", F.col("_at") <= F.floor(F.col("_n") / 2))
+    own = (fact if is_placed(fact) else placed(fact.select("campaign_id", *TIE_BREAK))).withColumn("_early", F.col("_place") <= F.floor(F.col("_rows") / 2))
     sums = {f"{half}_{m}": F.sum(F.when(F.col("_early") == early, F.col(m))) for half, early in (("early", True), ("late", False)) for m in ("spend", "revenue")}
-    return own.groupBy(F.col("campaign_id").alias("entity_id")).agg(F.max("_n").alias("_n"), F.max("_run").cast("long").alias("longest_zero_run"), *(F.coalesce(c, d(0)).alias(k) for k, c in sums.items()))
+    return own.groupBy(F.col("campaign_id").alias("entity_id")).agg(F.max("_rows").alias("_n"), F.max("_zeros").cast("long").alias("longest_zero_run"), *(F.coalesce(c, d(0)).alias(k) for k, c in sums.items()))
 
 
 def zero_revenue(fact: DataFrame, days: int = 45) -> DataFrame:

@@ -238,17 +238,42 @@ def feature_names(windows: Sequence[int] = ROLLING, lags: Sequence[int] = LAGS)
     return [*TIME, *RATIOS, *(f"{m}_roll_{k}_{n}" for m in METRICS for n in windows for k in ("mean", "std")), *(f"{m}_lag_{k}" for m in METRICS for k in lags)]
 
 
+#: Of placed.
+PLACES = ("_place", "_rows", "_zeros")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """Adds each row's number in its campaign by TIE_BREAK, from 1 (_place), the campaign's rows (_rows), and how many rows up to this one had no revenue in a row (_zeros).
+
+    Steps that need last rows, a holdout or runs find these columns, and then need no shuffle and sort of their own.
+    """
+    out = df.withColumns({"_place": F.row_number().over(by_campaign()), "_rows": F.count("*").over(by_campaign().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    zero = F.coalesce(F.col("revenue") == 0, F.lit(False))
+    last = F.max(F.when(~zero, F.col("_place"))).over(by_campaign().rowsBetween(W.unboundedPreceding, W.currentRow))
+    return out.withColumn("_zeros", F.col("_place") - F.coalesce(last, F.lit(0)))
+
+
+def is_placed(df: DataFrame) -> bool:
+    return set(PLACES) <= set(df.columns)
+
+
 def last_rows(df: DataFrame, n: int) -> DataFrame:
     """The last n rows of each campaign."""
+    if is_placed(df):
+        return df.where(F.col("_rows") - F.col("_place") < n).drop(*PLACES)
     return df.withColumn("_r", F.row_number().over(W.partitionBy("campaign_id").orderBy(*(F.desc(c) for c in TIE_BREAK)))).where(F.col("_r") <= n).drop("_r")
 
 
 def all_but_last_rows(df: DataFrame, n: int) -> DataFrame:
+    if is_placed(df):
+        return df.withColumn("_rows", F.col("_rows") - n).where(F.col("_place") <= F.col("_rows"))
     return df.withColumn("_r", F.row_number().over(W.partitionBy("campaign_id").orderBy(*(F.desc(c) for c in TIE_BREAK)))).where(F.col("_r") > n).drop("_r")
 
 
 def with_history(df: DataFrame, least: int) -> DataFrame:
     """Campaigns with at least this many rows."""
+    if is_placed(df):
+        return df.where(F.col("_rows") >= least)
     return df.withColumn("_n", F.count("*").over(W.partitionBy("campaign_id"))).where(F.col("_n") >= least).drop("_n")
 
 

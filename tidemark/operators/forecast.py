@@ -97,6 +97,8 @@ def ensemble(model: Column, naive: Column, weight: float = 0.5) -> Column:
 
 def eligible(feature_df: DataFrame, least: int = 30, lookback: int = 90) -> DataFrame:
     """The last lookback rows of the campaigns with at least least rows."""
+    if features.is_placed(feature_df):
+        return features.last_rows(features.with_history(feature_df, least), lookback)
     order = W.partitionBy("campaign_id").orderBy(*(F.desc(c) for c in features.TIE_BREAK))  # one sort for both
     own = feature_df.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     return own.where((F.col("_r") <= lookback) & (F.col("_n") >= least)).drop("_r", "_n")
@@ -107,7 +109,7 @@ def forecast(feature_df: DataFrame, model: QuantileModel, horizons: Sequence[int
 
     The shorter horizons are the first days of the longest, so only that is computed. The seasonal-naive value is the same for all quantiles.
     """
-    fact = feature_df.select(*COLUMNS)
+    fact = feature_df.select(*COLUMNS, *(features.PLACES if features.is_placed(feature_df) else ()))
     history = written(eligible(fact, least, lookback))  # read several times
     future = expected_future(history, max(horizons), overrides, per_campaign_start)
     plain = set(getattr(model, "columns", ["features"])) <= set(COLUMNS)
