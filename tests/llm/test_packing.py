@@ -138,3 +138,22 @@ def test_known_chunks_count_their_bytes():
     known = packing.Chunks(packing.tokenizer_path())
     known.ids([b"one two, two,", b"three"])
     assert known.bytes == len(b"one" + b"two," + b"two" + b"," + b"three")
+
+
+def test_new_chunks_go_through_the_tokenizer_as_one_text():
+    known = packing.Chunks(packing.tokenizer_path())
+    plain = ["word", "it's", "x" * 60, "été", "áb", "́", "　wide　", "日本語", "12,5%", "<|", "a<|b|>", "​", "﻿", "\U0001f600ok"]
+    for chunks, calls in ((plain, 1), ([*plain, known.word, "end"], 2), ([known.word], 2), (["one"], 1)):
+        each = [known.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+        seen, own = [], known.tokenizer
+
+        class Counting:
+            def encode_batch_fast(self, texts, **kw):
+                seen.append(len(texts))
+                return own.encode_batch_fast(texts, **kw)
+
+        known.tokenizer = Counting()
+        ids, sizes = known.encoded(chunks)
+        known.tokenizer = own
+        assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == each
+        assert len(seen) == calls and seen[0] == 1

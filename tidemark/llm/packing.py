@@ -46,8 +46,17 @@ class Chunks(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.word, self.word_id = self._parting()
         self.forget()
 
+    def _parting(self) -> tuple[str | None, int]:
+        """A long word that is one token, and its id."""
+        for word in sorted((w for w in self.tokenizer.get_vocab() if w.isascii() and w.isalpha() and w.islower()), key=lambda w: (-len(w), w))[:50]:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            if len(ids) == 1:
+                return word, ids[0]
+        return None, -1
+
     def forget(self) -> None:
         self.clear()
         self[END] = 0  # stands after each text, as id 0
@@ -68,12 +77,12 @@ class Chunks(dict):
         parts = [(self[e], self[c[len(e) :]]) for e, c, j in zip(ends, asked, joined, strict=True) if j]  # may add new ones, which are never joined
         joined += [False] * (len(self.new) - len(joined))
         plain = [c.decode() for c, j in zip(self.new, joined, strict=True) if not j]
-        got = [e.ids for i in range(0, len(plain), 1000) for e in self.tokenizer.encode_batch_fast(plain[i : i + 1000], add_special_tokens=False)]
+        got = [self.encoded(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
         sizes = np.zeros(len(joined), np.int64)
-        sizes[~np.array(joined, bool)] = np.fromiter(map(len, got), np.int64, len(got))
+        sizes[~np.array(joined, bool)] = np.concatenate([np.zeros(0, np.int64), *(n for _, n in got)])
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in got)])
         if parts:
             pairs = np.array(parts, np.int64)
             at = len(self.lengths) - len(joined) + np.flatnonzero(joined)
@@ -83,6 +92,17 @@ class Chunks(dict):
         self.bytes += sum(map(len, self.new))
         self.new = []
 
+    def encoded(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these chunks, and how many each has. They go through the tokenizer as one text, a word of one id between them; one by one if a chunk has that id too."""
+        if self.word:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.word} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            between = np.flatnonzero(ids == self.word_id)
+            if len(between) == len(plain) - 1:
+                return np.delete(ids, between), np.diff(np.r_[-1, between, len(ids)]) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
+
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.lengths[numbers]
         ends = np.cumsum(sizes)
@@ -92,7 +112,9 @@ class Chunks(dict):
         """Each text's ids, then id 0."""
         if len(self) > CACHE:
             self.forget()
-        chunks = [[*(t if b"<|" in t else t.lower()).split(), END] for t in texts]  # the names of special tokens heed case
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the names of special tokens heed case
+        for c in chunks:
+            c.append(END)
         counts = np.cumsum([len(c) for c in chunks])
         numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(chunks)), np.int64, int(counts[-1]))
         if self.new:
