@@ -150,3 +150,11 @@ def test_query(spark):
     wasted, _ = padding(got, 2048, 16)
     assert wasted <= 0.001 * sum(r.length for r in got)
     assert len(got) < 1.6 * len(docs) + sum(r.length for r in got) / 2048
+
+
+def test_byte_level_chunks_are_not_joined_by_spaces():
+    known = tiers.ByteChunks(tiers.tokenizer_path())
+    assert known.word is None
+    plain = ["transformation", " transformation", "a", " b", "  ", "transformation"]
+    ids, sizes = known.encoded(plain)
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [known.tokenizer.encode(c, add_special_tokens=False).ids for c in plain]

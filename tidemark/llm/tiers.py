@@ -57,6 +57,10 @@ class ByteChunks(Chunks):
         super().__init__(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _parting(self) -> tuple[None, int]:
+        """None: spaces around a word would become parts of tokens here, so chunks go through the tokenizer one by one."""
+        return None, -1
+
     def chunks(self, text: bytes) -> list[bytes]:
         plain = (text.isascii() or not HAS_WIDE_WHITE.search(text)) and not any(s in text for s in self.special)
         return (CHUNK if plain else LONG_CHUNK).findall(text)
