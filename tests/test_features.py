@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import baselines, features
+from tidemark.operators import baselines, features, forecast
 from tidemark.schema import UNIFIED
 
 
@@ -214,3 +214,19 @@ def test_placed_rows_give_the_same_without_sorting(spark):
         lists = lambda x, columns=want.columns: sorted(map(str, x.select(*columns).collect()))
         assert lists(own) == lists(want), name
         assert "Window" not in own._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_future_features_see_a_history_that_a_shuffle_dealt(spark):
+    """Spark 4.1 takes a union of two parts dealt by campaign_id as dealt by it, and then reads them in different numbers of partitions."""
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), "google", f"c{c}", "n" * 50, "SEARCH", 1.0, float(c), 1, 1, 1.0, 1.0) for c in range(40) for i in range(90)]
+    own = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        history = forecast.eligible(spark.createDataFrame(rows, UNIFIED))
+        got = forecast.future_features(history, forecast.expected_future(history, 5), windows=(7,), lags=(14,)).select("campaign_id", "step", "revenue_roll_mean_7", "revenue_lag_14").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.campaign_id, r.step): (r.revenue_roll_mean_7, r.revenue_lag_14) for r in got} == {(f"c{c}", s): (float(c), float(c)) for c in range(40) for s in range(1, 6)}

@@ -215,7 +215,8 @@ def in_batches(
                 out = out.filter(pa.array(nulls / len(out.columns) <= max_ratio))
             yield pa.RecordBatch.from_arrays([_rounded(c, places[n]) if n in places else c for n, c in zip(schema.names, out.columns, strict=True)], schema.names)
 
-    return df.repartition("campaign_id").sortWithinPartitions("campaign_id", *TIE_BREAK).mapInArrow(run, schema)
+    # dealt by the id's hash, not the id: Spark takes a union of parts that are each dealt by campaign_id as dealt already, though it may read them in different numbers of partitions
+    return df.repartition(F.xxhash64("campaign_id")).sortWithinPartitions("campaign_id", *TIE_BREAK).mapInArrow(run, schema)
 
 
 def drop_sparse_rows(df: DataFrame, max_ratio: float = 0.3) -> DataFrame:
