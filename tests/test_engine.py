@@ -8,6 +8,7 @@ from tidemark.config import DEFAULTS
 from tidemark.operators import baselines, decision, forecast, models, quality, report, scenario, uncertainty
 from tidemark.plans import pipeline
 from tidemark.schema import UNIFIED
+from tidemark.sessions import written
 from tidemark.streaming import drops
 
 ALLOWED = DEFAULTS["validation"]["valid_campaign_types"]
@@ -286,3 +287,15 @@ def test_forest_vectors_are_those_of_an_assembler(spark):
     lists = lambda x: sorted((r.revenue, r.v) for r in x.select("revenue", vector_to_array("_features").alias("v")).collect())
     assert lists(own) == lists(want)
     assert "UDF" not in own._jdf.queryExecution().optimizedPlan().toString()  # rows aren't put together one by one
+
+
+def test_coverage_by_series_reads_points_once_and_never_broadcasts_them(spark):
+    day = dt.date(2025, 1, 1)
+    rows = [(c, "meta", "revenue", h, s, day + dt.timedelta(s), 10.0, 20.0, 30.0) for c in ("a", "b") for h in (1, 2) for s in range(1, h + 1)]
+    points = written(spark.createDataFrame(rows, POINT))
+    actual = lambda s, revenue, spend=1.0: (day + dt.timedelta(s), "meta", "a", "n", "Generic", spend, revenue, 1, 1, 1.0, 1.0)
+    actuals = spark.createDataFrame([actual(1, 15.0), actual(1, 99.0, 2.0), actual(2, 50.0), actual(9, 20.0)], UNIFIED)
+    found = uncertainty.coverage_by_series(points, actuals)
+    assert {tuple(r) for r in found.collect()} == {("a", 1, 1.0), ("a", 2, 0.5), ("b", 1, 0.0), ("b", 2, 0.0)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "BuildLeft" not in plan

@@ -13,12 +13,16 @@ from ..sessions import cut
 from . import features
 
 
+def by_day(actuals: DataFrame) -> DataFrame:
+    """entity_id, date, actual: the revenue of each campaign and day, of the first of repeated rows."""
+    return actuals.groupBy(F.col("campaign_id").alias("entity_id"), "date").agg(F.min_by("revenue", F.struct(*features.TIE_BREAK)).alias("actual"))
+
+
 def pairs(forecast: DataFrame, actuals: DataFrame, once: bool = False) -> DataFrame:
     """entity_id, channel, horizon, date, actual, p10, p50, p90: forecast points with the actual of their campaign and day, the first of repeated ones. once: one pair a
     day, not one per horizon."""
-    own = actuals.groupBy(F.col("campaign_id").alias("entity_id"), "date").agg(F.min_by("revenue", F.struct(*features.TIE_BREAK)).alias("actual"))
     points = forecast.where(F.col("horizon") == F.lit(forecast_least(forecast))) if once else forecast
-    return points.join(own, ["entity_id", "date"]).select("entity_id", "channel", "horizon", "date", "actual", "p10", "p50", "p90")
+    return points.join(by_day(actuals), ["entity_id", "date"]).select("entity_id", "channel", "horizon", "date", "actual", "p10", "p50", "p90")
 
 
 def forecast_least(forecast: DataFrame) -> int:
@@ -79,11 +83,13 @@ def coverage(paired: DataFrame, alpha: float | Column = 1.0, kind: str = "normal
 
 
 def coverage_by_series(forecast: DataFrame, actuals: DataFrame, alpha: float | None = None, kind: str = "normalized_residual") -> DataFrame:
-    """entity_id, horizon, coverage of all series: raw bands without alpha; 0 where no actual meets the series."""
-    paired = pairs(forecast, actuals)
+    """entity_id, horizon, coverage of all series: raw bands without alpha; 0 where no actual meets the series.
+
+    All points go through one left join: its left side is never broadcast, however small a file of points looks, and points are read once.
+    """
+    paired = forecast.join(by_day(actuals).withColumn("_met", F.lit(True)), ["entity_id", "date"], "left")
     inside = F.col("actual").between(F.col("p10"), F.col("p90")) if alpha is None else covered(d(alpha), kind)
-    met = paired.groupBy("entity_id", "horizon").agg(F.avg(inside.cast("double")).alias("coverage"))
-    return forecast.select("entity_id", "horizon").distinct().join(met, ["entity_id", "horizon"], "left").withColumn("coverage", F.coalesce("coverage", d(0)))
+    return paired.groupBy("entity_id", "horizon").agg(F.coalesce(F.avg(F.when(F.col("_met"), inside.cast("double"))), d(0)).alias("coverage"))
 
 
 def reliability(paired: DataFrame, bins: int = 10, kind: str = "normalized_residual") -> DataFrame:
